@@ -1 +1 @@
-
+"""Relational operators over annotation tables."""

@@ -1 +1,14 @@
+"""Registered queries over the driver's tables, each with the SQL that checks it."""
 
+from . import evidence
+from .registry import QUERIES, SQL
+
+MODULES = (evidence,)
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_sql() -> dict:
+    return dict(SQL)
