@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .components import connected_components
+from .components import SALTS, connected_components
 
 SEED = 42
 HOT, CHUNK = 32768, 16384
@@ -241,10 +241,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, lanes: int
     node = F.col("f0") if lanes == 1 else F.xxhash64(*cols)
     nodes = materialize(prints.withColumn("node", node).groupBy("node", *cols).agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = connected_components(links(nodes, lanes, radius, tables, width, agree))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted.select("node", "root", "first_id"), "rooted")
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(rooted.join(first, "root").select("node", "component_id"), "components")
+    rooted = materialize(nodes.join(roots, "node", "left").select("node", "root", "first_id"), "rooted")
+    linked = rooted.where("root is not null")
+    # a component with a third of all texts is dealt to SALTS keys; what is linked to nothing needs no join
+    first = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(first, ["root", "salt"]).select("node", "component_id")
+    named = named.unionAll(rooted.where("root is null").select("node", F.col("first_id").alias("component_id")))
+    named = materialize(named, "components")
     return prints.withColumn("node", node).join(named, "node").drop("node")
 
 
