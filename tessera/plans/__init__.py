@@ -1,9 +1,9 @@
 """Registered queries over the driver's tables, each with the SQL that checks it."""
 
-from . import evidence
+from . import evidence, measures, statistics, texts
 from .registry import QUERIES, SQL
 
-MODULES = (evidence,)
+MODULES = (evidence, texts, measures, statistics)
 
 
 def all_queries() -> dict:

@@ -34,11 +34,11 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus")
     e = F.when((F.col("l_linenumber") == 7) & (F.col("l_linestatus") == "O"), 8).otherwise(F.col("l_linenumber"))
     flag = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).otherwise(2)
-    agreed = F.element_at(F.array(*(F.lit(v) for v in (0, 1, 2, 0))), ((F.col("l_partkey") * 31 + F.col("e") * 17) % 4 + 1).cast("int"))
+    agreed = F.try_element_at(F.array(*(F.lit(v) for v in (0, 1, 2, 0))), ((F.col("l_partkey") * 31 + F.col("e") * 17) % 4 + 1).cast("int"))
     li = li.withColumn("e", e).where((F.col("l_partkey") + F.col("e")) % 3 != 0)
     return li.select(
         raw_sequence(F.col("l_partkey")).alias("raw_sequence"),
-        F.element_at(F.array(*(F.lit(x) for x in ENDPOINTS)), F.col("e")).alias("endpoint"),
+        F.try_element_at(F.array(*(F.lit(x) for x in ENDPOINTS)), F.col("e")).alias("endpoint"),
         F.concat(F.lit("src"), (F.col("l_suppkey") % 12).cast("string")).alias("source"),
         F.when(F.col("l_tax") < 0.07, agreed).otherwise(flag).alias("label"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
@@ -124,10 +124,10 @@ def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of status files from lineitem: (sequence, endpoint, declared_status, positive, negative, only_unlabel, percentage_1, counts_1, counts_0, category, input_file, pos)."""
     li = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0")
     text = lambda b: F.when(b, "True").otherwise(F.when(F.col("l_linenumber") > 4, "no"))
-    state = F.element_at(F.array(*(F.lit(s) for s in ("positive", "negative", "ambiguous", "unlabeled"))), (F.col("l_partkey") / 5 % 4 + 1).cast("int"))
+    state = F.try_element_at(F.array(*(F.lit(s) for s in ("positive", "negative", "ambiguous", "unlabeled"))), (F.col("l_partkey") / 5 % 4 + 1).cast("int"))
     return li.select(
         normalize_sequence(raw_sequence(F.col("l_partkey"))).alias("sequence"),
-        F.element_at(F.array(*(F.lit(x) for x in ENDPOINTS)), F.col("l_linenumber")).alias("endpoint"),
+        F.try_element_at(F.array(*(F.lit(x) for x in ENDPOINTS)), F.col("l_linenumber")).alias("endpoint"),
         state.alias("declared_status"),
         text(F.col("l_suppkey") % 7 == 0).alias("positive"),
         text(F.col("l_suppkey") % 11 == 0).alias("negative"),
@@ -164,9 +164,9 @@ status_inferred AS (
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sequence, text, pos) with free-text activities from lineitem."""
     li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("HC50", "lc50", "LD50", "MHC"))), F.col("l_linenumber"))
-    relation = F.element_at(F.array(*(F.lit(x) for x in ("=", ">", "≥", "<=", ""))), (F.col("l_suppkey") % 5 + 1).cast("int"))
-    unit = F.element_at(F.array(*(F.lit(x) for x in ("uM", "ug/ml", "mg / mL", "mg/kg"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    kind = F.try_element_at(F.array(*(F.lit(x) for x in ("HC50", "lc50", "LD50", "MHC"))), F.col("l_linenumber"))
+    relation = F.try_element_at(F.array(*(F.lit(x) for x in ("=", ">", "≥", "<=", ""))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    unit = F.try_element_at(F.array(*(F.lit(x) for x in ("uM", "ug/ml", "mg / mL", "mg/kg"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     q = F.col("l_quantity").cast("int").cast("string")
     value = F.when(F.col("l_partkey") % 7 == 0, F.concat(q, F.lit(",5 x 10^-2"))).when(F.col("l_partkey") % 7 == 1, F.lit("unknown")).otherwise(F.concat(q, F.lit("."), (F.col("l_suppkey") % 10).cast("string")))
     error = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit(" ± "), (F.col("l_suppkey") % 9 + 1).cast("string"))).when(F.col("l_suppkey") % 4 == 1, F.concat(F.lit(" ["), (F.col("l_suppkey") % 9 + 1).cast("string"), F.lit("]"))).otherwise("")

@@ -75,7 +75,7 @@ def extended_checks(spark, d):
   SELECT ['True', ' yes ', '0', 'no', 'FALSE', '1', NULL, 'maybe'][(l_suppkey % 8 + 1)::INT] AS value FROM lineitem) GROUP BY ALL""")
 def boolean_parse(spark, d):
     words = F.array(*(F.lit(x) for x in ("True", " yes ", "0", "no", "FALSE", "1", None, "maybe")))
-    v = table(spark, d, "lineitem").select(F.element_at(words, (F.col("l_suppkey") % 8 + 1).cast("int")).alias("value"))
+    v = table(spark, d, "lineitem").select(F.try_element_at(words, (F.col("l_suppkey") % 8 + 1).cast("int")).alias("value"))
     return v.groupBy("value", labels.parse_boolean(F.col("value")).alias("parsed")).agg(F.count("*").alias("n"))
 
 
