@@ -91,3 +91,38 @@ k AS (SELECT doc_id, source, place, nth, sum(size) AS taken FROM m WHERE total <
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken
 FROM q LEFT JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.source IS NOT DISTINCT FROM k.source AND q.place = k.place AND q.nth = k.nth
 """
+
+SQL["op1_warc_index"] = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, octet_length(encode(html)) AS n, max(page_id) AS first_id FROM p GROUP BY ALL),
+b AS (
+  SELECT p.*, f.n, f.first_id,
+    array_to_string(list_transform(string_split(p.sha, ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][('0x' || c)::INT + 1]), '') AS bits
+  FROM p JOIN f USING (sha)
+)
+SELECT page_id, url, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+# The CRC's table is made from its polynomial; a step takes the low byte of the state.
+SQL["op5_sharding"] = r"""
+WITH RECURSIVE t(i, k, v) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM t WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (
+  SELECT doc_id, octet_length(encode(text)) + 16 AS size,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM d, crc
+),
+s AS (
+  SELECT doc_id, arg_max(s, u) FILTER (s < 40) AS shard, arg_max(s, u) AS grown_shard
+  FROM (SELECT doc_id, s, ('0x' || substr(md5(doc_id || ':' || s), 1, 13))::BIGINT AS u FROM (SELECT DISTINCT doc_id FROM d), (SELECT unnest(range(41)) AS s)) GROUP BY doc_id
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || doc_id), text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM c JOIN s USING (doc_id)
+"""
