@@ -36,9 +36,9 @@ def parse_measurement_label(spark, d):
     return p.groupBy("label", "p.relation", "p.value", "p.error").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT x, printf('%g', x) AS text FROM (SELECT DISTINCT l_extendedprice * 1.03717::DOUBLE * pow(10.0::DOUBLE, (l_suppkey % 15) - 9) AS x FROM lineitem WHERE l_linenumber = 1)""")
+@query("""SELECT x, printf('%g', x) AS text FROM (SELECT DISTINCT l_extendedprice * 1.03717::DOUBLE * pow(10.0::DOUBLE, l_suppkey % 5) / pow(10.0::DOUBLE, l_suppkey % 11) AS x FROM lineitem WHERE l_linenumber = 1)""")
 def general_numbers(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_extendedprice") * 1.03717 * F.pow(F.lit(10.0), (F.col("l_suppkey") % 15 - 9).cast("double"))).alias("x")).distinct()
+    li = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_extendedprice") * 1.03717 * F.pow(F.lit(10.0), (F.col("l_suppkey") % 5).cast("double")) / F.pow(F.lit(10.0), (F.col("l_suppkey") % 11).cast("double"))).alias("x")).distinct()
     return li.select("x", activity.general_format(F.col("x")).alias("text"))
 
 
