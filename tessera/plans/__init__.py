@@ -1,9 +1,9 @@
 """Registered queries over the driver's tables, each with the SQL that checks it."""
 
-from . import evidence, measures, statistics, texts
+from . import evidence, files, measures, statistics, texts
 from .registry import QUERIES, SQL
 
-MODULES = (evidence, texts, measures, statistics)
+MODULES = (evidence, texts, measures, statistics, files)
 
 
 def all_queries() -> dict:
