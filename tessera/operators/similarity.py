@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import running_total
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -77,11 +79,9 @@ def scale(df: DataFrame, columns: Sequence[str], how: str = "standard") -> DataF
 
 def quantile_scale(df: DataFrame, column: str) -> DataFrame:
     """Uniform quantiles from ranks of different values, (rank - 1) / (n - 1)."""
-    from pyspark.sql import Window
-
-    counted = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.select(F.col(column).alias("__v"), ((before + (F.col("__n") + 1) / F.lit(2.0) - 1) / F.nullif(F.sum("__n").over(Window.partitionBy()) - 1, F.lit(0))).alias("quantile"))
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    total = counted.agg(F.sum("__n")).first()[0] or 0
+    ranks = running_total(counted, [], column, F.col("__n")).select(F.col(column).alias("__v"), ((F.col("before") + (F.col("__n") + 1) / F.lit(2.0) - 1) / F.lit(max(total - 1, 1))).alias("quantile"))
     return df.join(ranks, F.col(column) == F.col("__v")).drop("__v")
 
 

@@ -23,15 +23,35 @@ def adjust_bh(df: DataFrame, p: str = "p_value", out: str = "q_value", by: Seque
     return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(down)))).drop("__r", "__q")
 
 
+def running_total(counted: DataFrame, by: Sequence[str], value: str, amount: Column, parts: int = 64) -> DataFrame:
+    """counted with `before`: the amounts of all smaller values of the same `by`. Values must be different within `by` and not null.
+
+    Values fall into about even ranges by approximate cut points; the ranges' totals are summed up (`parts` rows for each `by`), and a
+    window only orders one range, so no task sorts all values of a group.
+    """
+    found = counted.agg(F.percentile_approx(value, F.array(*(F.lit(i / parts) for i in range(1, parts)))).alias("c")).first()["c"] or []
+    cuts = F.array(*(F.lit(c) for c in sorted(set(found)))) if found else F.array().cast("array<double>")
+    cut = counted.withColumn("__cuts", cuts).withColumn("__amount", amount)
+    cut = cut.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    totals = cut.groupBy(*by, "__range").agg(F.sum("__amount").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("__range").alias("__of"), ahead.alias("__ahead"))
+    within = F.coalesce(F.sum("__amount").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on = F.col("__range") == F.col("__of")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    out = cut.withColumn("__within", within).join(totals, on)
+    return out.withColumn("before", F.col("__ahead") + F.col("__within")).drop("__amount", "__range", "__within", "__of", "__ahead", *(f"__{b}" for b in by))
+
+
 def rank_sums(values: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:
     """For each `by` and two groups 0 and 1: sizes, the rank sum and U of group 0, and the tie term of the variance.
 
-    Equal values are counted first, so a window sees each different value once and its cumulative count gives the mean rank.
+    Equal values are counted first, so each different value is ranked once and the count of those before gives the mean rank.
     """
     counted = values.where(F.col(value).isNotNull() & F.col(group).isin(0, 1)).groupBy(*by, value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    before = F.coalesce(F.sum(F.col("a") + F.col("b")).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = F.col("a") + F.col("b")
-    ranked = counted.withColumn("rank", before + (t + 1) / F.lit(2.0))
+    ranked = running_total(counted, by, value, t).withColumn("rank", F.col("before") + (t + 1) / F.lit(2.0))
     out = ranked.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum(F.col("rank") * F.col("a")).alias("rank_sum"), F.sum(t.cast("double") * t * t - t).alias("ties"))
     return out.withColumn("u", F.col("rank_sum") - F.col("n") * (F.col("n") + 1) / 2.0)
 
@@ -69,8 +89,7 @@ def direction_table(values: DataFrame, by: Sequence[str], group: str, value: str
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         counted = df.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counted.select(F.col(c).alias("__v"), (before + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{c}"))
+        ranks = running_total(counted.where(F.col(c).isNotNull()), [], c, F.col("n")).select(F.col(c).alias("__v"), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{c}"))
         df = df.join(ranks, F.col(c) == F.col("__v")).drop("__v")
     return df
 
@@ -97,11 +116,11 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks, and average precision by a cumulative window over different scores."""
+    """Area under the ROC curve by ranks, and average precision by cumulative counts over different scores."""
     ranked = effect_sizes(rank_sums(df.withColumn("__g", 1 - F.col(truth)), "__g", score, []))
-    counted = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy().orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counted.withColumns({"tp": F.sum("p").over(w), "all": F.sum("n").over(w)})
+    counted = df.where(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count("*").alias("n"))
+    steps = running_total(running_total(counted, [], "s", F.col("p")).withColumnRenamed("before", "p_before"), [], "s", F.col("n"))
+    steps = steps.withColumns({"tp": F.col("p_before") + F.col("p"), "all": F.col("before") + F.col("n")})
     ap = steps.agg((F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
     return ranked.select(F.col("vargha_delaney").alias("roc_auc")).join(ap)
 
