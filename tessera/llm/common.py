@@ -2,61 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A word, as a regular expression: a run without space, tab, line feed, vertical tab, form feed or carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        atexit.register(_remove_local, _own[app])
-    return _own[app]
-
-
-def _remove_local(uri: str) -> None:
-    import shutil
-
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
+from ..session import materialize, release, scratch_path
 
+__all__ = ["WORD", "materialize", "read", "release", "scratch_path", "slices", "text_bytes"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}-{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors, gives the planner its size."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table made by materialize() that no later step reads."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
+#: A word, as a regular expression: a run without space, tab, line feed, vertical tab, form feed or carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; null rows are empty."""

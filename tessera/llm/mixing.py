@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
@@ -44,6 +44,11 @@ def _place(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
 
 
+def _literal(entry: Row) -> Column:
+    types = (("finish", "double"), ("last", "boolean"), ("source", "string"), ("place", "long"), ("id", "long"), ("nth", "int"), ("round", "int"))
+    return F.struct(*(F.lit(entry[k]).cast(t).alias(k) for k, t in types))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, source: str = "source") -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, taken) for every row: the words that the mix takes of it, repeats counted.
 
@@ -71,24 +76,30 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         finish = F.try_divide((F.col("upto") + F.lit(round_) * F.col("source_size")).cast("double"), F.col("target"))
         return F.struct(finish.alias("finish"), F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("source"), "place", F.coalesce("doc_id", F.lit(0)).alias("id"), "nth", F.lit(round_).cast("int").alias("round"))
 
+    # the budget ends within one of the bins of virtual time, and within that in one of its bins: only the last one's
+    # entries, some 1 / PARTS ** 2 of all, need an order. A level of bins has 2 * PARTS + 1 rows at most.
     entries = queue.where("size > 0").select("size", F.explode(F.array(*(entry(r) for r in range(most)))).alias("e"))
-    entries = entries.withColumn("bin", F.least(F.floor(F.col("e.finish") * PARTS), F.lit(2 * PARTS)).cast("int"))
-    budget = aims.agg(F.sum("target")).first()[0] or 0.0
-    # 2 * PARTS + 1 bins at most
-    bins = entries.groupBy("bin").agg(F.sum("size").alias("n"))
-    bins = bins.select("bin", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    cut = bins.where(F.col("ahead") < F.lit(budget)).orderBy(F.desc("bin")).first()
-    if cut is None:
+    budget, ahead, step, low = aims.agg(F.sum("target")).first()[0] or 0.0, 0, 1.0 / PARTS, 0.0
+    sure = None
+    for _ in range(2):
+        binned = entries.withColumn("bin", F.least(F.floor((F.col("e.finish") - F.lit(low)) / F.lit(step)), F.lit(2 * PARTS)).cast("int"))
+        bins = binned.groupBy("bin").agg(F.sum("size").alias("n"))
+        upto_bin = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.lit(ahead)
+        cut = bins.select("bin", upto_bin.alias("ahead")).where(F.col("ahead") < F.lit(budget)).orderBy(F.desc("bin")).first()
+        if cut is None:
+            break
+        entries, ahead, sure = binned.where(F.col("bin") == cut["bin"]).select("size", "e"), cut["ahead"], True
+        low, step = low + cut["bin"] * step, step / PARTS
+    if sure is None:
         rounds = F.lit(0)
     else:
-        # the budget ends within this bin, which holds about 1 / PARTS of the entries: only they need an order
-        total = F.lit(cut["ahead"]) + F.sum("size").over(Window.partitionBy("bin").orderBy("e"))
-        edge = entries.where(F.col("bin") == cut["bin"]).withColumn("total", total).where(F.col("total") <= F.lit(budget)).agg(F.max("e").alias("e")).first()["e"]
-        if edge is None:
-            taken = [F.floor(entry(r)["finish"] * PARTS) < cut["bin"] for r in range(most)]
+        total = F.lit(ahead) + F.sum("size").over(Window.partitionBy().orderBy("e"))
+        last = entries.withColumn("total", total).where(F.col("total") <= F.lit(budget)).agg(F.max("e").alias("e")).first()["e"]
+        if last is None:  # the first of these entries would pass the budget, so what is before them is all
+            first = entries.agg(F.min("e").alias("e")).first()["e"]
+            taken = [entry(r) < _literal(first) for r in range(most)]
         else:
-            final = F.struct(*(F.lit(edge[k]).cast(t).alias(k) for k, t in (("finish", "double"), ("last", "boolean"), ("source", "string"), ("place", "long"), ("id", "long"), ("nth", "int"), ("round", "int"))))
-            taken = [entry(r) <= final for r in range(most)]
+            taken = [entry(r) <= _literal(last) for r in range(most)]
         rounds = sum((F.coalesce(t, F.lit(False)).cast("int") for t in taken), F.lit(0))
     return queue.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * rounds).otherwise(0).cast("long").alias("taken"))
 
