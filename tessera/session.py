@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def local_session(cores: int | str = "*", memory: str = "20g", partitions: int = 8) -> SparkSession:
@@ -46,7 +47,16 @@ def _remove(uri: str, pid: int) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}-{name}"
+    _made.append(f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}-{name}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has put in the shared folder; results that still read it must be written by then. Gives the number of paths."""
+    n = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -63,5 +73,9 @@ def release(df: DataFrame) -> None:
     """Delete a table made by materialize() that no later step reads."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
