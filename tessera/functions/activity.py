@@ -42,14 +42,12 @@ def parse_activity(text: Column) -> Column:
 
 def general_format(x: Column) -> Column:
     """A number as C's %g does: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6."""
-    magnitude = F.abs(x)
-    exponent = F.when(magnitude == 0, 0).otherwise(F.regexp_extract(F.format_string("%.5e", x), r"e([+-][0-9]+)$", 1).cast("int"))
-    strip = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    scientific = F.concat(strip(F.regexp_extract(F.format_string("%.5e", x), r"^([^e]+)e", 1)), F.lit("e"), F.regexp_extract(F.format_string("%.5e", x), r"e([+-][0-9]+)$", 1))
-    fixed = F.lit(None).cast("string")
-    for e in range(-4, 6):
-        fixed = F.when(exponent == e, strip(F.format_string(f"%.{5 - e}f", x))).otherwise(fixed)
-    return F.when(x.isNull(), None).when(exponent.between(-4, 5), fixed).otherwise(scientific)
+    six = F.format_string("%.5e", x)
+    strip = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+    fixed = strip(six.cast("double").cast("decimal(20,10)").cast("string"))
+    scientific = F.concat(strip(F.substring_index(six, "e", 1)), F.lit("e"), F.substring_index(six, "e", -1))
+    plain = (F.abs(x) == 0) | F.substring_index(six, "e", -1).cast("int").between(-4, 5)
+    return F.when(x.isNotNull(), F.when(plain, fixed).otherwise(scientific))
 
 
 def measurement_label(relation: Column, value: Column, error: Column) -> Column:

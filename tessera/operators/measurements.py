@@ -13,9 +13,8 @@ from ..functions.sequences import MAX_LENGTH, MIN_LENGTH, is_canonical, sequence
 
 
 def parse(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds type, relation, value, error, unit and label."""
-    out = texts.withColumn("__p", parse_activity(F.col(text)))
-    out = out.select("*", "__p.*").drop("__p")
+    """Adds type, relation, value, error, unit and label. The one-row generator keeps later filters from repeating the expressions."""
+    out = texts.select("*", F.inline(F.array(parse_activity(F.col(text)))))
     return out.withColumn("label", F.when(F.col("value").isNotNull(), measurement_label(F.col("relation"), F.col("value"), F.col("error"))))
 
 

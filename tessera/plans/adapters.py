@@ -31,7 +31,7 @@ RAW_SQL = """CASE WHEN l_partkey % 97 = 0 THEN core || 'X' WHEN l_partkey % 50 =
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_sequence, endpoint, source, label, pos) from lineitem."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus")
     e = F.when((F.col("l_linenumber") == 7) & (F.col("l_linestatus") == "O"), 8).otherwise(F.col("l_linenumber"))
     flag = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).otherwise(2)
     agreed = F.try_element_at(F.array(*(F.lit(v) for v in (0, 1, 2, 0))), ((F.col("l_partkey") * 31 + F.col("e") * 17) % 4 + 1).cast("int"))
@@ -41,7 +41,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_element_at(F.array(*(F.lit(x) for x in ENDPOINTS)), F.col("e")).alias("endpoint"),
         F.concat(F.lit("src"), (F.col("l_suppkey") % 12).cast("string")).alias("source"),
         F.when(F.col("l_tax") < 0.07, agreed).otherwise(flag).alias("label"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
     )
 
 
@@ -55,7 +55,7 @@ raw_li AS (
 votes AS (
   SELECT {RAW_SQL} AS raw_sequence, [{ENDPOINT_LIST}][e] AS endpoint, 'src' || (l_suppkey % 12) AS source,
     CASE WHEN l_tax < 0.07::DOUBLE THEN [0, 1, 2, 0][((l_partkey * 31 + e * 17) % 4 + 1)::INT] WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 ELSE 2 END AS label,
-    (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos
+    (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
   FROM raw_li WHERE (l_partkey + e) % 3 <> 0
 ),
 norm AS (SELECT nullif(upper(regexp_replace(raw_sequence, '\\s+', '', 'g')), '') AS sequence, * FROM votes),
@@ -137,7 +137,7 @@ def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 3).cast("int").alias("counts_0"),
         F.when(F.col("l_returnflag") == "R", F.concat(F.lit("c"), F.col("l_linestatus"))).alias("category"),
         F.concat(F.lit("file"), (F.col("l_suppkey") % 3).cast("string"), F.lit(".csv")).alias("input_file"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
     )
 
 
@@ -150,7 +150,7 @@ status_rows AS (
     ['positive', 'negative', 'ambiguous', 'unlabeled'][(l_partkey // 5 % 4 + 1)::INT] AS declared_status,
     l_suppkey % 7 = 0 AS positive, l_suppkey % 11 = 0 AS negative, l_suppkey % 13 = 0 AS only_unlabel,
     CASE WHEN l_suppkey % 3 = 0 THEN l_quantity * 2.5::DOUBLE END AS percentage_1, (l_quantity::INT % 4) AS counts_1, (l_suppkey % 3)::INT AS counts_0,
-    CASE WHEN l_returnflag = 'R' THEN 'c' || l_linestatus END AS category, 'file' || (l_suppkey % 3) || '.csv' AS input_file, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos
+    CASE WHEN l_returnflag = 'R' THEN 'c' || l_linestatus END AS category, 'file' || (l_suppkey % 3) || '.csv' AS input_file, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
   FROM raw_rows
 ),
 status_inferred AS (
@@ -171,7 +171,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("l_partkey") % 7 == 0, F.concat(q, F.lit(",5 x 10^-2"))).when(F.col("l_partkey") % 7 == 1, F.lit("unknown")).otherwise(F.concat(q, F.lit("."), (F.col("l_suppkey") % 10).cast("string")))
     error = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit(" ± "), (F.col("l_suppkey") % 9 + 1).cast("string"))).when(F.col("l_suppkey") % 4 == 1, F.concat(F.lit(" ["), (F.col("l_suppkey") % 9 + 1).cast("string"), F.lit("]"))).otherwise("")
     text = F.concat(kind, F.lit(" "), relation, F.lit(" "), value, error, F.lit(" "), unit)
-    return li.select(normalize_sequence(raw_sequence(F.col("l_partkey"))).alias("sequence"), F.when(F.col("l_partkey") % 101 == 0, None).otherwise(text).alias("text"), F.concat(F.lit("src"), (F.col("l_suppkey") % 12).cast("string")).alias("source"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"))
+    return li.select(normalize_sequence(raw_sequence(F.col("l_partkey"))).alias("sequence"), F.when(F.col("l_partkey") % 101 == 0, None).otherwise(text).alias("text"), F.concat(F.lit("src"), (F.col("l_suppkey") % 12).cast("string")).alias("source"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"))
 
 
 ACTIVITIES = f"""
@@ -179,7 +179,7 @@ raw_act AS (
   SELECT *, translate(substr(sha256(l_partkey::VARCHAR), 1, 4 + (l_partkey % 60)::INT), '{HEX}', '{LETTERS}') AS core, l_quantity::INT AS q FROM lineitem WHERE l_linenumber <= 4
 ),
 parsed AS (
-  SELECT nullif(upper(regexp_replace({RAW_SQL}, '\\s+', '', 'g')), '') AS sequence, 'src' || (l_suppkey % 12) AS source, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos,
+  SELECT nullif(upper(regexp_replace({RAW_SQL}, '\\s+', '', 'g')), '') AS sequence, 'src' || (l_suppkey % 12) AS source, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
     l_partkey % 101 = 0 AS no_text,
     CASE WHEN l_partkey % 101 <> 0 THEN ['HC50', 'LC50', 'LD50', 'MHC'][l_linenumber] END AS type,
     CASE WHEN l_partkey % 101 <> 0 AND l_partkey % 7 = 0 THEN (q + 0.5::DOUBLE) * pow(10.0::DOUBLE, -2.0::DOUBLE) WHEN l_partkey % 101 <> 0 AND l_partkey % 7 <> 1 THEN (q || '.' || (l_suppkey % 10))::DOUBLE END AS value,
