@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
@@ -27,27 +34,35 @@ def parse_activity(text: Column) -> Column:
 
     A number after ± or in brackets is the error.
     """
-    kind = F.upper(_found(text, rf"(?i)\b({'|'.join(TYPES)})\b"))
-    rest = F.regexp_replace(text, rf"(?i)\b({'|'.join(TYPES)})\b", " ")
-    relation = F.replace(F.replace(F.coalesce(_found(rest, r"(>=|<=|≥|≤|>|<|=)"), F.lit("=")), F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<="))
-    plain = F.regexp_replace(F.regexp_replace(rest, r"\[[^\]]*\]", " "), rf"±\s*{NUMBER}", " ")
-    base = _number(_found(plain, rf"({NUMBER})"))
-    power = _found(plain, rf"{NUMBER}\s*[x×*]\s*10\^?(-?[0-9]+)").try_cast("int")
-    value = F.when(power.isNull(), base).otherwise(base * F.pow(F.lit(10.0), power.cast("double")))
-    error = _number(F.coalesce(_found(rest, rf"±\s*({NUMBER})"), _found(rest, rf"\[\s*({NUMBER})\s*\]")))
-    spelled = F.lower(F.regexp_replace(_found(rest, r"(?i)((?:[uµμnm]?g\s*/\s*(?:m?l|kg))|(?:[uµμnm]?M\b))"), r"\s+", ""))
+    named = rf"(?i)\b({'|'.join(TYPES)})\b"
     units = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
-    return F.struct(kind.alias("type"), F.when(base.isNotNull(), relation).alias("relation"), value.alias("value"), error.alias("error"), F.try_element_at(units, spelled).alias("unit"))
+
+    def of_rest(rest: Column, kind: Column) -> Column:
+        relation = F.replace(F.replace(F.coalesce(_found(rest, r"(>=|<=|≥|≤|>|<|=)"), F.lit("=")), F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<="))
+        error = _number(F.coalesce(_found(rest, rf"±\s*({NUMBER})"), _found(rest, rf"\[\s*({NUMBER})\s*\]")))
+        spelled = F.lower(F.regexp_replace(_found(rest, r"(?i)((?:[uµμnm]?g\s*/\s*(?:m?l|kg))|(?:[uµμnm]?M\b))"), r"\s+", ""))
+
+        def of_plain(plain: Column) -> Column:
+            base = _number(_found(plain, rf"({NUMBER})"))
+            power = _found(plain, rf"{NUMBER}\s*[x×*]\s*10\^?(-?[0-9]+)").try_cast("int")
+            value = F.when(power.isNull(), base).otherwise(base * F.pow(F.lit(10.0), power.cast("double")))
+            return F.struct(kind.alias("type"), F.when(base.isNotNull(), relation).alias("relation"), value.alias("value"), error.alias("error"), F.try_element_at(units, spelled).alias("unit"))
+
+        return let(F.regexp_replace(rest, rf"\[[^\]]*\]|±\s*{NUMBER}", " "), of_plain)
+
+    return let(text, lambda t: let(F.regexp_replace(t, named, " "), lambda rest: of_rest(rest, F.upper(_found(t, named)))))
 
 
 def general_format(x: Column) -> Column:
     """A number as C's %g does: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6."""
-    six = F.format_string("%.5e", x)
     strip = lambda t: F.regexp_replace(t, r"\.?0+$", "")
-    fixed = strip(six.cast("double").cast("decimal(20,10)").cast("string"))
-    scientific = F.concat(strip(F.substring_index(six, "e", 1)), F.lit("e"), F.substring_index(six, "e", -1))
-    plain = (F.abs(x) == 0) | F.substring_index(six, "e", -1).cast("int").between(-4, 5)
-    return F.when(x.isNotNull(), F.when(plain, fixed).otherwise(scientific))
+
+    def of(six: Column) -> Column:
+        exponent = F.substring_index(six, "e", -1)
+        fixed = strip(six.cast("double").cast("decimal(20,10)").cast("string"))
+        return F.when(exponent.cast("int").between(-4, 5), fixed).otherwise(F.concat(strip(F.substring_index(six, "e", 1)), F.lit("e"), exponent))
+
+    return F.when(x.isNotNull(), let(F.format_string("%.5e", x), of))
 
 
 def measurement_label(relation: Column, value: Column, error: Column) -> Column:

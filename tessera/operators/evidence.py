@@ -11,10 +11,18 @@ from ..functions.labels import ENDPOINTS, MISSING
 from ..functions.sequences import normalize_sequence, qc_reason
 
 
+def passing(df: DataFrame, raw: str = "raw_sequence") -> DataFrame:
+    """df with the normalised sequence, without rows that fail quality control.
+
+    A filter on the normalised column would be pushed below it and evaluate it once for each check; the generator does so once.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c != "sequence"]
+    return df.select(F.explode(F.filter(F.array(normalize_sequence(F.col(raw))), lambda s: qc_reason(s) == "pass")).alias("sequence"), *rest)
+
+
 def clean_votes(votes: DataFrame) -> DataFrame:
     """(sequence, endpoint, source, label) of (raw_sequence, ..) rows that pass quality control, by votes 0, 1 and 2."""
-    named = votes.withColumn("sequence", normalize_sequence(F.col("raw_sequence")))
-    return named.where(qc_reason(F.col("sequence")) == "pass").select("sequence", "endpoint", "source", "label")
+    return passing(votes).select("sequence", "endpoint", "source", "label")
 
 
 def source_status(labels: Column) -> Column:

@@ -14,7 +14,12 @@ SOURCES = tuple(f"src{i}" for i in range(12))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a fact table that lies in fewer splits than there are cores is dealt out once, which a large one never is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("lineitem", "documents") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _core(key: Column) -> Column:

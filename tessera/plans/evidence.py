@@ -123,8 +123,7 @@ LABELLED = f"""{MATRIX}, labelled AS (SELECT *, {_n(1)} AS counts_1, {_n(0)} AS
 
 
 def matrix(spark, d):
-    from_raw = votes(spark, d).withColumn("sequence", sequences.normalize_sequence(F.col("raw_sequence"))).where(sequences.qc_reason(F.col("sequence")) == "pass")
-    return evidence.vote_matrix(from_raw.where("endpoint = 'toxic'"), SOURCES)
+    return evidence.vote_matrix(evidence.passing(votes(spark, d).where("endpoint = 'toxic'")), SOURCES)
 
 
 @query(f"WITH {MATRIX} SELECT * FROM matrix")
@@ -181,7 +180,7 @@ def dedup_label_lists(spark, d):
 
 @query(f"WITH {VOTES} SELECT sequence, arg_min(label, pos) AS label, arg_min(source, pos) AS source FROM clean GROUP BY sequence")
 def first_wins(spark, d):
-    v = votes(spark, d).withColumn("sequence", sequences.normalize_sequence(F.col("raw_sequence"))).where(sequences.qc_reason(F.col("sequence")) == "pass")
+    v = evidence.passing(votes(spark, d))
     return dedup.first_wins(v.select("sequence", "label", "source", "pos"), ["sequence"], ["pos"]).drop("pos")
 
 

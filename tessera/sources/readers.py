@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.labels import ENDPOINTS, parse_boolean, positive_fraction, row_status
 from ..functions.names import path_part
-from ..functions.sequences import normalize_sequence, qc_reason, sequence_id
-from ..operators.evidence import source_columns
+from ..functions.sequences import normalize_sequence, sequence_id
+from ..operators.evidence import passing, source_columns
 
 # Folders of each endpoint, files of each status, columns that are never sources.
 FOLDERS = {e: (e,) for e in ENDPOINTS} | {"cytolysis": ("cytolysis", "cytolytic")}
@@ -68,7 +68,7 @@ def read_status_file(spark: SparkSession, path: str, endpoint: str, folder: str,
     if "sequence" not in raw.columns:
         raise ValueError(f"no column sequence in {path}")
     sources = source_columns(raw, AUXILIARY)
-    df = raw.withColumn("sequence", normalize_sequence(F.col("sequence"))).where(qc_reason(F.col("sequence")) == "pass")
+    df = passing(raw, "sequence")
     col = lambda c, t: F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)
     flag = lambda c: parse_boolean(F.col(c)) if c in df.columns else F.lit(False)
     status = row_status(flag("positive"), flag("negative"), flag("only_unlabel"), col("counts_1", "double"), col("counts_0", "double"), F.lit(declared))
@@ -211,7 +211,7 @@ def read_measurements(spark: SparkSession, root: str) -> DataFrame:
 def id_set(df: DataFrame) -> DataFrame:
     """Different ids: the column id, or made from sequence."""
     ident: Column = F.col("id") if "id" in df.columns else sequence_id(normalize_sequence(F.col("sequence")))
-    return df.select(ident.alias("id")).where("id is not null").distinct()
+    return df.select(F.explode(F.filter(F.array(ident), lambda x: x.isNotNull())).alias("id")).distinct()
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = ("id", "sequence", "label")) -> list[str]:
