@@ -107,7 +107,7 @@ def composition(pivot: DataFrame, endpoints: Sequence[str] = ENDPOINTS) -> DataF
 
 def sequence_statistics(pivot: DataFrame) -> DataFrame:
     n = F.char_length("sequence")
-    return pivot.agg(F.count_distinct("sequence").alias("n_unique"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(n).alias("mean_length"), F.median(n).alias("median_length"))
+    return pivot.agg(F.count_distinct("sequence").alias("n_unique"), F.min(n).cast("long").alias("min_length"), F.max(n).cast("long").alias("max_length"), F.avg(n).alias("mean_length"), F.median(n).alias("median_length"))
 
 
 def assertions(pivot: DataFrame, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:

@@ -158,9 +158,9 @@ def labelled_texts(spark, d):
     return docs.select(F.md5(F.col("text").cast("binary")).alias("key"), F.when(F.col("doc_id") % 5 != 0, F.col("toxic")).alias("label"))
 
 
-@query(f"WITH {DUP} SELECT key, label FROM cls WHERE n <> 1 AND k = 1")
+@query(f"WITH {DUP} SELECT key, label::DOUBLE AS label FROM cls WHERE n <> 1 AND k = 1")
 def dedup_consistent(spark, d):
-    return dedup.resolve(labelled_texts(spark, d), ["key"])[0]
+    return dedup.resolve(labelled_texts(spark, d), ["key"])[0].withColumn("label", F.col("label").cast("double"))
 
 
 @query(f"WITH {DUP} SELECT key FROM cls WHERE n <> 1 AND k > 1")
@@ -168,9 +168,9 @@ def dedup_conflicts(spark, d):
     return dedup.resolve(labelled_texts(spark, d), ["key"])[1]
 
 
-@query(f"WITH {DUP} SELECT dl.key, dl.label FROM dl JOIN cls USING (key) WHERE cls.n = 1")
+@query(f"WITH {DUP} SELECT dl.key, dl.label::DOUBLE AS label FROM dl JOIN cls USING (key) WHERE cls.n = 1")
 def dedup_unique(spark, d):
-    return dedup.resolve(labelled_texts(spark, d), ["key"])[2]
+    return dedup.resolve(labelled_texts(spark, d), ["key"])[2].withColumn("label", F.col("label").cast("double"))
 
 
 @query(f"WITH {DUP} SELECT key, n_rows AS n_duplicates, coalesce(labels, '') AS labels FROM cls")

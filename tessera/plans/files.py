@@ -102,9 +102,9 @@ def streaming_source_states(spark, d):
     return streaming.run_once(spark, stream, f"states_{uuid.uuid4().hex}", scratch_path(spark, "stream"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
-    return streaming.arrivals(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+    return streaming.arrivals(table(spark, d, "events")).withColumns({"start": F.date_format("start", "yyyy-MM-dd HH:mm:ss"), "total": F.round("total", 4)})
 
 
 @query(f"WITH {VOTES} SELECT DISTINCT 'sha256_' || sha256(sequence) AS id FROM norm WHERE sequence IS NOT NULL")

@@ -69,18 +69,18 @@ def hemolytic_labels(spark, d):
     return v.groupBy("v", activity.hemolytic_label(F.col("v")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, CASE WHEN id LIKE '%POS%' THEN 1 WHEN id LIKE '%NEG%' THEN 0 ELSE -1 END AS contains_label, try_cast(split_part(id, '|', 2) AS INT) AS field_label, try_cast(split_part(id, '|', -1) AS INT) AS last_label FROM (
+@query("""SELECT id, CASE WHEN id LIKE '%POS%' THEN 1 WHEN id LIKE '%NEG%' THEN 0 ELSE -1 END AS contains_label, try_cast(split_part(id, '|', 2) AS INT)::DOUBLE AS field_label, try_cast(split_part(id, '|', -1) AS INT) AS last_label FROM (
   SELECT DISTINCT ['POS', 'NEG', 'pos'][(p_partkey % 3 + 1)::INT] || p_partkey || '|' || CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE (p_size % 2)::VARCHAR END || '|' || (p_partkey % 2) AS id FROM part)""")
 def id_labels(spark, d):
     p = table(spark, d, "part")
     ident = F.concat(F.try_element_at(F.array(F.lit("POS"), F.lit("NEG"), F.lit("pos")), (F.col("p_partkey") % 3 + 1).cast("int")), F.col("p_partkey").cast("string"), F.lit("|"), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise((F.col("p_size") % 2).cast("string")), F.lit("|"), (F.col("p_partkey") % 2).cast("string"))
-    return p.select(ident.alias("id")).distinct().select("id", labels.label_in_id(F.col("id")).alias("contains_label"), labels.delimited_label(F.col("id"), "|", 2).alias("field_label"), labels.delimited_label(F.col("id"), "|", -1).alias("last_label"))
+    return p.select(ident.alias("id")).distinct().select("id", labels.label_in_id(F.col("id")).alias("contains_label"), labels.delimited_label(F.col("id"), "|", 2).cast("double").alias("field_label"), labels.delimited_label(F.col("id"), "|", -1).alias("last_label"))
 
 
-@query("SELECT p_type, p_name, CASE WHEN lower(p_name) LIKE '%red%' THEN 0 WHEN lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%gear%' THEN 1 END AS label, CASE WHEN p_size IN (1, 2, 3, 4) THEN 1 ELSE p_size END AS class, count(*) AS n FROM part GROUP BY ALL")
+@query("SELECT p_type, p_name, CASE WHEN lower(p_name) LIKE '%red%' THEN 0 WHEN lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%gear%' THEN 1 END::DOUBLE AS label, CASE WHEN p_size IN (1, 2, 3, 4) THEN 1 ELSE p_size END AS class, count(*) AS n FROM part GROUP BY ALL")
 def rule_labels(spark, d):
     p = table(spark, d, "part")
-    return p.groupBy("p_type", "p_name", labels.ordered_rules(F.col("p_name"), [("ring|gear", 1), ("red", 0)]).alias("label"), labels.collapse_classes(F.col("p_size"), (1, 2, 3, 4)).alias("class")).agg(F.count("*").alias("n"))
+    return p.groupBy("p_type", "p_name", labels.ordered_rules(F.col("p_name"), [("ring|gear", 1), ("red", 0)]).cast("double").alias("label"), labels.collapse_classes(F.col("p_size"), (1, 2, 3, 4)).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT raw, lower(regexp_replace(trim(raw), '\\s+', ' ', 'g')) AS source_key, replace(lower(regexp_replace(trim(replace(raw, '-', ' ')), '\\s+', ' ', 'g')), ' ', '_') AS endpoint_key FROM (SELECT DISTINCT '  ' || c_mktsegment || '  Of-' || (c_custkey % 10) AS raw FROM customer)")
