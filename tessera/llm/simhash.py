@@ -17,7 +17,7 @@ is emitted. A cell over HOT members is cut into chunks and every pair of chunks
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -251,9 +251,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, lanes: int
     return prints.withColumn("node", node).join(named, "node").drop("node")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id. All columns stay; of repeated rows with that doc_id, one."""
-    ids = near_duplicates(docs, **options).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, finder: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates that finder gives: that of the smallest doc_id. All columns stay; of repeated rows with that doc_id, one."""
+    ids = finder(docs, **options).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
     kept = docs.join(ids.withColumnRenamed("doc_id", "__keep"), docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
     order = [F.hash(*(F.col(f"`{c}`").cast("string") for c in docs.columns))]
     from pyspark.sql import Window
