@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,17 @@ def repeated_words(ids: np.ndarray, rows: np.ndarray, window: int = 5) -> np.nda
     return covered
 
 
+def _line_hash(words: list[bytes]) -> int:
+    h = xxhash.xxh64_intdigest(b" ".join(words).lower())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def without_lines(text: str, lines: Collection[int]) -> str:
+    """The text without its lines whose hash is in lines; the other lines stay as they are."""
+    lines = set(lines)
+    return "\n".join(x for x in text.split("\n") if not (words := x.encode().split()) or _line_hash(words) not in lines)
+
+
 def _lines(text: str | None) -> tuple[int, list[tuple[int, int]]]:
     """Lines equal to an earlier one, and the hash and words of every different normalised line; lines without words don't count."""
     seen, repeats, found = set(), 0, {}
@@ -81,8 +92,7 @@ def _lines(text: str | None) -> tuple[int, list[tuple[int, int]]]:
             continue
         repeats += line in seen
         seen.add(line)
-        h = xxhash.xxh64_intdigest(b" ".join(words).lower())
-        h = h - (1 << 64) if h >> 63 else h
+        h = _line_hash(words)
         found[h] = found.get(h, 0) + len(words)
     return repeats, list(found.items())
 
@@ -109,7 +119,7 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int = 20, depleted: float = 0.5) -> DataFrame:
-    """The counts of every row with base_failed, removed_words and kept.
+    """The counts of every row with base_failed, removed_words, removed_lines (hashes; null if none) and kept.
 
     A line is common if it lies in more than share of the different texts of its host and in at least `least` of them. It
     goes from every document but the first (smallest doc_id) that has it there, so copies never remove each other wholly. A document that
@@ -124,18 +134,25 @@ def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int
     common = seen.where(F.col("n") >= least).join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("texts") * share)
     common = materialize(common.select(F.col("host").alias("in_host"), F.col("line").alias("in_line"), "first_id"), "common_lines")
     lost = lines.join(common, (F.col("line") == F.col("in_line")) & F.col("host").eqNullSafe(F.col("in_host"))).where("doc_id is null or doc_id <> first_id")
-    lost = lost.select("doc_id", "text_hash", "host", "line", "words").distinct().groupBy("doc_id", "text_hash", "host").agg(F.sum("words").alias("removed_words"))
-    lost = lost.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("host").alias("s"), "removed_words")
+    lost = lost.select("doc_id", "text_hash", "host", "line", "words").distinct().groupBy("doc_id", "text_hash", "host").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    lost = lost.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("host").alias("s"), "removed_words", "removed_lines")
     out = stats.drop("lines").join(lost, (F.col("text_hash") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("s")), "left").drop("d", "t", "s")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * depleted))
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rejected rows, all columns kept. A row is judged by doc_id and text."""
-    good = judge(docs, **options).where("kept").select("doc_id", "text_hash", "host").distinct()
-    good = good.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("host").alias("__s"))
+    """docs without the rejected rows, all columns kept. A row is judged by doc_id and text.
+
+    text loses the common lines that judge() counts in removed_words; n_chars, where there is one, is then that of the new text.
+    """
+    good = judge(docs, **options).where("kept").select("doc_id", "text_hash", "host", "removed_lines").distinct()
+    good = good.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("host").alias("__s"), F.col("removed_lines").alias("__lines"))
     host = options.get("host", "source")
     text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     same = (text == F.col("__t")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & docs[host].cast("string").eqNullSafe(F.col("__s"))
-    return docs.join(good, same, "left_semi")
+    clean = F.udf(lambda t, lines: None if t is None else without_lines(t, lines), "string", useArrow=True)
+    some = F.col("__lines").isNotNull()
+    out = docs.join(good, same).withColumn("__clean", clean(F.when(some, F.col("text").cast("string")), F.coalesce("__lines", F.array().cast("array<long>"))))
+    new = {"text": F.col("__clean"), "n_chars": F.char_length("__clean")}
+    return out.select(*(F.when(some, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))

@@ -49,3 +49,27 @@ def test_keep(edge, empty):
     assert quality.keep(edge).count() == judged.where("kept").count()
     assert quality.keep(edge).columns == edge.columns
     assert quality.keep(empty).count() == 0 and quality.judge(empty).count() == 0
+
+
+def test_keep_takes_common_lines_out_of_the_text(spark):
+    rng = [" ".join(f"t{i}x{k}" for k in range(30)) for i in range(40)]
+    footers = [" ".join(f"foot{j}w{k}" for k in range(6)) for j in range(2)]
+    rows = [(i, f"{rng[i]}\n\n  {footers[i % 2].upper()}  \nlast {i} line\n{footers[0]}", "h", -1) for i in range(40)]
+    rows += [(5, rows[5][1], "h", -1), (100, "Own text of eleven words that holds no line of others", "h", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    norm = lambda x: " ".join(x.split()).lower()
+    homes = {}
+    for i, t in {(i, t) for i, t, _, _ in rows}:
+        for x in {norm(x) for x in t.split("\n") if x.split()}:
+            homes.setdefault(x, set()).add((t, i))
+    texts = len({t for _, t, _, _ in rows})
+    common = {x: min(i for _, i in h) for x, h in homes.items() if len({t for t, _ in h}) >= 20 and len({t for t, _ in h}) > texts * 0.1}
+    assert set(common) == set(footers)
+    want = []
+    for i, t, s, n in rows:
+        new = "\n".join(x for x in t.split("\n") if common.get(norm(x), i) == i)
+        want.append((i, new, s, n if new == t else len(new)))
+    assert sum(w[1] != r[1] for w, r in zip(want, rows, strict=True)) == 40
+    kept = quality.keep(docs)
+    assert kept.schema == docs.schema
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(want)
