@@ -155,7 +155,7 @@ def delta(x: np.ndarray, y: np.ndarray) -> float:
     return float((np.searchsorted(s, x, "left") - (len(y) - np.searchsorted(s, x, "right"))).sum() / (len(x) * len(y)))
 
 
-def compare_groups(values: DataFrame, stat: Callable = median_difference, n_perm: int = 1000, n_boot: int = 500, seed: int = 42) -> DataFrame:
+def compare_groups(values: DataFrame, stat: Callable = median_difference, n_perm: int = 20000, n_boot: int = 5000, seed: int = 42) -> DataFrame:
     """Permutation test and bootstrap interval of Cliff's delta for every descriptor of (descriptor, grp 0/1, value), then BH, stars and selection.
 
     A descriptor's seed comes from its name, so the result doesn't depend on the order of tasks. One task holds one descriptor's values.

@@ -106,12 +106,12 @@ def roc_auc(spark, d):
 
 @query(None)
 def permutation_test(spark, d):
-    return stats.compare_groups(group_values(spark, d), n_perm=200, n_boot=100)
+    return stats.compare_groups(group_values(spark, d))
 
 
 @query(None)
 def bootstrap_ci(spark, d):
-    return stats.compare_groups(group_values(spark, d), stat=stats.mean_difference, n_perm=0, n_boot=200).select("descriptor", "cliffs_delta", "ci_low", "ci_high")
+    return stats.compare_groups(group_values(spark, d), stat=stats.mean_difference, n_perm=0).select("descriptor", "cliffs_delta", "ci_low", "ci_high")
 
 
 # ---- similarity: vectors of the embeddings table, all pairs as the reference has them
