@@ -51,3 +51,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, first, root) of nodes (node, first ..); root is null for a node without links."""
+    return materialize(nodes.select("node", "first").join(roots, "node", "left"), "rooted")
+
+
+def represented(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(first) of each component: the least of its nodes'."""
+    rooted = _rooted(nodes, roots)
+    linked = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first")
+    return linked.unionAll(rooted.where("root is null").select("first"))
+
+
+def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) of every node: the doc_id of the least `first` in its component."""
+    rooted = _rooted(nodes, roots)
+    linked = rooted.where("root is not null")
+    # a component with a third of all texts is dealt to SALTS keys; what is linked to nothing needs no join
+    first = linked.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(first, ["root", "salt"]).select("node", F.col("least.doc_id").alias("component_id"))
+    return materialize(out.unionAll(rooted.where("root is null").select("node", F.col("first.doc_id").alias("component_id"))), "components")

@@ -1,12 +1,16 @@
 """Benchmark decontamination: pigeonhole pieces find candidate places, Myers' bit-parallel distance verifies them.
 
 An item with error budget k is cut into k + 1 pieces: a passage within k edits of it holds at least one piece unchanged, at
-its place up to k characters. All pieces form one automaton; a hit names the window of the text in which the item may end.
+its place up to k characters. All pieces form one automaton. A hit is verified up a binary tree of joined pieces: a part of j
+pieces that lies in a passage within the budget has, on some path, at most j - 1 edits, so a chance hit fails at a short part and
+only few reach the whole item.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
@@ -15,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Edits allowed for each character of an item, and the shortest piece.
-ERROR_RATE, LEAST_PIECE = 0.08, 14
+#: Edits allowed for each character of an item.
+ERROR_RATE = 0.08
+#: Items under so many characters have no budget, match whole words only, and no document goes for them in clean().
+SHORT = 20
 #: Characters of items in one automaton; more items are searched in further blocks.
 BLOCK_CHARS = 4 << 20
 
@@ -26,8 +32,9 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget(length: int, rate: float = ERROR_RATE, least: int = LEAST_PIECE) -> int:
-    return max(0, min(int(length * rate), length // least - 1))
+def budget(length: int, rate: float = ERROR_RATE) -> int:
+    """Edits that a passage of an item of this length may have: the rate, rounded down; none for a short item."""
+    return int(length * rate) if length >= SHORT else 0
 
 
 def distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -55,16 +62,26 @@ def distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+@cache
+def parents(piece: int, pieces: int) -> tuple[tuple[int, int], ...]:
+    """The parts [low, high) of two pieces and more that hold a piece, from the smallest on, when halves are halved down to single pieces."""
+    low, high, out = 0, pieces, []
+    while high - low > 1:
+        out.append((low, high))
+        middle = (low + high) // 2
+        low, high = (low, middle) if piece < middle else (middle, high)
+    return tuple(reversed(out))
+
+
 class Matcher:
     """The pieces of a block of items, for search in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int) -> None:
-        self.items = [(i, t, budget(len(t), rate, least)) for i, t in items if t]
+    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+        self.items = [(i, t, budget(len(t), rate)) for i, t in items if t]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             for p in range(k + 1):
-                start, end = len(t) * p // (k + 1), len(t) * (p + 1) // (k + 1)
-                places.setdefault(t[start:end], []).append((n, start))
+                places.setdefault(t[len(t) * p // (k + 1) : len(t) * (p + 1) // (k + 1)], []).append((n, p))
         self.pieces = ahocorasick.Automaton()
         for piece, where in places.items():
             self.pieces.add_word(piece, (len(piece), where))
@@ -74,25 +91,37 @@ class Matcher:
     def search(self, text: str) -> dict[int, tuple[int, int]]:
         """For each item that text holds within its budget: its number, the distance and the end of the passage."""
         found: dict[int, tuple[int, int]] = {}
-        done: dict[int, int] = {}
+        tested: dict[tuple[int, int, int, int], tuple[int, int] | None] = {}
         if not len(self.pieces):
             return found
         for last, (length, where) in self.pieces.iter(text):
-            for n, offset in where:
-                _, item, k = self.items[n]
+            for n, p in where:
                 if n in found and not found[n][0]:
                     continue
-                start = last + 1 - length - offset
-                if n in done and abs(done[n] - start) == 0:
-                    continue  # another piece of the same alignment
-                done[n] = start
-                if 0 <= start and text.startswith(item, start):
-                    found[n] = (0, start + len(item))
+                _, item, k = self.items[n]
+                size, m = len(item), k + 1
+                start = last + 1 - length - size * p // m  # where the item begins if nothing before the piece is edited
+                if size < SHORT:
+                    end = start + size
+                    if (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
+                        found[n] = (0, end)
+                    continue
+                if start >= 0 and text.startswith(item, start):
+                    found[n] = (0, start + size)
                     continue
-                low = max(0, start - k)
-                hit = distance(item, text[low : start + len(item) + k], k)
+                hit = None
+                for low, high in parents(p, m):
+                    part = (n, start, low, high)
+                    if part not in tested:
+                        begin, end, most = size * low // m, size * high // m, high - low - 1
+                        edge = max(0, start + begin - most)
+                        d = distance(item[begin:end], text[edge : max(0, start + end + most)], most)
+                        tested[part] = (d[0], edge + d[1]) if d else None
+                    hit = tested[part]
+                    if hit is None:
+                        break
                 if hit and (n not in found or hit[0] < found[n][0]):
-                    found[n] = (hit[0], low + hit[1])
+                    found[n] = hit
         return found
 
 
@@ -114,27 +143,27 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-def _worker(name: str, items: list[tuple[int, str]], rate: float, least: int) -> Matcher:
+def _worker(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
     if name not in _matchers:
         _matchers.clear()  # one automaton at a time
-        _matchers[name] = Matcher(items, rate, least)
+        _matchers[name] = Matcher(items, rate)
     return _matchers[name]
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_PIECE) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """(doc_id, item_id, distance, budget, match_end) for every row of docs and item that its whole text holds within the budget.
 
     Both sides are normalised as normal() does; match_end counts code points of the normalised text. The distance is the
-    smallest found at a place that holds a piece, so exact passages have 0. Empty and null texts and items match nothing, nor does an
-    item without id; repeated rows match repeatedly. Items are read in blocks of BLOCK_CHARS, each a scan of its own.
+    smallest found at a place that holds a piece, so exact passages have 0. An item under SHORT characters has budget 0 and matches whole
+    words only. Empty and null texts and items match nothing, nor does an item without id; repeated rows match repeatedly, an empty
+    table gives no rows, other columns are ignored. Work is in proportion to the pieces found, of which a long repetitive text holds many.
+    Items are read in blocks of BLOCK_CHARS, each a scan of its own.
     """
-    import uuid
-
     def one(block: list[tuple[int, str]]) -> DataFrame:
         shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _worker(name, shared.value, rate, least)
+            matcher = _worker(name, shared.value, rate)
             for batch in slices(batches, "text"):
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -149,20 +178,26 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least:
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_PIECE) -> DataFrame:
-    """docs without the rows that hold an item; all columns stay and no row moves to another task."""
-    import uuid
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """docs without the rows that hold an item; all columns stay, whatever they are called, and no row moves to another task.
+
+    As in matches(), but items under SHORT characters are left out: they occur in clean texts. Null and empty texts hold nothing and stay;
+    repeated rows go or stay together; an empty table, or one without items, comes back as it is.
+    """
+    at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def one(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _worker(name, shared.value, rate, least)
-            for batch in slices(batches, "text"):
-                yield batch.filter(pa.array([not matcher.search(normal(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+            matcher = _worker(name, shared.value, rate)
+            for batch in slices(batches, f"c{at}"):
+                yield batch.filter(pa.array([not matcher.search(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 
-    for block in _blocks(items):
-        docs = one(docs, block)
-    return docs
+    for block in _blocks(items.where(F.char_length("text") >= SHORT)):
+        if long := [x for x in block if len(x[1]) >= SHORT]:
+            plain = one(plain, long)
+    return plain.toDF(*docs.columns)

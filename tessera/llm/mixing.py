@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, boxed, materialize, row_hash, text_hash, unboxed
 
 #: Each source's queue, and the merged queue, are summed up in so many parts.
 PARTS = 1024
@@ -49,24 +49,33 @@ def _literal(entry: Row) -> Column:
     return F.struct(*(F.lit(entry[k]).cast(t).alias(k) for k, t in types))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", seed: int = 0, **options) -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, taken) for every row: the words that the mix takes of it, repeats counted.
 
     Each source's queue holds its shuffled documents, then the same again, `most` times in all. An entry's virtual finish
     time is the words of its source up to its end, divided by the source's target. The queues merge in that order and end
     before the entry that would pass the total budget. The shuffle is a hash of doc_id, so reruns agree; rows with one
-    doc_id follow by size. Null text and texts without words have size 0 and are never taken; a null source is a source;
-    an empty table gives no rows.
+    doc_id follow by size and text. Null text and texts without words have size 0 and are never taken; a null source is a source;
+    an empty table gives no rows; other columns are ignored.
     """
+    return _mixed(_rows(boxed(docs, "doc_id", "text", source).withColumnRenamed(source, "source"), seed), **options).drop("h")
+
+
+def _rows(rows: DataFrame, seed: int, whole: bool = False) -> DataFrame:
+    """(doc_id, source, size, text_hash, h, place) of boxed rows; h tells rows apart by all columns if `whole`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), F.xxhash64(text).alias("text_hash")).withColumn("place", _place(seed))
+    h = row_hash(rows) if whole else F.lit(0).cast("long")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text).alias("size"), text_hash(F.col("text")).alias("text_hash"), h.alias("h")).withColumn("place", _place(seed))
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     rows = materialize(rows.withColumn("part", F.shiftright("place", 60 - (PARTS.bit_length() - 1)).cast("int")), "sizes")
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     aims = materialize(targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most), "targets")
     in_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("before"))
     starts = starts.join(aims.select(F.col("source").alias("a"), "source_size", "target"), F.col("s").eqNullSafe(F.col("a"))).drop("a")
-    upto = Window.partitionBy("source", "part").orderBy("place", "doc_id", "size", "text_hash")
+    upto = Window.partitionBy("source", "part").orderBy("place", "doc_id", "size", "text_hash", "h")
     queue = rows.withColumn("upto", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(upto))
     queue = queue.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("upto", F.col("before") + F.col("upto")).drop("s", "p", "before")
     queue = materialize(queue, "queue")
@@ -101,15 +110,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         else:
             taken = [entry(r) <= _literal(last) for r in range(most)]
         rounds = sum((F.coalesce(t, F.lit(False)).cast("int") for t in taken), F.lit(0))
-    return queue.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * rounds).otherwise(0).cast("long").alias("taken"))
-
-
-def apply(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row taken twice comes twice, one that isn't taken goes. All columns stay; rows equal in doc_id and text share their rounds evenly."""
-    rounds = mix(docs, **options).where("taken > 0").groupBy("doc_id", "text_hash").agg(F.sum(F.expr("taken div size")).alias("__rounds"), F.count("*").alias("__n"))
-    rounds = rounds.withColumnsRenamed({"doc_id": "__d", "text_hash": "__t"})
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0))))
-    joined = keyed.join(rounds, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__t"))).where("__nth <= __n or __nth <= __rounds")
-    times = F.expr("cast(__rounds div __n + if(__nth <= __rounds % __n, 1, 0) as int)")
-    return joined.where(F.col("__nth") <= F.col("__n")).withColumn("__round", F.explode(F.sequence(F.lit(1), times))).select(*(f"`{c}`" for c in docs.columns))
+    return queue.select("doc_id", "text_hash", "h", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * rounds).otherwise(0).cast("long").alias("taken"))
+
+
+def apply(docs: DataFrame, source: str = "source", seed: int = 0, **options) -> DataFrame:
+    """docs as the mix takes them: a row taken twice comes twice, one that isn't taken goes. All columns stay under their names.
+
+    As mix(), with rows of one doc_id and text in order of a hash of all their columns, so reruns agree on which of them is repeated.
+    """
+    keyed = boxed(docs, "doc_id", "text", source).withColumnRenamed(source, "source")
+    taken = _mixed(_rows(keyed, seed, whole=True), **options).where("taken > 0")
+    times = taken.groupBy(F.col("text_hash").alias("t"), "h").agg(F.sum(F.expr("taken div size")).cast("int").alias("times"))
+    # rows that are equal in every column are merged before they are dealt out, and come back as often as all of them are taken
+    merged = keyed.select("row", text_hash(F.col("text")).alias("t"), row_hash(keyed).alias("h")).dropDuplicates(["t", "h"])
+    return unboxed(merged.join(times, ["t", "h"]).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)

@@ -38,10 +38,11 @@ nl AS (
   SELECT doc_id, source, text, translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, sum(len(words)) AS words
   FROM lw GROUP BY ALL
 ),
-tx AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+hl AS (SELECT source, line, count(DISTINCT text) AS n, min(doc_id) AS first_id FROM nl GROUP BY source, line),
+al AS (SELECT line, sum(n) AS n, min(first_id) AS first_id FROM hl GROUP BY line),
 cm AS (
-  SELECT nl.source, nl.line, min(doc_id) AS first_id FROM nl JOIN tx ON nl.source IS NOT DISTINCT FROM tx.source
-  GROUP BY nl.source, nl.line, tx.n HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.1 * tx.n
+  SELECT hl.source, hl.line, CASE WHEN al.n >= 50 THEN al.first_id ELSE hl.first_id END AS first_id
+  FROM hl JOIN al USING (line) WHERE hl.n >= 20 OR al.n >= 50
 ),
 lost AS (
   SELECT doc_id, sum(words) AS n FROM nl JOIN cm ON nl.line = cm.line AND nl.source IS NOT DISTINCT FROM cm.source
@@ -123,6 +124,6 @@ s AS (
   SELECT doc_id, arg_max(s, u) FILTER (s < 40) AS shard, arg_max(s, u) AS grown_shard
   FROM (SELECT doc_id, s, ('0x' || substr(md5(doc_id || ':' || s), 1, 13))::BIGINT AS u FROM (SELECT DISTINCT doc_id FROM d), (SELECT unnest(range(41)) AS s)) GROUP BY doc_id
 )
-SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || doc_id), text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || doc_id || ':' || text_crc32 || ':' || size), doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
 FROM c JOIN s USING (doc_id)
 """

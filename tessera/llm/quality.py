@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes
+from .common import boxed, materialize, slices, text_bytes, text_hash
 
 #: Bytes that start a code point, white space of WORD, and the symbols that are counted.
 _STARTS = np.array([b & 0xC0 != 0x80 for b in range(256)])
@@ -118,21 +118,24 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(run, STATS)
 
 
-def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int = 20, depleted: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", in_host: int = 20, in_all: int = 50, depleted: float = 0.5) -> DataFrame:
     """The counts of every row with base_failed, removed_words, removed_lines (hashes; null if none) and kept.
 
-    A line is common if it lies in more than share of the different texts of its host and in at least `least` of them. It
-    goes from every document but the first (smallest doc_id) that has it there, so copies never remove each other wholly. A document that
+    A line is above the limit in a host if `in_host` different texts of the host have it: it goes from all but the first document
+    (smallest doc_id) of the host with it. It is above the limit everywhere if the hosts' numbers of such texts come to `in_all`: it goes from all but the
+    first document of all. So copies never remove each other wholly. The limits are numbers of texts, so they hold at any size of a host. A document that
     loses over `depleted` of its words so is rejected. Null text: no words, so it fails the base rules. A null host is a host.
-    Repeated rows get equal verdicts, and rows with one doc_id and text count as one document. Other columns are ignored.
+    Repeated rows get equal verdicts, and rows with one doc_id and text count as one document. An empty table gives no rows. Other columns are ignored.
     """
     stats = materialize(statistics(docs, host).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")), "statistics")
-    texts = stats.groupBy("host", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("texts")).select(F.col("host").alias("of"), "texts")
     lines = stats.select("host", "text_hash", "doc_id", F.explode("lines").alias("l")).select("host", "text_hash", "doc_id", "l.line", "l.words")
     seen = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id")).groupBy("host", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    common = seen.where(F.col("n") >= least).join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("texts") * share)
-    common = materialize(common.select(F.col("host").alias("in_host"), F.col("line").alias("in_line"), "first_id"), "common_lines")
+    seen = materialize(seen, "seen_lines")
+    every = seen.groupBy("line").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("n").alias("most"))
+    # lines above some limit, and their hosts
+    above = every.where((F.col("n") >= in_all) | (F.col("most") >= in_host)).select("line", F.when(F.col("n") >= in_all, True).alias("everywhere"), F.col("first_id").alias("first_of_all"))
+    common = seen.join(above, "line").where(F.col("everywhere") | (F.col("n") >= in_host))
+    common = materialize(common.select(F.col("host").alias("in_host"), F.col("line").alias("in_line"), F.when(F.col("everywhere"), F.col("first_of_all")).otherwise(F.col("first_id")).alias("first_id")), "common_lines")
     lost = lines.join(common, (F.col("line") == F.col("in_line")) & F.col("host").eqNullSafe(F.col("in_host"))).where("doc_id is null or doc_id <> first_id")
     lost = lost.select("doc_id", "text_hash", "host", "line", "words").distinct().groupBy("doc_id", "text_hash", "host").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
     lost = lost.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("host").alias("s"), "removed_words", "removed_lines")
@@ -141,18 +144,19 @@ def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * depleted))
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rejected rows, all columns kept. A row is judged by doc_id and text.
+def keep(docs: DataFrame, host: str = "source", **options) -> DataFrame:
+    """docs without the rejected rows, all columns kept under their names. A row is judged by doc_id, text and host; repeated rows stay repeated.
 
-    text loses the common lines that judge() counts in removed_words; n_chars, where there is one, is then that of the new text.
+    text loses the lines that judge() counts in removed_words; n_chars, where there is one, is then that of the new text. Rows with
+    null or empty texts are rejected; a null doc_id or host is one like any other. An empty table gives no rows.
     """
-    good = judge(docs, **options).where("kept").select("doc_id", "text_hash", "host", "removed_lines").distinct()
-    good = good.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("host").alias("__s"), F.col("removed_lines").alias("__lines"))
-    host = options.get("host", "source")
-    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = (text == F.col("__t")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & docs[host].cast("string").eqNullSafe(F.col("__s"))
+    good = judge(docs, host, **options).where("kept").select("doc_id", "text_hash", "host", "removed_lines").distinct()
+    good = good.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("host").alias("s"), "removed_lines")
+    rows = boxed(docs, "doc_id", "text", host).withColumnRenamed(host, "host")
+    same = (text_hash(F.col("text")) == F.col("t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & F.col("host").cast("string").eqNullSafe(F.col("s"))
     clean = F.udf(lambda t, lines: None if t is None else without_lines(t, lines), "string", useArrow=True)
-    some = F.col("__lines").isNotNull()
-    out = docs.join(good, same).withColumn("__clean", clean(F.when(some, F.col("text").cast("string")), F.coalesce("__lines", F.array().cast("array<long>"))))
-    new = {"text": F.col("__clean"), "n_chars": F.char_length("__clean")}
-    return out.select(*(F.when(some, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    some = F.col("removed_lines").isNotNull()
+    out = rows.join(good, same).withColumn("clean", clean(F.when(some, F.col("text").cast("string")), F.coalesce("removed_lines", F.array().cast("array<long>"))))
+    new = {"text": F.col("clean"), "n_chars": F.char_length("clean")}
+    value = lambda c, i: F.when(some, new[c].cast(docs.schema[i].dataType)).otherwise(F.col(f"row.c{i}")) if c in new else F.col(f"row.c{i}")
+    return out.select(*(value(c, i).alias(f"c{i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)

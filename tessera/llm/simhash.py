@@ -8,7 +8,7 @@ Exact mode (one lane, a small radius r): the segments form r + `agree` groups; a
 so it has the same counts in some `agree` groups, and one cell for each choice of `agree` groups finds every pair. A larger
 `agree` makes more and smaller cells: 3 suits up to some 10^8 different texts, 4 some 10^9; the result is the same.
 Sampling mode (several lanes): each cell takes `width` random segments out of all lanes, `tables` times; pairs at radius r
-are found with a probability that `tables` sets (see README).
+are found with a probability that `tables` sets.
 
 Copies never become pairs: equal fingerprints are one node, and within a cell only a spanning forest of the verified links
 is emitted. A cell over HOT members is cut into chunks and every pair of chunks is searched in a task of its own.
@@ -17,7 +17,7 @@ is emitted. A cell over HOT members is cut into chunks and every pair of chunks
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
-from .components import SALTS, connected_components
+from .common import boxed, materialize, row_hash, slices, text_hash, unboxed
+from .components import connected_components, named, represented
 
 SEED = 42
 HOT, CHUNK = 32768, 16384
@@ -69,13 +69,9 @@ def lane(h: np.ndarray, i: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def fingerprint(text: str | None, size: int = 4, lanes: int = 1, distinct: bool = False) -> list[int]:
-    """The lanes of a text's fingerprint, unsigned. No words: zeros."""
+def packed(blocks: Iterable[np.ndarray], lanes: int = 1) -> list[int]:
+    """The lanes of the fingerprint of shingle hashes, unsigned: a bit is 1 if set in over half of them. No hashes: zeros."""
     counts, total = np.zeros((lanes, 64), dtype=np.int64), 0
-    blocks = shingle_hashes(text, size)
-    if distinct:
-        every = list(blocks)
-        blocks = [np.unique(np.concatenate(every))] if every else []
     for h in blocks:
         total += len(h)
         for i in range(lanes):
@@ -85,15 +81,27 @@ def fingerprint(text: str | None, size: int = 4, lanes: int = 1, distinct: bool
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0 .. ) of every row; a null text has no words."""
+def fingerprint(text: str | None, size: int = 4, lanes: int = 1) -> list[int]:
+    """The lanes of a text's fingerprint, repeated shingles included. No words: zeros."""
+    return packed(shingle_hashes(text, size), lanes)
+
+
+def fingerprints(rows: DataFrame, ids: Sequence[str] = ("doc_id",), size: int = 4, lanes: int = 1) -> DataFrame:
+    """(ids, f0 .. ) of every row of (ids, text), ids being of type long; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            f = np.array([fingerprint(t, size, lanes, distinct) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(f[:, i]) for i in range(lanes))], names=["doc_id", *(f"f{i}" for i in range(lanes))])
+            f = np.array([fingerprint(t, size, lanes) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), *(pa.array(f[:, i]) for i in range(lanes))], names=[*ids, *(f"f{i}" for i in range(lanes))])
+
+    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, *(f"f{i}" for i in range(lanes))]))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+def within(lanes: int, radius: int, a: str = "a", b: str = "b") -> Column:
+    """Whether the fingerprints in columns a0 .., b0 .. differ in radius bits at most: first the Manhattan distance of the lanes' bit counts, a lower bound, then all bits."""
+    sides = [(F.col(f"{a}{i}"), F.col(f"{b}{i}")) for i in range(lanes)]
+    bound = sum((F.abs(F.bit_count(x) - F.bit_count(y)) for x, y in sides), F.lit(0))
+    return (bound <= radius) & (sum((F.bit_count(x.bitwiseXOR(y)) for x, y in sides), F.lit(0)) <= radius)
 
 
 def _signed(x: int) -> int:
@@ -230,33 +238,37 @@ def links(nodes: DataFrame, lanes: int = 1, radius: int = 4, tables: int | None
     return found.unionAll(find(parts, 1 << 62).where("hot_key is null").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, lanes: int = 1, tables: int | None = None, width: int = 10, agree: int = 3, distinct: bool = False) -> DataFrame:
+def grouped(rows: DataFrame, ids: Sequence[str], size: int = 4, radius: int = 4, lanes: int = 1, tables: int | None = None, width: int = 10, agree: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of rows (ids, f0 .., node), nodes (node, f0 .., first: the ids of the least row, null doc_id last) and roots (node, root) of what has a link."""
+    cols = [f"f{i}" for i in range(lanes)]
+    node = F.col("f0") if lanes == 1 else F.xxhash64(*cols)
+    prints = materialize(fingerprints(rows, ids, size, lanes), "fingerprints").withColumn("node", node)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ids)).alias("first")
+    nodes = materialize(prints.groupBy("node", *cols).agg(first), "nodes")
+    return prints, nodes, connected_components(links(nodes, lanes, radius, tables, width, agree))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, f0 .., component_id) for every row of docs: the smallest doc_id reachable over links within radius, itself included.
 
     Null and empty texts have fingerprint zero, which links like any other. Repeated rows come back repeated, with one
     component; a null doc_id stays null and counts last. Empty table: no rows. Other columns are ignored, whatever they are called.
     """
-    cols = [f"f{i}" for i in range(lanes)]
-    prints = materialize(fingerprints(docs, size, lanes, distinct), "fingerprints")
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*cols)
-    nodes = materialize(prints.withColumn("node", node).groupBy("node", *cols).agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = connected_components(links(nodes, lanes, radius, tables, width, agree))
-    rooted = materialize(nodes.join(roots, "node", "left").select("node", "root", "first_id"), "rooted")
-    linked = rooted.where("root is not null")
-    # a component with a third of all texts is dealt to SALTS keys; what is linked to nothing needs no join
-    first = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(first, ["root", "salt"]).select("node", "component_id")
-    named = named.unionAll(rooted.where("root is null").select("node", F.col("first_id").alias("component_id")))
-    named = materialize(named, "components")
-    return prints.withColumn("node", node).join(named, "node").drop("node")
-
-
-def one_of_each(docs: DataFrame, finder: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates that finder gives: that of the smallest doc_id. All columns stay; of repeated rows with that doc_id, one."""
-    ids = finder(docs, **options).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(ids.withColumnRenamed("doc_id", "__keep"), docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    order = [F.hash(*(F.col(f"`{c}`").cast("string") for c in docs.columns))]
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy(*order)
-    return kept.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+    rows = boxed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints, nodes, roots = grouped(rows, ["doc_id"], **options)
+    return prints.join(named(nodes, roots), "node").drop("node")
+
+
+def one_of_each(docs: DataFrame, finder: Callable[..., tuple[DataFrame, DataFrame, DataFrame]] = grouped, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates that finder gives, all columns as they are.
+
+    That is the row of the smallest doc_id (null last), then the smallest hash of its text, then of the whole row; of rows that are
+    equal in every column, one. So different texts under one doc_id, or under none, each stay unless they are near-duplicates.
+    An empty table gives no rows.
+    """
+    keyed = boxed(docs, "doc_id", "text")
+    keyed = keyed.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "t": text_hash(F.col("text")), "h": row_hash(keyed)})
+    _, nodes, roots = finder(keyed.drop("row"), ["doc_id", "t", "h"], **options)
+    chosen = represented(nodes, roots).select("first.t", "first.h")
+    # rows that are equal in every column are merged before they are dealt out
+    return unboxed(keyed.select("row", "t", "h").dropDuplicates(["t", "h"]).join(chosen, ["t", "h"], "left_semi"), docs)

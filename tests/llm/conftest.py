@@ -25,3 +25,18 @@ def edge(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Names that the operators' own columns had or have.
+CLASH = ["__t", "__d", "__s", "__id", "__hash", "__nth", "__part", "__n", "__keep", "key_text", "row", "T", "h", "node", "Root", "first", "size", "shard", "slot", "taken", "rounds"]
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """A table of (doc_id, text) rows with a source and one more column for each name of CLASH; its value tells rows and columns apart."""
+
+    def make(rows, source="src"):
+        data = [(*r[:2], r[2] if len(r) > 2 else source, *(f"{c}{i}" for c in CLASH)) for i, r in enumerate(rows)]
+        return spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH))
+
+    return make

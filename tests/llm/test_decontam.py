@@ -30,7 +30,7 @@ def test_matches_against_brute_force(spark):
     docs = []
     for i in range(40):
         t = items[i % 12][1]
-        edits = rng.randint(0, 2 * decontam.budget(len(t)) + 1)
+        edits = rng.randint(0, len(t) // 6)
         s = list(t)
         for _ in range(edits):
             k = rng.randrange(len(s))
@@ -38,15 +38,52 @@ def test_matches_against_brute_force(spark):
         docs.append((i, " ".join(word() for _ in range(20)) + " " + "".join(s).upper() + "\n " + " ".join(word() for _ in range(20))))
     docs += [(100, None), (101, "")]
     got = {(r.doc_id, r.item_id) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {(d, i) for d, t in docs for i, x in items if x and i is not None and edit_distance(decontam.normal(x), decontam.normal(t)) <= decontam.budget(len(decontam.normal(x)))}
+    want = {(d, i) for d, t in docs for i, x in items if x and i is not None and edit_distance(decontam.normal(x), decontam.normal(t)) <= len(decontam.normal(x)) * 8 // 100}
     assert got == want and want
 
 
-def test_blocks_and_clean(spark, monkeypatch, edge, empty):
+def test_budget_is_the_rate():
+    assert [decontam.budget(n) for n in (19, 20, 100, 300, 600)] == [0, 1, 8, 24, 48]
+
+
+def test_passages_at_the_whole_budget_are_found():
+    """Edits spread evenly, so that every piece but one is hit."""
+    rng = random.Random(3)
+    for n in (60, 100, 300):
+        item = "".join(rng.choice("abcdefghij ") for _ in range(n)).replace("  ", "ab").strip() + "x"
+        k = decontam.budget(len(item))
+        matcher = decontam.Matcher([(1, item)], decontam.ERROR_RATE)
+        for spare in range(k + 1):
+            s = list(item)
+            for p in range(k + 1):
+                if p != spare:
+                    s[(len(item) * p // (k + 1) + len(item) * (p + 1) // (k + 1)) // 2] = "Z"
+            assert matcher.search("before it " + "".join(s) + " after")[0][0] == k
+            s[len(item) * spare // (k + 1) + 1] = "Z"
+            assert matcher.search("before it " + "".join(s) + " after") == {}
+
+
+def test_short_items_match_whole_words_and_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "The cat sat"), (2, "concatenate"), (3, None), (3, "cat")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " Cat ")], "item_id long, text string")
+    assert sorted((r.doc_id, r.distance, r.budget) for r in decontam.matches(docs, items).collect()) == [(1, 0, 0), (3, 0, 0)]
+    assert decontam.clean(docs, items).count() == 4
+
+
+def test_long_repetitive_texts():
+    item = "ab " * 40
+    matcher = decontam.Matcher([(1, decontam.normal(item))], decontam.ERROR_RATE)
+    assert matcher.search(decontam.normal("ab " * 20000))[0][0] == 0
+    assert matcher.search(decontam.normal("ab " * 30 + "xyz " * 5000)) == {}
+
+
+def test_blocks_and_clean(spark, monkeypatch, edge, empty, clashing):
     items = spark.createDataFrame([(i, f"item number {i} has a passage of its own that nobody else would write {i}") for i in range(6)], "item_id long, text string")
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
     docs = spark.createDataFrame([(i, f"before. Item  NUMBER {i} has a passage of its own that nobody else would write {i}!", "s") for i in range(6)] + [(9, "clean text", "s")], "doc_id long, text string, other string")
     assert {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs, items).where("distance = 0").collect()} == {(i, i, 0) for i in range(6)}
     assert [tuple(r) for r in decontam.clean(docs, items).collect()] == [(9, "clean text", "s")]
+    clash = clashing([(1, f"so: {docs.first().text}"), (1, "clean"), (None, None)])
+    assert sorted(map(str, decontam.clean(clash, items).collect())) == sorted(map(str, clash.where("text is null or text = 'clean'").collect()))
     assert decontam.clean(edge, items).count() == edge.count() and decontam.clean(empty, items).count() == 0
     assert decontam.matches(edge, items.limit(0)).count() == 0 and decontam.clean(edge, items.limit(0)).count() == edge.count()

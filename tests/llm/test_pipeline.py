@@ -1,13 +1,16 @@
 """The pipeline against a brute-force version, on a small fixture with planted cases."""
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import xxhash
 
 import corpus_pipeline
-from tessera.llm import decontam, mixing, sharding, simhash
+from tessera.llm import decontam, mixing, simhash
 from tests.llm.test_decontam import edit_distance
+from tests.llm.test_jaccard import similarity
 from tests.llm.test_quality import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,13 +38,47 @@ def planted(seed=4):
 
 
 def near_groups(rows):
-    prints = {r[0]: [np.uint64(x) for x in simhash.fingerprint(r[1], 5, 4, True)] for r in rows}
-    ids, root = sorted(prints), {}
-    for i in ids:
-        root[i] = next((root[j] for j in ids if j < i and sum(int(np.bitwise_count(a ^ b)) for a, b in zip(prints[i], prints[j], strict=True)) <= 42), i)
+    """The smallest id reachable over pairs whose sets of five-word shingles have a similarity of 0.8."""
+    root = {}
+    for i, t in sorted((r[0], r[1]) for r in rows):
+        root[i] = next((root[j] for j, u in sorted((r[0], r[1]) for r in rows if r[0] < i) if similarity(t, u) >= 0.8), i)
     return root
 
 
+def brute_mix(rows, weights=(5, 2, 1)):
+    """Times that each id is taken: queues in order of a hash of the id, virtual finish times, budget."""
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    total = {}
+    for i, _, _, s, _ in rows:
+        total[s] = total.get(s, 0) + size[i]
+    left, target, budget = sorted(total, key=lambda s: (s is None, s)), {}, 1.5 * sum(total.values())
+    weight = {s: weights[k % 3] for k, s in enumerate(left)}
+    while left:
+        rate = (budget - sum(target.values())) / sum(weight[s] for s in left)
+        over = [s for s in left if weight[s] * rate > 2 * total[s]]
+        target |= {s: 2.0 * total[s] for s in over} if over else {s: weight[s] * rate for s in left}
+        left = [s for s in left if s not in over] if over else []
+    place = {i: int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16) for i in size}
+    entries = []
+    for s in total:
+        ids, upto = sorted((i for i, _, _, x, _ in rows if x == s), key=place.get), 0
+        for turn in range(2):
+            for i in ids:
+                upto += size[i]
+                entries.append((upto / target[s], s, place[i], i, turn))
+    times, used = {}, 0
+    for _, _, _, i, _ in sorted(entries):
+        used += size[i]
+        if used > sum(target.values()):
+            break
+        times[i] = times.get(i, 0) + 1
+    return times
+
+
+def rendezvous(i, n):
+    return max(range(n), key=lambda s: int(hashlib.md5(f"{i}:{s}".encode()).hexdigest()[:13], 16))
+
+
 def test_against_brute_force(spark, tmp_path):
     rows, items = planted()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
@@ -57,32 +94,61 @@ def test_against_brute_force(spark, tmp_path):
     root = near_groups(good)
     assert {i: root[i] for i in root if i >= 100 and i < 300} == {**{100 + i: i for i in range(10)}, **{200 + i: 10 + i for i in range(10)}}
     unique = [r for r in good if root[r[0]] == r[0]]
-    assert sorted(r.doc_id for r in after[1].collect()) == sorted(r[0] for r in unique)
-    leak = lambda t: any(edit_distance(decontam.normal(x), decontam.normal(t)) <= decontam.budget(len(decontam.normal(x))) for _, x in items)
+    assert sorted(map(tuple, after[1].collect())) == sorted(unique)
+    leak = lambda t: any(edit_distance(decontam.normal(x), decontam.normal(t)) <= len(decontam.normal(x)) * 8 // 100 for _, x in items)
     clean = [r for r in unique if not leak(r[1])]
     assert len(unique) - len(clean) == 5
-    assert sorted(r.doc_id for r in after[2].collect()) == sorted(r[0] for r in clean)
-    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(after[2]).collect() if r.taken}
-    assert sorted(r.doc_id for r in after[3].collect()) == sorted(i for i, n in taken.items() for _ in range(n))
+    assert sorted(map(tuple, after[2].collect())) == sorted(clean)
+    times = brute_mix(clean)
+    assert sorted(map(tuple, after[3].collect())) == sorted(r for r in clean for _ in range(times.get(r[0], 0)))
     final = after[4].collect()
-    assert sorted(r.doc_id for r in final) == sorted(r.doc_id for r in after[3].collect())
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in final) == sorted(map(tuple, after[3].collect()))
     by = {}
     for r in final:
         by.setdefault(r.shard, []).append(r.slot)
-        assert r.grown_shard in (r.shard, 40)
+        assert (r.shard, r.grown_shard) == (rendezvous(r.doc_id, 40), rendezvous(r.doc_id, 41))
+        assert (r["size"], r.text_crc32) == (len(r.text.encode()) + 16, zlib.crc32(r.text.encode()))
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    want = {r.doc_id: r.shard for r in sharding.assign(after[3], [1.0] * 40).collect()}
-    assert {r.doc_id: r.shard for r in final} == want
     assert sorted((r.doc_id, r.slot) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.slot) for r in final), "reruns agree"
 
 
-def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path, edge, empty):
+def test_stages_take_edge_rows_and_clashing_names(spark, tmp_path, clashing):
+    """Nulls, empty and long texts, rows of one id with different texts, equal rows, and columns called like the stages' own."""
+    said = lambda i, n=40: " ".join(f"w{i}x{k}" for k in range(n))
+    item = said(900)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, said(0)), (5, said(1)), (5, said(2)), (5, said(0)), (None, said(3)), (None, said(4)), (None, said(3)), (3, None), (4, ""), (6, said(5, 30000)), (7, said(6) + " " + item), (8, "too short")]
+    docs = clashing([(i, t, None if i == 6 else "s") for i, t in texts] + [(9, said(7), None)])
+    same = docs.unionAll(docs.where("doc_id = 9"))
+    table = lambda df: sorted(map(str, df.collect()))
+    quality, near, leaks, mix, deal = (f for _, f in corpus_pipeline.STAGES)
+    good = same.where("length(text) > 9")
+    assert table(quality(spark, same, "")) == table(good)
+    once = near(spark, good, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in once) == sorted((str(i), t) for i, t in {(1, said(0)), (5, said(1)), (5, said(2)), (None, said(3)), (None, said(4)), (6, said(5, 30000)), (7, said(6) + " " + item), (9, said(7))})
+    assert set(map(str, once)) <= set(table(good))
+    assert table(leaks(spark, same, str(tmp_path))) == table(same.where("doc_id is null or doc_id <> 7"))
+    mixed = table(mix(spark, same, ""))
+    assert set(mixed) <= set(table(same)) and mixed == table(mix(spark, same.repartition(5), "")), "reruns agree"
+    sizes = {str(r): len((r["text"] or "").split()) for r in same.collect()}
+    taken = mixing.mix(same).agg({"taken": "sum"}).first()[0]
+    assert sum(sizes[r] for r in mixed) == taken > 0
+    out = deal(spark, same, "")
+    assert [c for c in out.columns if c in same.columns] and len({c.lower() for c in out.columns}) == len(out.columns)
+    stay = [c for c in same.columns if c.lower() not in ("key_text", "size", "text_crc32", "shard", "grown_shard", "slot")]
+    assert table(out.select(*(f"`{c}`" for c in stay))) == table(same.select(*(f"`{c}`" for c in stay)))
+    slots = {}
+    for r in out.collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert r["shard"] == rendezvous("null" if r["doc_id"] is None else r["doc_id"], 40)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_stages_take_an_empty_table(spark, tmp_path, empty):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (edge, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, str(tmp_path))
-            assert out.count() >= 0 and len(set(out.columns)) == len(out.columns)
-            assert {"doc_id", "text", "source"} <= set(out.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and {"doc_id", "text", "source"} <= set(out.columns)
 
 
 def test_fingerprints_hash_whole_texts():

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import jaccard, simhash
 from tessera.llm.components import connected_components
 
 
@@ -106,7 +107,7 @@ def test_near_copies_with_sampled_grids(spark):
             near[rng.randrange(200)] = rng.choice(words)
         texts += [" ".join(base), " ".join(near)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, size=5, lanes=4, distinct=True, radius=42, tables=48).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, size=5, lanes=4, radius=42, tables=48).collect()}
     found = sum(got[2 * i] == got[2 * i + 1] for i in range(40))
     assert found >= 38
     assert len({got[2 * i] for i in range(40)}) == 40
@@ -117,6 +118,20 @@ def test_one_of_each_keeps_one_row_of_repeats(edge):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "6", "7", "8", "None"]
 
 
+@pytest.mark.parametrize("finder", [simhash.grouped, jaccard.grouped])
+def test_one_of_each_loses_no_text(spark, clashing, finder):
+    """Different texts under one doc_id or under none all stay; of equal texts the smallest doc_id does; other columns stay as they are."""
+    said = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(1, said(0)), (5, said(1)), (5, said(2)), (5, said(0)), (None, said(3)), (None, said(4)), (None, said(1)), (None, said(3))]
+    docs = clashing(rows)
+    kept = simhash.one_of_each(docs, finder)
+    assert kept.columns == docs.columns
+    want = [r for r in docs.collect() if (r["doc_id"], r["text"]) in {(1, said(0)), (5, said(1)), (5, said(2)), (None, said(3)), (None, said(4))}]
+    got = sorted(map(str, kept.collect()))
+    assert len(got) == 5 and set(got) <= set(map(str, want)) and len({(r["doc_id"], r["text"]) for r in kept.collect()}) == 5
+    assert got == sorted(map(str, simhash.one_of_each(docs.repartition(3), finder).collect())), "reruns agree"
+
+
 def test_components_of_stars_and_chains(spark):
     edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5), (None, 3), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
