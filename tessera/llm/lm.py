@@ -1,9 +1,12 @@
-"""Masked pseudo-likelihood: a bidirectional window network scores every token from its neighbours on both sides.
+"""Masked pseudo-likelihood: a bidirectional window network predicts every token from WINDOW words on both sides.
 
-Words are hashed to VOCABULARY buckets, buckets belong to CLASSES classes: the most frequent buckets have one each, the rest share RARE of
-them. log P(token | left, right) = log P(class | classes of left and right), by the network, + log P(bucket | class), by counts.
-All documents are counted, and the network is trained in numpy on the counts of all (left, class, right) triples, so on the
-whole corpus; what the driver gets has a size that VOCABULARY and CLASSES bound.
+The vocabulary is a table of all words of the corpus and their counts, so it grows with the corpus. Its KNOWN most frequent words go to
+the workers, the TOP of them are what the network tells apart: CLASSES balanced classes of words with like neighbours, a softmax over classes, then one
+over the words of the class, both from the embeddings of the words around. The other words are one more class, in which a word has its share of the
+counts: from the workers' table if it is known, else from the whole table by a join, without the row's own occurrences.
+
+The network is trained in numpy by minibatches: each task passes over all its texts, and the tasks' parameters are averaged by tokens.
+KNOWN, TOP and DIM bound what the driver and a worker hold.
 """
 
 from __future__ import annotations
@@ -14,140 +17,337 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes
+from .common import boxed, materialize, slices, text_bytes
 from .quality import words_of
 
-VOCABULARY, CLASSES, RARE, DIM = 1 << 16, 96, 32, 32
-#: The class that stands beyond both ends of a text.
-EDGE = CLASSES - 1
+WINDOW, DIM = 3, 16
+KNOWN, CLASSES, MEMBERS = 1 << 17, 64, 64
+TOP = CLASSES * MEMBERS
+#: Embeddings that the words outside TOP share by hash, and that of the places beyond both ends of a text.
+SHARED = 1024
+EDGE = TOP + SHARED
+#: Places of words outside TOP, and of what isn't a word.
+OTHER, NONE = -1, -2
+#: Frequent words whose counts on either side of a word are its context, by which words get their classes.
+MARKS = 64
+BATCH, RATE = 32768, 0.1
+#: Values in one row of a task's parameters, and the rows of one kind that are added up by different tasks.
+CHUNK, SALTS = 8192, 16
+SEED = 42
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words of all rows (A-Z lower-cased), and the offsets of the rows in them."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the different words (A-Z lower-cased), the number of each token's word in them, and the offsets of the rows in the tokens."""
     raw, offsets = text_bytes(column)
     words, at = words_of(_LOWER[raw], offsets)
     if not len(words):
-        return np.empty(0, np.int64), at
+        return np.empty(0, np.int64), np.empty(0, np.int32), at
     coded = words.dictionary_encode()
-    bucket = np.array([xxhash.xxh32_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.int64) % VOCABULARY
-    return bucket[coded.indices.to_numpy()], at
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], dtype=np.uint64).view(np.int64), coded.indices.to_numpy(), at
 
 
-def _triples(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(left * CLASSES + right) * CLASSES + own for every token."""
-    left, right = np.empty_like(classes), np.empty_like(classes)
-    left[1:], right[:-1] = classes[:-1], classes[1:]
-    full = np.flatnonzero(np.diff(at))
-    left[at[full]], right[at[full + 1] - 1] = EDGE, EDGE
-    return (left * CLASSES + right) * CLASSES + classes
+def _texts(docs: DataFrame) -> DataFrame:
+    return boxed(docs, "text").select(F.col("text").cast("string").alias("text"))
 
 
-def _counted(docs: DataFrame, size: int, codes) -> DataFrame:
-    """(code, n): counts of codes(column) over all documents; each task sends what it found once."""
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word, n) of every different word of all documents: its hash and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
         for batch in slices(batches, "text"):
-            total += np.bincount(codes(batch.column("text")), minlength=size)
+            words, ids, _ = tokens(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(ids, minlength=len(words)))], names=["word", "n"])
+
+    return _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Words:
+    """The known words by hash, with their counts and, for the TOP of them, their places (class * MEMBERS + member; else OTHER)."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    other: int  # tokens of all words outside TOP
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Where the words are in the table; -1: not known."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        i = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[i] == words, i, -1)
+
+    def rows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the row of its embedding, and its place or OTHER."""
+        at = self.find(words)
+        place = np.where(at >= 0, self.places[at], OTHER) if len(self.places) else np.full(len(words), OTHER)
+        return np.where(place >= 0, place, TOP + (words.view(np.uint64) % np.uint64(SHARED)).astype(np.int64)), place
+
+
+def spaced(rows: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows and places of all tokens with WINDOW times EDGE (place NONE) before each text and after the last, and where the tokens are in them.
+
+    So a token's neighbours are those of the array, whatever text they are in.
+    """
+    where = np.arange(len(rows)) + WINDOW * (np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1)
+    size = len(rows) + WINDOW * len(at)
+    wide, of = np.full(size, EDGE), np.full(size, NONE)
+    wide[where], of[where] = rows, place
+    return wide, of, where
+
+
+def blocks(wide: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Stretches of BATCH places with the WINDOW rows on both sides of them."""
+    for s in range(WINDOW, len(wide) - WINDOW, BATCH):
+        e = min(s + BATCH, len(wide) - WINDOW)
+        yield s, wide[s - WINDOW : e + WINDOW], of[s:e]
+
+
+def contexts(docs: DataFrame, words: Words) -> np.ndarray:
+    """Counts (place, mark, side): how often a TOP word has each of MARKS words before and after it, over all documents. places are ranks here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TOP * MARKS * 2, np.int64)
+        for batch in slices(batches, "text"):
+            found, ids, at = tokens(batch.column("text"))
+            place = words.rows(found)[1][ids]
+            near = np.flatnonzero((np.diff(np.repeat(np.arange(len(at) - 1), np.diff(at))) == 0))
+            for side, (one, two) in enumerate(((near + 1, near), (near, near + 1))):
+                hit = (place[one] >= 0) & (place[two] >= 0) & (place[two] < MARKS)
+                total += np.bincount((place[one[hit]] * MARKS + place[two[hit]]) * 2 + side, minlength=len(total))
         seen = np.flatnonzero(total)
         for s in range(0, len(seen), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(seen[s : s + (1 << 16)]), pa.array(total[seen[s : s + (1 << 16)]])], names=["code", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _array(counted: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size, dtype=np.int64)
-    table = counted.toArrow()
+    table = materialize(_texts(docs).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "contexts").toArrow()
+    out = np.zeros(TOP * MARKS * 2, np.int64)
     out[table.column("code").to_numpy()] = table.column("n").to_numpy()
-    return out
+    return out.reshape(TOP, MARKS * 2)
+
+
+def _axes(context: np.ndarray, dim: int) -> np.ndarray:
+    """Principal components of the context shares' square roots."""
+    x = np.sqrt(context / np.maximum(context.sum(1, keepdims=True), 1))
+    x = x - x.mean(0)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    return x @ vectors[:, ::-1][:, :dim]
+
+
+def balanced(context: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The rows in an order in which equal stretches are the classes: halves by the main axis of each part, again and again; ties by row."""
+    parts = [np.arange(len(context))]
+    while len(parts) < classes:
+        parts = [half for part in parts for order in [part[np.argsort(_axes(context[part], 1)[:, 0], kind="stable")]] for half in (order[: len(order) // 2], order[len(order) // 2 :])]
+    return np.concatenate(parts)
+
+
+class Network:
+    """Parameters as one flat array, and views of it."""
+
+    SHAPES = ((EDGE + 1, DIM), (2 * WINDOW, DIM), (DIM,), (CLASSES + 1, DIM), (CLASSES + 1,), (CLASSES, MEMBERS, DIM), (CLASSES, MEMBERS))
+    SIZE = sum(int(np.prod(s)) for s in SHAPES)
+
+    def __init__(self, flat: np.ndarray) -> None:
+        self.flat, self.parts, at = flat, [], 0
+        for s in self.SHAPES:
+            n = int(np.prod(s))
+            self.parts.append(flat[at : at + n].reshape(s))
+            at += n
+
+    @classmethod
+    def start(cls, counts: np.ndarray, other: int, context: np.ndarray) -> Network:
+        """Embeddings from the contexts; the outputs begin as the words' shares of the counts, by place."""
+        net = cls(np.zeros(cls.SIZE, np.float32))
+        rng = np.random.default_rng(SEED)
+        emb, pos, _, _, class_bias, _, bias = net.parts
+        emb[:] = rng.normal(0, 0.1, emb.shape)
+        axes = _axes(context, DIM)
+        emb[:TOP] += axes / max(1e-6, float(axes.std()))
+        pos[:] = rng.normal(0, 0.1, pos.shape) + 0.4
+        by = counts.reshape(CLASSES, MEMBERS)
+        class_bias[:] = np.log(np.r_[by.sum(1), other] + 0.5)
+        bias[:] = np.where(by > 0, np.log(np.maximum(by, 1)), -30.0)
+        return net
+
+    @staticmethod
+    def _log_softmax(x: np.ndarray) -> np.ndarray:
+        x = x - x.max(1, keepdims=True)
+        return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+    def step(self, wide: np.ndarray, of: np.ndarray, grads: Network | None = None) -> np.ndarray:
+        """For each place of a block log P of its word or, for OTHER, of their class (NONE: 0); adds the gradients of the mean loss to grads."""
+        emb, pos, hidden_bias, class_out, class_bias, out, bias = self.parts
+        x, n = emb[wide], len(of)
+        shifts = [*range(WINDOW), *range(WINDOW + 1, 2 * WINDOW + 1)]
+        z = sum(x[d : d + n] * pos[k] for k, d in enumerate(shifts)) + hidden_bias
+        real = np.flatnonzero(of != NONE)
+        place, h = of[real], np.tanh(z[real])
+        kind = np.where(place >= 0, place // MEMBERS, CLASSES)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        real, place, h, kind = real[order], place[order], h[order], kind[order]
+        every = np.arange(len(place))
+        logc = self._log_softmax(h @ class_out.T + class_bias)
+        found = logc[every, kind]
+        if grads is not None:
+            scale = np.float32(1 / max(1, len(place)))
+            d = np.exp(logc)
+            d[every, kind] -= 1
+            d *= scale
+            dh = d @ class_out
+            grads.parts[3] += d.T @ h
+            grads.parts[4] += d.sum(0)
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            s, e = bounds[c], bounds[c + 1]
+            mine, own = place[s:e] - c * MEMBERS, every[: e - s]
+            logm = self._log_softmax(h[s:e] @ out[c].T + bias[c])
+            found[s:e] += logm[own, mine]
+            if grads is not None:
+                d = np.exp(logm)
+                d[own, mine] -= 1
+                d *= scale
+                dh[s:e] += d @ out[c]
+                grads.parts[5][c] += d.T @ h[s:e]
+                grads.parts[6][c] += d.sum(0)
+        if grads is not None:
+            dz = np.zeros((n, DIM), np.float32)
+            dz[real] = dh * (1 - h * h)
+            grads.parts[2] += dz.sum(0)
+            back = np.zeros((len(wide), DIM), np.float32)
+            for k, d in enumerate(shifts):
+                grads.parts[1][k] += np.einsum("nd,nd->d", dz, x[d : d + n])
+                back[d : d + n] += dz * pos[k]
+            flat = grads.parts[0].reshape(-1)
+            flat += np.bincount((wide[:, None] * DIM + np.arange(DIM)).ravel(), weights=back.ravel(), minlength=len(flat)).astype(np.float32)
+        score = np.zeros(n)
+        score[real] = found
+        return score
+
+
+def _fit(docs: DataFrame, words: Words, net: Network) -> Network:
+    """One pass over all texts: every task trains from the same start, then the mean of the tasks' parameters by tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, net.flat))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, (known, flat) = None, shared.value
+        seen = 0
+        for batch in slices(batches, "text"):
+            found, ids, at = tokens(batch.column("text"))
+            if not len(ids):
+                continue
+            if mine is None:
+                mine, grads, squares = Network(flat.copy()), Network(np.zeros_like(flat)), np.full_like(flat, 1e-6)
+            rows, place = known.rows(found)
+            wide, of, _ = spaced(rows[ids], place[ids], at)
+            for _, near, goal in blocks(wide, of):
+                grads.flat[:] = 0
+                mine.step(near, goal, grads)
+                squares += grads.flat * grads.flat
+                mine.flat -= np.float32(RATE) * grads.flat / np.sqrt(squares)
+            seen += len(ids)
+        if seen:
+            salt = TaskContext.get().partitionId() % SALTS
+            for c in range(0, Network.SIZE, CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([salt]), pa.array([seen]), pa.array([mine.flat[c : c + CHUNK].tobytes()], pa.binary())], names=["chunk", "salt", "n", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for c, n, part in zip(*(batch.column(k).to_pylist() for k in ("chunk", "n", "part")), strict=True):
+                old = sums.setdefault(c, [0, 0.0])
+                old[0] += n
+                old[1] = old[1] + n * np.frombuffer(part, np.float32).astype(np.float64)
+        for c, (n, part) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([n]), pa.array([part.tobytes()], pa.binary())], names=["chunk", "n", "part"])
+
+    trained = _texts(docs).mapInArrow(run, "chunk long, salt long, n long, part binary")
+    summed = materialize(trained.repartition("chunk", "salt").mapInArrow(add, "chunk long, n long, part binary"), "parameters").toArrow()
+    total, out = {}, np.zeros(Network.SIZE)
+    for c, n, part in sorted(zip(*(summed.column(k).to_pylist() for k in ("chunk", "n", "part")), strict=True)):
+        out[c : c + CHUNK] += np.frombuffer(part, np.float64)
+        total[c] = total.get(c, 0) + n
+    if not total:
+        return net
+    return Network((out / total[0]).astype(np.float32))
 
 
 @dataclass(frozen=True)
 class Model:
-    classes: np.ndarray  # of each bucket
-    in_class: np.ndarray  # log P(bucket | its class)
-    network: np.ndarray  # log P(class | left, right), by triple code
-
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Summed conditional log-probabilities and tokens of each row."""
-        bucket, at = tokens(column)
-        if not len(bucket):
-            return np.zeros(len(at) - 1), np.diff(at)
-        each = self.network[_triples(self.classes[bucket], at)] + self.in_class[bucket]
-        total = np.r_[0.0, np.cumsum(each, dtype=np.float64)]
-        return total[at[1:]] - total[at[:-1]], np.diff(at)
-
-
-def classes_of(counts: np.ndarray) -> np.ndarray:
-    """The frequent buckets' own classes (ties by bucket), the shared ones of the others."""
-    own = CLASSES - RARE - 1
-    out = own + np.arange(len(counts)) % RARE
-    top = np.lexsort((np.arange(len(counts)), -counts))[:own]
-    out[top] = np.arange(own)
-    return out.astype(np.int64)
-
-
-def fit(triples: np.ndarray, steps: int = 200, rate: float = 0.05, seed: int = 0) -> np.ndarray:
-    """Train tanh(L[left] + R[right] + b) W + c by Adam on all counted triples; gives log P(class | left, right) as a table by triple code."""
-    rng = np.random.default_rng(seed)
-    n = triples.reshape(CLASSES * CLASSES, CLASSES).astype(np.float32)
-    used = np.flatnonzero(n.sum(1))
-    goal = n[used] / max(1.0, float(n.sum()))
-    weight = goal.sum(1, keepdims=True)
-    left, right = used // CLASSES, used % CLASSES
-    p = [rng.normal(0, 0.3, s).astype(np.float32) for s in ((CLASSES, DIM), (CLASSES, DIM), (DIM,), (DIM, CLASSES))] + [np.log(n.sum(0) + 1.0).astype(np.float32)]
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-
-    def ahead(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.tanh(p[0][a] + p[1][b] + p[2])
-        logits = hidden @ p[3] + p[4]
-        logits -= logits.max(1, keepdims=True)
-        return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
-
-    for t in range(1, steps + 1 if len(used) else 1):
-        hidden, logp = ahead(left, right)
-        d = weight * np.exp(logp) - goal
-        dh = (d @ p[3].T) * (1 - hidden**2)
-        grads = [np.zeros_like(p[0]), np.zeros_like(p[1]), dh.sum(0), hidden.T @ d, d.sum(0)]
-        np.add.at(grads[0], left, dh)
-        np.add.at(grads[1], right, dh)
-        for i, g in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            p[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    every = np.arange(CLASSES * CLASSES)
-    return ahead(every // CLASSES, every % CLASSES)[1].astype(np.float32).ravel()
-
-
-def train(docs: DataFrame) -> Model:
-    """A model of all texts. An empty corpus gives even probabilities."""
-    counts = _array(materialize(_counted(docs, VOCABULARY, lambda c: tokens(c)[0]), "unigrams"), VOCABULARY)
-    classes = classes_of(counts)
-    of_class = np.bincount(classes, weights=counts + 0.5, minlength=CLASSES)
-    in_class = (np.log(counts + 0.5) - np.log(of_class[classes])).astype(np.float32)
-
-    def codes(column: pa.Array) -> np.ndarray:
-        bucket, at = tokens(column)
-        return _triples(classes[bucket], at) if len(bucket) else np.empty(0, np.int64)
-
-    triples = _array(materialize(_counted(docs, CLASSES**3, codes), "triples"), CLASSES**3)
-    return Model(classes, in_class, fit(triples))
+    words: Words
+    network: np.ndarray
+    vocabulary: DataFrame  # (word, n), whole
+
+
+def train(docs: DataFrame, rounds: int = 1) -> Model:
+    """A model of all texts, by `rounds` passes over them; small corpora need more than one. Null texts have no words; an empty corpus gives a model that knows no word.
+
+    Repeated rows count repeatedly; other columns are ignored. A rerun over differently dealt texts gives slightly different averages.
+    """
+    whole = materialize(vocabulary(docs), "vocabulary")
+    most = whole.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    word, n = most.column("word").to_numpy(), most.column("n").to_numpy()
+    rank = np.where(np.arange(len(word)) < TOP, np.arange(len(word)), OTHER)
+    by_hash = np.argsort(word)
+    ranked = Words(word[by_hash], n[by_hash], rank[by_hash], int(total - n[:TOP].sum()))
+    context = contexts(docs, ranked)
+    order = balanced(context)
+    place = np.empty(TOP, np.int64)
+    place[order] = np.arange(TOP)
+    words = Words(ranked.hashes, ranked.counts, np.where(ranked.places >= 0, place[ranked.places], OTHER), ranked.other)
+    counts = np.zeros(TOP, np.int64)
+    counts[place[: min(TOP, len(n))]] = n[:TOP]
+    net = Network.start(counts, words.other, context[order])
+    for _ in range(rounds):
+        net = _fit(docs, words, net)
+    return Model(words, net.flat, whole)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row; without tokens 0, 0.0 and null. Null text: no tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY and CLASSES bound its size
+    """(doc_id, n_tokens, n_unseen, log_likelihood, mean_log_likelihood) for every row; without tokens 0, 0, 0.0 and null. Null text: no tokens.
+
+    log_likelihood sums log P(word | the words around it). A word that isn't known has the share of its occurrences outside the row;
+    if there are none, it counts half of one, and in n_unseen. Repeated rows are scored one by one and count as outside of one another. Other columns are
+    ignored, an empty table gives no rows, a text is scored whole.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.words, model.network))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, flat = shared.value
+        net, row = Network(flat), TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            total, n = shared.value.score(batch.column("text"))
-            mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, mask=n == 0)], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            found, ids, at = tokens(batch.column("text"))
+            rows, place = words.rows(found)
+            known = words.find(found)
+            wide, of, where = spaced(rows[ids], place[ids], at)
+            by_place = np.zeros(len(wide))
+            for s, near, goal in blocks(wide, of):
+                by_place[s : s + len(goal)] = net.step(near, goal)
+            share = np.where((known >= 0) & (place < 0), np.log(np.maximum(words.counts[known] if len(words.counts) else 1, 1) / max(1, words.other)), 0.0)
+            total = np.r_[0.0, np.cumsum(share[ids] + by_place[where])]
+            # words that aren't known, by row: hash and count
+            strange = np.flatnonzero(known[ids] < 0)
+            row_of = np.repeat(np.arange(len(at) - 1), np.diff(at))[strange]
+            pairs, times = np.unique(row_of * max(1, len(found)) + ids[strange], return_counts=True)
+            ends = np.searchsorted(pairs // max(1, len(found)), np.arange(len(at))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (found[pairs % max(1, len(found))], times)]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]), *lists], names=["row", "doc_id", "n_tokens", "inner", "words", "times"])
+            row += n
+
+    rows = boxed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = materialize(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, inner double, words array<long>, times array<long>"), "scored")
+    strange = scored.where("size(words) > 0").select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    outside = F.coalesce(F.col("n") - F.col("times"), F.lit(0))
+    outside = F.when(outside > 0, outside.cast("double")).otherwise(0.5)
+    share = F.ln(outside / F.lit(float(max(1, model.words.other)))) * F.col("times")
+    found = strange.join(model.vocabulary, "word", "left").groupBy("row").agg(F.sum(share).alias("outer"), F.sum(F.when(outside < 1, F.col("times")).otherwise(0)).alias("n_unseen"))
+    out = scored.join(found, "row", "left").withColumn("log_likelihood", F.col("inner") + F.coalesce("outer", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", F.coalesce("n_unseen", F.lit(0)).cast("long").alias("n_unseen"), "log_likelihood", F.expr("if(n_tokens > 0, log_likelihood / n_tokens, null)").alias("mean_log_likelihood"))
