@@ -1,25 +1,29 @@
 """URL filter: host and path rules, then the log-likelihood ratio of two character models; DataFrame functions only.
 
-The models are variable-order Markov models with interpolated smoothing. N-grams are counted in hash tables of a fixed size
-(TABLES), so a model has the same bounded size whatever it was trained on, and scoring needs no join.
+The models are Markov models of ORDER characters with interpolated smoothing down to shorter contexts: one of accepted and one of rejected URLs.
+N-grams are exact: a table with a row for each different window of ORDER characters, as large as the URLs make it. Shorter n-grams are sums of its
+rows. A URL's windows are joined to the table's log ratios; frequent windows are dealt to SALTS keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize
 
-#: Slots for n-grams of 1, 2, 3 and 4 characters: the bound of a model's size.
-TABLES = (1 << 10, 1 << 13, 1 << 15, 1 << 16)
-#: Weight of the shorter context in the smoothing, as counts.
-PRIOR = 4.0
+#: Characters of a window: one and the longest context before it.
+ORDER = 4
+#: Weight of the shorter context in the smoothing, as counts, and the share of a character without any context.
+PRIOR, FLAT = 4.0, 1 / 128
 #: Marks the start of a URL for the first characters.
-PAD = "\x02" * (len(TABLES) - 1)
+PAD = "\x02" * (ORDER - 1)
+#: Keys that the rows of one window, or of one URL, are dealt to in joins.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -31,7 +35,7 @@ class Rule:
 
 #: The rules of the registered query, fixed.
 RULES = (Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"))
-#: Words in a host that mark the query's rejected training URLs.
+#: Words in a host that mark rejected training URLs, beside those that a rule blocks.
 BAD_WORDS = ("casino", "pills", "spam", "adult", "bets", "ads-", "porn", "viagra")
 
 
@@ -46,104 +50,87 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """The longest rule (host and path together) that fits, as a struct (rule, verdict), else null. A rule fits its host and all subdomains."""
+    """The longest rule (host and path together) that fits, as a struct (rule, verdict), else null. A rule fits its host and all subdomains; of equally long ones the first counts."""
     ordered = sorted(rules, key=lambda r: -len(r.host + r.path))
     fits = lambda r: ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
     return F.coalesce(*(F.when(fits(r), F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in ordered))
 
 
-def _padded(url: Column) -> Column:
-    return F.concat(F.lit(PAD), F.lower(F.coalesce(url.cast("string"), F.lit(""))))
+def windows(url: Column) -> Column:
+    """The windows of ORDER characters that end at each character of a URL, lower-cased, padded at its start. One pass over the URL."""
+    chars = F.regexp_extract_all(F.concat(F.lit(PAD), F.lower(url)), F.lit("(?s)."), F.lit(0))
+    return F.when(url == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(ORDER), F.greatest(F.size(chars), F.lit(ORDER))), lambda i: F.array_join(F.slice(chars, i - (ORDER - 1), F.lit(ORDER)), "")))
 
 
-def _gram(i: Column, k: int) -> Column:
-    """The k characters of the padded URL u that end at i."""
-    return F.substring(F.col("u"), i - (k - 1), F.lit(k))
+def ratios(counts: DataFrame) -> DataFrame:
+    """(gram, ratio) for every row of (gram, a, r): log P(last character | those before) of the accepted minus that of the rejected.
 
-
-def _slot(gram: Column, order: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(TABLES[order - 1])).cast("int")
-
-
-@dataclass(frozen=True)
-class Model:
-    """For each order the value of every slot, as the text of an array; NaN: unseen."""
-
-    values: tuple[str, ...]
-
-    def score(self, u: Column) -> Column:
-        """Of a column with the padded URL: mean over the characters of log P(accepted) - log P(rejected). A character takes its longest n-gram that the model has; null for an empty URL."""
-        tables = [F.split(F.lit(v), ",").cast("array<double>") for v in self.values]
-
-        def one(i: Column) -> Column:
-            out = F.lit(0.0)
-            for k, table in enumerate(tables, 1):
-                out = F.nanvl(F.get(table, _slot(F.substring(u, i - (k - 1), F.lit(k)), k)), out)
-            return out
-
-        n = F.char_length(u) - len(PAD)
-        total = F.aggregate(F.sequence(F.lit(len(PAD) + 1), F.greatest(n, F.lit(1)) + len(PAD)), F.lit(0.0), lambda a, i: a + one(i))
-        return F.when(n > 0, total / n)
-
-
-def train(labelled: DataFrame) -> Model | None:
-    """A model from (url, rejected) rows, all of them; null if one of the classes has none.
-
-    What reaches the driver is one number for each slot, so TABLES bounds it.
+    a and r are the window's counts in the classes; windows that no class has must be rows too if they are asked for. The probability under k
+    characters of context is (count + PRIOR * that under k - 1) / (count of the context + PRIOR), and FLAT under less than none.
+    """
+    every = counts.select("gram", "a", "r", *(F.substring("gram", ORDER - k + 1, k).alias(f"g{k}") for k in range(1, ORDER + 1)))
+    total = counts.agg(F.sum("a").alias("ca"), F.sum("r").alias("cr")).select("ca", "cr", F.lit(1).alias("one"))
+    known = None
+    for k in range(1, ORDER + 1):
+        own = every.groupBy(f"g{k}").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        if k == 1:
+            # one row of totals, as the context of no characters
+            own = own.withColumn("one", F.lit(1)).join(total, "one").withColumns({"sa": F.lit(FLAT), "sr": F.lit(FLAT)})
+        else:
+            own = own.withColumns({"context": F.substring(f"g{k}", 1, k - 1), "suffix": F.substring(f"g{k}", 2, k - 1)})
+            contexts = own.groupBy("context").agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+            shorter = known.select(F.col("gram").alias("suffix"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))
+            own = own.join(contexts, "context").join(shorter, "suffix")
+        known = own.select(F.col(f"g{k}").alias("gram"), *(((F.col(c) + PRIOR * F.col(f"s{c}")) / (F.col(f"c{c}") + PRIOR)).alias(f"p{c}") for c in "ar"))
+    return known.select("gram", F.ln(F.col("pa") / F.col("pr")).alias("ratio"))
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """(url, score) for every row of distinct URLs (url, a, r): the mean over its characters of the log ratio, null for an empty URL.
+
+    a and r say how often the URL counts as accepted and as rejected in training; with both 0 it is only scored. Without any row of a class there is no score.
     """
-    rows = labelled.where("url <> '' and rejected is not null").select(_padded(F.col("url")).alias("u"), "rejected")
-    at = rows.select("u", "rejected", F.explode(F.sequence(F.lit(len(PAD) + 1), F.char_length("u"))).alias("i"))
-    orders = range(1, len(TABLES) + 1)
-    grams = at.select("rejected", F.explode(F.array(*(_gram(F.col("i"), k) for k in orders))).alias("gram"))
-    grams = materialize(grams.groupBy("gram").agg(F.count_if(~F.col("rejected")).alias("a"), F.count_if("rejected").alias("r")), "grams")
-    total = grams.where("char_length(gram) = 1").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
-    if not total["a"] or not total["r"]:
-        return None
-    flat = 1 / 128
-    known = grams.where("char_length(gram) = 1").select("gram", "a", "r", ((F.col("a") + PRIOR * flat) / (total["a"] + PRIOR)).alias("pa"), ((F.col("r") + PRIOR * flat) / (total["r"] + PRIOR)).alias("pr"))
-    every = known.withColumn("k", F.lit(1))
-    for k in orders[1:]:
-        own = grams.where(F.char_length("gram") == k).withColumns({"context": F.substring("gram", 1, k - 1), "suffix": F.substring("gram", 2, k - 1)})
-        contexts = own.groupBy("context").agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-        shorter = known.select(F.col("gram").alias("suffix"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))
-        known = own.join(contexts, "context").join(shorter, "suffix").select("gram", "a", "r", ((F.col("a") + PRIOR * F.col("sa")) / (F.col("ca") + PRIOR)).alias("pa"), ((F.col("r") + PRIOR * F.col("sr")) / (F.col("cr") + PRIOR)).alias("pr"))
-        every = every.unionByName(known.withColumn("k", F.lit(k)))
-    slot = F.coalesce(*(F.when(F.col("k") == k, _slot(F.col("gram"), k)) for k in orders))
-    weight = F.col("a") + F.col("r")
-    slots = every.groupBy("k", slot.alias("slot")).agg((F.sum(F.ln(F.col("pa") / F.col("pr")) * weight) / F.sum(weight)).alias("v")).collect()
-    values = [["NaN"] * t for t in TABLES]
-    for x in slots:
-        values[x["k"] - 1][x["slot"]] = f"{x['v']:.4f}"
-    return Model(tuple(",".join(v) for v in values))
-
-
-def calibrate(model: Model, accepted: DataFrame, lose: float = 0.01) -> float:
-    """The score under which `lose` of the accepted URLs fall, and zero at most."""
-    limit = accepted.withColumn("u", _padded(F.col("url"))).select(model.score(F.col("u")).alias("s")).agg(F.percentile_approx("s", F.lit(lose), F.lit(10000))).first()[0]
+    parts = urls.where("url <> ''").select(F.xxhash64("url").alias("id"), F.crc32(F.col("url").cast("binary")).alias("check"), "a", "r", F.posexplode(windows(F.col("url"))).alias("at", "gram"))
+    counts = materialize(parts.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "windows")
+    both = counts.agg(F.min(F.least("a", "r")), F.sum("a"), F.sum("r")).first()
+    if not both[1] or not both[2]:
+        return urls.select("url", F.lit(None).cast("double").alias("score"))
+    dealt = materialize(ratios(counts), "ratios").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = parts.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")).join(dealt, ["gram", "salt"])
+    found = found.groupBy("id", "check").agg(F.avg("ratio").alias("score"))
+    named = urls.select("url", F.xxhash64("url").alias("id"), F.crc32(F.col("url").cast("binary")).alias("check"))
+    return named.join(found, ["id", "check"], "left").select("url", "score")
+
+
+def limit_of(scored: DataFrame, lose: float = 0.01) -> float:
+    """The score under which `lose` of the URLs (score) fall, and zero at most; zero without any."""
+    limit = scored.agg(F.percentile_approx("score", F.lit(lose), F.lit(10000))).first()[0]
     return min(0.0, limit) if limit is not None else 0.0
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, bad_words: Sequence[str] = BAD_WORDS, key: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, bad_words: Sequence[str] = BAD_WORDS, key: str = "page_id", lose: float = 0.01) -> DataFrame:
     """(key, host, path, rule, verdict, score) for every row: the longest fitting rule's verdict, else that of the models.
 
-    Training rows, all of them: rejected if the host holds one of bad_words, accepted if no rule blocks the URL; a fifth of the accepted, by
-    hash of the URL, calibrates instead. Null, empty and scheme-less URLs have empty host and path. URLs without a score are
-    allowed, and so is every URL without a rule if one of the classes has no row. Repeated rows get equal verdicts.
+    Rejected are URLs that a rule blocks or whose host holds one of bad_words, accepted all others. Of both a fifth, by hash of the URL, is
+    held out of the training; the held-out accepted ones calibrate: a URL without a rule is blocked if it scores below all but `lose` of
+    them and below zero. Null, empty and scheme-less URLs have empty host and path. URLs without a score (null, empty) are
+    allowed, and so is every URL without a rule if one of the classes has no row. Repeated rows train repeatedly and get equal verdicts. A URL is
+    scored whole, in time linear in its length. An empty table gives no rows, other columns are ignored.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    bad = F.lit(False)
-    for w in bad_words:
-        bad = bad | F.col("host").contains(w)
-    blocked = F.coalesce(F.col("found")["verdict"] == "block", F.lit(False))
-    labelled = rows.select("url", F.when(bad, True).when(~blocked, False).alias("rejected"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held_out"))
-    model = train(labelled.where("rejected or not held_out"))
-    if model is None:
-        score, ruled_out = F.lit(None).cast("double"), F.lit(False)
-    else:
-        limit = calibrate(model, labelled.where("not rejected and held_out"))
-        rows, score = rows.withColumn("u", _padded(F.col("url"))), model.score(F.col("u"))
-        ruled_out = F.coalesce(F.col("score") < limit, F.lit(False))
-    rows = rows.withColumn("score", score)
-    return rows.select(key, "host", "path", F.col("found")["rule"].alias("rule"), F.coalesce(F.col("found")["verdict"], F.when(ruled_out, "block").otherwise("allow")).alias("verdict"), "score")
+    rows = boxed(pages, key, "url").select(F.col(key).cast("long").alias(key), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    distinct = rows.where("url <> ''").groupBy("url").agg(F.count("*").alias("n")).withColumns({"host": host, "path": path})
+    blocked = F.coalesce(rule_of(F.col("host"), F.col("path"), rules)["verdict"] == "block", F.lit(False))
+    distinct = distinct.withColumn("rejected", reduce(lambda x, w: x | F.col("host").contains(w), bad_words, blocked))
+    distinct = materialize(distinct.select("url", "n", "rejected", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held_out")), "urls")
+    weight = lambda rejected: F.when(~F.col("held_out") & (F.col("rejected") == rejected), F.col("n")).otherwise(0)
+    scored = materialize(scores(distinct.select("url", weight(False).alias("a"), weight(True).alias("r"))), "scores")
+    calibrating = distinct.where("held_out and not rejected").select("url").join(scored, "url")
+    limit = limit_of(calibrating, lose)
+    # a URL that a third of the rows have is dealt to SALTS keys
+    dealt = scored.select("url", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    some = rows.where("url <> ''").withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(dealt, ["url", "salt"]).select(key, "url", "score")
+    every = some.unionAll(rows.where("url = ''").select(key, "url", F.lit(None).cast("double").alias("score")))
+    every = every.withColumns({"host": host, "path": path}).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    by_model = F.when(F.coalesce(F.col("score") < limit, F.lit(False)), "block").otherwise("allow")
+    return every.select(key, "host", "path", F.col("found")["rule"].alias("rule"), F.coalesce(F.col("found")["verdict"], by_model).alias("verdict"), "score")

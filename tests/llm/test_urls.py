@@ -30,43 +30,84 @@ def test_rules_and_parts(spark):
 
 
 def samples(n, seed):
+    """URLs of two kinds; the second part of the rejected ones has no bad word and no rule."""
     rng = random.Random(seed)
     good = [f"https://{rng.choice(['blog', 'news', 'docs'])}.site{rng.randint(1, 40)}.info/articles/{rng.randint(1, 999)}" for _ in range(n)]
-    bad = [f"http://win-casino{rng.randint(1, 40)}.biz/bonus-{rng.randint(1, 999)}/play" for _ in range(n)]
-    return good, bad
+    bad = [f"http://win-casino{rng.randint(1, 40)}.biz/bonus-{rng.randint(1, 999)}/play" for _ in range(n // 2)] + [f"http://shop{rng.randint(1, 9)}.org/es/bonus-{rng.randint(1, 999)}/play" for _ in range(n - n // 2)]
+    unnamed = [f"http://win-cash{rng.randint(1, 40)}.biz/bonus-{rng.randint(1, 999)}/play" for _ in range(n // 4)]
+    return good, bad, unnamed
 
 
-def test_models_tell_classes_apart(spark):
-    good, bad = samples(200, 1)
-    df = spark.createDataFrame([(u, False) for u in good] + [(u, True) for u in bad], "url string, rejected boolean")
-    model = urls.train(df)
-    test_good, test_bad = samples(50, 2)
-    rows = spark.createDataFrame([(u, 0) for u in test_good] + [(u, 1) for u in test_bad], "url string, bad int").select("bad", model.score(urls._padded(F.col("url"))).alias("s")).collect()
-    assert sum((r.s < 0) == bool(r.bad) for r in rows) >= 98
+def rejected(url):
+    host = url.split("://")[1].split("/")[0]
+    rule = brute_rule(host, "/" + "/".join(url.split("://")[1].split("/")[1:]))
+    return (rule is not None and rule.verdict == "block") or any(w in host for w in urls.BAD_WORDS)
 
 
-def test_score_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(urls, "TABLES", (1 << 12, 1 << 14, 1 << 17, 1 << 18))
-    good, bad = samples(60, 3)
-    data = [(u, False) for u in good] + [(u, True) for u in bad]
-    model = urls.train(spark.createDataFrame(data, "url string, rejected boolean"))
+def held_out(spark, all_urls):
+    rows = spark.createDataFrame([(u,) for u in sorted(set(all_urls))], "url string").select("url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("h")).collect()
+    return {r.url for r in rows if r.h}
+
+
+def brute_scores(train, asked):
+    """train: (url, rejected) rows; the mean log ratio of each asked URL."""
     counts = [Counter(), Counter()]
-    for u, rejected in data:
+    for u, bad in train:
         p = urls.PAD + u.lower()
-        for i in range(len(urls.PAD), len(p)):
+        for i in range(3, len(p)):
             for k in range(1, 5):
-                counts[rejected][p[i - k + 1 : i + 1]] += 1
+                counts[bad]["gram", p[i - k + 1 : i + 1]] += 1
+                counts[bad]["context", p[i - k + 1 : i]] += k > 1
+            counts[bad]["context", ""] += 1
 
     def prob(c, gram):
-        if len(gram) == 1:
-            return (c[gram] + urls.PRIOR / 128) / (sum(v for g, v in c.items() if len(g) == 1) + urls.PRIOR)
-        context = sum(v for g, v in c.items() if len(g) == len(gram) and g[:-1] == gram[:-1])
-        return (c[gram] + urls.PRIOR * prob(c, gram[1:])) / (context + urls.PRIOR)
-
-    test = [good[0], bad[0], "http://unseen-ÿ.xyz/%%"]
-    for row, u in zip(spark.createDataFrame([(i, u) for i, u in enumerate(test)], "i int, url string").select("i", model.score(urls._padded(F.col("url"))).alias("s")).orderBy("i").collect(), test, strict=True):
-        p, total = urls.PAD + u.lower(), 0.0
-        for i in range(len(urls.PAD), len(p)):
-            gram = next((p[i - k + 1 : i + 1] for k in (4, 3, 2, 1) if any(c[p[i - k + 1 : i + 1]] for c in counts)), None)
-            total += math.log(prob(counts[0], gram) / prob(counts[1], gram)) if gram else 0.0
-        assert abs(row.s - total / len(u)) < 0.02
+        if not gram:
+            return 1 / 128
+        return (c["gram", gram] + urls.PRIOR * prob(c, gram[1:])) / (c["context", gram[:-1]] + urls.PRIOR)
+
+    out = {}
+    for u in asked:
+        p = urls.PAD + u.lower()
+        each = [math.log(prob(counts[0], p[i - 3 : i + 1]) / prob(counts[1], p[i - 3 : i + 1])) for i in range(3, len(p))]
+        out[u] = sum(each) / len(each)
+    return out
+
+
+def test_judge_against_brute_force(spark):
+    """Scores, calibration and verdicts, with repeated rows, other alphabets and a long URL."""
+    good, bad, unnamed = samples(300, 3)
+    every = good + bad + unnamed[:10] + good[:20] + ["http://unseen-ÿ😀.xyz/%%", "no scheme", "http://long.info/" + "ab/c" * 3000]
+    rows = urls.judge(spark.createDataFrame(list(enumerate(every)), "page_id long, url string"), lose=0.05).collect()
+    out = held_out(spark, every)
+    bad_ones = {u: rejected(u) if "://" in u else False for u in every}
+    want = brute_scores([(u, bad_ones[u]) for u in every if u not in out], set(every))
+    calibrating = sorted(want[u] for u in out if not bad_ones[u])
+    limit = min(0.0, calibrating[max(0, math.ceil(0.05 * len(calibrating)) - 1)])
+    blocked = 0
+    for r in rows:
+        u = every[r.page_id]
+        assert abs(r.score - want[u]) < 1e-9
+        rule = brute_rule(r.host, r.path)
+        assert r.verdict == (rule.verdict if rule else "block" if want[u] < limit else "allow")
+        blocked += not rule and not bad_ones[u] and r.verdict == "block"
+    assert blocked
+
+
+def test_models_find_unnamed_rejected_urls(spark):
+    """URLs of a like kind without a bad word or rule are blocked, held-out accepted ones are not."""
+    good, bad, unnamed = samples(400, 1)
+    model_good, model_bad = good[:300], bad[:300]
+    rows = [(u, 1, 0) for u in set(model_good)] + [(u, 0, 1) for u in set(model_bad)]
+    asked = set(good[300:] + unnamed) - {r[0] for r in rows}
+    got = {r.url: r.score for r in urls.scores(spark.createDataFrame(rows + [(u, 0, 0) for u in asked], "url string, a long, r long")).collect()}
+    assert sum((got[u] < 0) == (u in unnamed) for u in asked) >= 0.98 * len(asked) and len(asked) > 150
+
+
+def test_edges(spark, clashing):
+    assert urls.judge(clashing([(1, None)]).withColumnsRenamed({"doc_id": "page_id", "text": "url"})).collect()[0]["verdict"] == "allow"
+    some = clashing([(1, "http://a.example.com/en/1"), (1, "http://a.example.com/en/1"), (None, "http://b.info/x"), (2, ""), (3, None)]).withColumnsRenamed({"doc_id": "page_id", "text": "url"})
+    got = urls.judge(some).collect()
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in got if r.rule) == [("1", "com/en/", "block")] * 2
+    assert len(got) == 5 and all(r.verdict == "allow" for r in got if not r.rule)
+    only_good = spark.createDataFrame([(1, "http://b.info/x"), (2, "http://c.info/y")], "page_id long, url string")
+    assert [r.verdict for r in urls.judge(only_good).collect()] == ["allow"] * 2 and urls.judge(only_good.limit(0)).count() == 0
