@@ -42,14 +42,33 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """XXH64 of the different words (A-Z lower-cased), the number of each token's word in them, and the offsets of the rows in the tokens."""
+#: Bytes up to which a word's hash is 64-bit FNV-1a, byte after byte for all words at once; longer words have XXH64.
+LONG = 64
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (A-Z lower-cased), and the offsets of the rows in them."""
     raw, offsets = text_bytes(column)
     words, at = words_of(_LOWER[raw], offsets)
+    out = np.full(len(words), 0xCBF29CE484222325, np.uint64)
     if not len(words):
-        return np.empty(0, np.int64), np.empty(0, np.int32), at
-    coded = words.dictionary_encode()
-    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], dtype=np.uint64).view(np.int64), coded.indices.to_numpy(), at
+        return out.view(np.int64), at
+    bounds = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    n = np.diff(bounds)
+    # in order of length, so that the words with a k-th byte are a stretch at the end
+    order = np.argsort(np.minimum(n, LONG + 1).astype(np.int16), kind="stable")
+    at_byte, first = bounds[:-1][order], np.searchsorted(np.minimum(n[order], LONG + 1), np.arange(LONG), side="right")
+    with np.errstate(over="ignore"):
+        for k in range(min(int(n.max()), LONG)):
+            h = out[first[k] :]
+            h ^= data[at_byte[first[k] :]]
+            h *= np.uint64(0x100000001B3)
+            at_byte[first[k] :] += 1
+    out[order] = out.copy()
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(words[i].as_py(), SEED)
+    return out.view(np.int64), at
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -61,8 +80,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words, ids, _ = tokens(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(ids, minlength=len(words)))], names=["word", "n"])
+            words, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
 
     return _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -76,16 +95,40 @@ class Words:
     places: np.ndarray
     other: int  # tokens of all words outside TOP
 
+    def __post_init__(self) -> None:
+        """An open hash table of the words' numbers."""
+        bits = max(4, (4 * len(self.hashes)).bit_length())
+        slots, left = np.full(1 << bits, -1, np.int32), np.arange(len(self.hashes), dtype=np.int32)
+        at = self._slot(self.hashes, bits)
+        while len(left):
+            free = np.flatnonzero(slots[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            slots[taken] = left[free[first]]
+            rest = np.setdiff1d(np.arange(len(left)), free[first])
+            left, at = left[rest], (at[rest] + 1) & (len(slots) - 1)
+        object.__setattr__(self, "slots", slots)
+
+    @staticmethod
+    def _slot(words: np.ndarray, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
     def find(self, words: np.ndarray) -> np.ndarray:
-        """Where the words are in the table; -1: not known."""
+        """The words' numbers; -1: not known."""
+        out = np.full(len(words), -1, np.int32)
         if not len(self.hashes):
-            return np.full(len(words), -1)
-        i = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == words, i, -1)
-
-    def rows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the row of its embedding, and its place or OTHER."""
-        at = self.find(words)
+            return out
+        at, left, size = self._slot(words, len(self.slots).bit_length() - 1), np.arange(len(words)), len(self.slots)
+        while len(left):
+            i = self.slots[at]
+            same = (i >= 0) & (self.hashes[i] == words[left])
+            out[left[same]] = i[same]
+            more = (i >= 0) & ~same
+            left, at = left[more], (at[more] + 1) & (size - 1)
+        return out
+
+    def rows(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words and their numbers, the rows of their embeddings, and their places or OTHER."""
         place = np.where(at >= 0, self.places[at], OTHER) if len(self.places) else np.full(len(words), OTHER)
         return np.where(place >= 0, place, TOP + (words.view(np.uint64) % np.uint64(SHARED)).astype(np.int64)), place
 
@@ -115,8 +158,8 @@ def contexts(docs: DataFrame, words: Words) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TOP * MARKS * 2, np.int64)
         for batch in slices(batches, "text"):
-            found, ids, at = tokens(batch.column("text"))
-            place = words.rows(found)[1][ids]
+            found, at = tokens(batch.column("text"))
+            place = words.rows(found, words.find(found))[1]
             near = np.flatnonzero((np.diff(np.repeat(np.arange(len(at) - 1), np.diff(at))) == 0))
             for side, (one, two) in enumerate(((near + 1, near), (near, near + 1))):
                 hit = (place[one] >= 0) & (place[two] >= 0) & (place[two] < MARKS)
@@ -238,19 +281,18 @@ def _fit(docs: DataFrame, words: Words, net: Network) -> Network:
         mine, (known, flat) = None, shared.value
         seen = 0
         for batch in slices(batches, "text"):
-            found, ids, at = tokens(batch.column("text"))
-            if not len(ids):
+            found, at = tokens(batch.column("text"))
+            if not len(found):
                 continue
             if mine is None:
                 mine, grads, squares = Network(flat.copy()), Network(np.zeros_like(flat)), np.full_like(flat, 1e-6)
-            rows, place = known.rows(found)
-            wide, of, _ = spaced(rows[ids], place[ids], at)
+            wide, of, _ = spaced(*known.rows(found, known.find(found)), at)
             for _, near, goal in blocks(wide, of):
                 grads.flat[:] = 0
                 mine.step(near, goal, grads)
                 squares += grads.flat * grads.flat
                 mine.flat -= np.float32(RATE) * grads.flat / np.sqrt(squares)
-            seen += len(ids)
+            seen += len(found)
         if seen:
             salt = TaskContext.get().partitionId() % SALTS
             for c in range(0, Network.SIZE, CHUNK):
@@ -323,21 +365,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         words, flat = shared.value
         net, row = Network(flat), TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            found, ids, at = tokens(batch.column("text"))
-            rows, place = words.rows(found)
+            found, at = tokens(batch.column("text"))
             known = words.find(found)
-            wide, of, where = spaced(rows[ids], place[ids], at)
+            rows, place = words.rows(found, known)
+            wide, of, where = spaced(rows, place, at)
             by_place = np.zeros(len(wide))
             for s, near, goal in blocks(wide, of):
                 by_place[s : s + len(goal)] = net.step(near, goal)
             share = np.where((known >= 0) & (place < 0), np.log(np.maximum(words.counts[known] if len(words.counts) else 1, 1) / max(1, words.other)), 0.0)
-            total = np.r_[0.0, np.cumsum(share[ids] + by_place[where])]
+            total = np.r_[0.0, np.cumsum(share + by_place[where])]
             # words that aren't known, by row: hash and count
-            strange = np.flatnonzero(known[ids] < 0)
-            row_of = np.repeat(np.arange(len(at) - 1), np.diff(at))[strange]
-            pairs, times = np.unique(row_of * max(1, len(found)) + ids[strange], return_counts=True)
-            ends = np.searchsorted(pairs // max(1, len(found)), np.arange(len(at))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (found[pairs % max(1, len(found))], times)]
+            strange = np.flatnonzero(known < 0)
+            row_of, word = np.repeat(np.arange(len(at) - 1), np.diff(at))[strange], found[strange]
+            order = np.lexsort((word, row_of))
+            row_of, word = row_of[order], word[order]
+            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row_of[1:] != row_of[:-1])]) if len(word) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(word)])
+            ends = np.searchsorted(row_of[first], np.arange(len(at))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (word[first], times)]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]), *lists], names=["row", "doc_id", "n_tokens", "inner", "words", "times"])
             row += n

@@ -90,7 +90,9 @@ def scores(urls: DataFrame) -> DataFrame:
 
     a and r say how often the URL counts as accepted and as rejected in training; with both 0 it is only scored. Without any row of a class there is no score.
     """
-    parts = urls.where("url <> ''").select(F.xxhash64("url").alias("id"), F.crc32(F.col("url").cast("binary")).alias("check"), "a", "r", F.posexplode(windows(F.col("url"))).alias("at", "gram"))
+    # a few megabytes of URLs make many windows: they are spread before
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = urls.where("url <> ''").repartition(tasks, "url").select(F.xxhash64("url").alias("id"), F.crc32(F.col("url").cast("binary")).alias("check"), "a", "r", F.posexplode(windows(F.col("url"))).alias("at", "gram"))
     counts = materialize(parts.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "windows")
     both = counts.agg(F.min(F.least("a", "r")), F.sum("a"), F.sum("r")).first()
     if not both[1] or not both[2]:

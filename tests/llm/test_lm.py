@@ -25,7 +25,14 @@ def split(text):
 
 
 def hashed(word):
-    return int(np.array([xxhash.xxh64_intdigest(word.encode().lower(), 42)], np.uint64).view(np.int64)[0])
+    raw = word.encode().lower()
+    if len(raw) > 64:
+        h = xxhash.xxh64_intdigest(raw, 42)
+    else:
+        h = 0xCBF29CE484222325
+        for b in raw:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def brute(model, text, seen):
@@ -160,7 +167,14 @@ def test_edges(edge, empty, clashing):
     assert [r.log_likelihood for r in lm.score(docs, lm.train(empty)).collect() if not r.n_tokens] == [0.0] * 3
 
 
-def test_texts_of_one_column_are_cut_anywhere():
-    texts = pa.array(["a b c d e", None, "", "x y"])
-    whole = lm.tokens(texts)
-    assert whole[2].tolist() == [0, 5, 5, 5, 7] and len(whole[1]) == 7
+def test_tokens_and_lookups():
+    long = "x" * 64, "y" * 65, "Z" * 3000
+    words, at = lm.tokens(pa.array(["a B  c\nd e", None, "", f"é {' '.join(long)}", "a"]))
+    assert at.tolist() == [0, 5, 5, 5, 9, 10]
+    assert words.tolist() == [hashed(w) for w in ["a", "B", "c", "d", "e", "é", *long, "a"]]
+    rng = np.random.default_rng(6)
+    some = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
+    table = lm.Words(some, some, some, 1)
+    asked = np.r_[some[::3], rng.integers(-(1 << 62), 1 << 62, 5000)]
+    number = {w: i for i, w in enumerate(some.tolist())}
+    assert table.find(asked).tolist() == [number.get(w, -1) for w in asked.tolist()]
