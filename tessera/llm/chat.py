@@ -56,17 +56,29 @@ def messages(events: DataFrame) -> DataFrame:
 def render(final: DataFrame) -> DataFrame:
     """(conv_id, formatted, mask): the text of each conversation by msg and the spans [start, end) of its assistant texts, in code points of `formatted`.
 
-    A conversation is one row of output, so its messages meet in one task; they never exceed what a row can hold.
+    Messages with one msg go by role and text; repeats stay; null roles and texts are empty; a null conv_id is a conversation; an empty table gives
+    no rows; other columns are ignored. A conversation is one row of output, so its messages meet in one task; they never exceed what a row can hold.
+    Starts are running sums, so work is linear in a conversation's length.
     """
-    role, text = escape_role(F.col("role")), escape(F.col("text"))
-    turns = final.select("conv_id", F.struct("msg", role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    piece = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE))
-    # starts of the turns: sums of the lengths before them
-    ends = F.aggregate(F.transform("turns", lambda t: F.char_length(piece(t))), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    spans = F.zip_with("turns", F.slice(ends, F.lit(1), F.size("turns")), lambda t, s: F.struct(
-        (s + len(OPEN) + F.char_length(t["role"]) + 1).alias("start"), (s + len(OPEN) + F.char_length(t["role"]) + 1 + F.char_length(t["text"])).alias("end"), (t["role"] == "assistant").alias("on")))
-    mask = F.transform(F.filter(spans, lambda x: x["on"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return turns.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), mask.alias("mask"))
+    role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
+    rows = final.select("conv_id", "msg", (F.col("role") == "assistant").alias("on"), role.alias("role"), text.alias("text"))
+    rows = rows.withColumn("piece", F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE)))
+    before = Window.partitionBy("conv_id").orderBy("msg", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)).cast("int"))
+    start = F.col("at") + len(OPEN) + F.char_length("role") + 1
+    span = F.when(F.coalesce("on", F.lit(False)), F.struct(start.alias("start"), (start + F.char_length("text")).alias("end")))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("turns"), F.array_sort(F.collect_list(span)).alias("mask"))
+    return turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), "mask")
+
+
+#: Characters of the parts that a text is cut into once, so that a span is taken out of few of them.
+PART = 1024
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The characters [start, end) of a text given as its parts of PART characters."""
+    first = F.floor(start / PART).cast("int")
+    return F.substring(F.array_join(F.slice(parts, first + 1, F.floor(end / PART).cast("int") - first + 1), ""), start - first * PART + 1, end - start)
 
 
 def parse(formatted: Column) -> Column:
@@ -78,9 +90,12 @@ def parse(formatted: Column) -> Column:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from (formatted, mask)."""
-    turns = rendered.withColumn("turns", parse(F.col("formatted")))
-    masked = F.array_join(F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))), "")
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from (formatted, mask).
+
+    A row for each row of rendered; without a mask the loss is empty. Empty table: no rows. Work is linear in a conversation's length.
+    """
+    turns = rendered.withColumns({"turns": parse(F.col("formatted")), "parts": F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))})
+    masked = F.array_join(F.transform("mask", lambda m: unescape(cut(F.col("parts"), m["start"], m["end"]))), "")
     turns = turns.withColumn("loss", masked)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))

@@ -24,10 +24,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import boxed, materialize, scratch_path
 
 #: Bytes after which a new archive begins, captures in an index block, and the gap up to which two record ranges are read as one.
 ARCHIVE_BYTES, BLOCK_LINES, GAP = 1 << 30, 3000, 1 << 16
+#: Keys that the rows of one payload are dealt to where they meet what they refer to.
+SALTS = 8
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -87,6 +89,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 _CAPTURES = pa.schema([("page_id", pa.int64()), ("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 _DIRECTORY = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("captures", pa.int64())])
+_BLOCKS = pa.schema([("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
@@ -99,14 +102,15 @@ def write(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
 
     Of rows whose payloads are equal and have `least` bytes or more, those with the largest page_id are responses, the others
     revisit it; smaller ones are responses. A null html is an empty payload; a null page_id comes before all others. Only digests of payloads that
-    occur repeatedly are joined; a payload that a third of the rows have is split by adaptive execution.
+    occur repeatedly are joined; the rows of a payload are dealt to SALTS keys there.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), url_key(F.col("url")).alias("key"))
+    base = boxed(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), url_key(F.col("url")).alias("key"))
     sha1 = F.sha1(F.col("html").cast("binary"))
     copies = base.where(F.octet_length("html") >= least).groupBy(sha1.alias("sha1")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("sha1", "first_id")
-    copies = materialize(copies, "copies")
-    rows = base.withColumn("own", sha1).join(copies, (F.col("own") == F.col("sha1")) & (F.octet_length("html") >= least), "left")
+    copies = materialize(copies, "copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = base.withColumns({"own": sha1, "of": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+    rows = dealt.join(copies, (F.col("own") == F.col("sha1")) & (F.col("of") == F.col("salt")) & (F.octet_length("html") >= least), "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id"))
     rows = rows.select("page_id", "url", "key", "html", "own", refers.alias("refers_to"))
 
@@ -181,56 +185,71 @@ def build(captures: DataFrame, root: str, block_lines: int = BLOCK_LINES) -> Ind
 
 
 class _Directory:
-    """The part of the directory that may hold keys from low to high, read by range; blocks are kept one at a time."""
+    """The part of the directory that may hold keys from low to high, as rows (first, last, file, at, length)."""
 
-    def __init__(self, store: fs.FileSystem, base: str, rows: list[tuple]) -> None:
-        self.store, self.base, self.rows = store, base, sorted(rows)
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = sorted(rows)
         self.lasts = sorted((r[1], i) for i, r in enumerate(self.rows))
-        self.block: tuple[tuple, list] = ((), [])
 
-    def lines(self, row: tuple) -> list:
-        if self.block[0] != row[2:4]:
-            with self.store.open_input_file(f"{self.base}/{row[2]}") as f:
-                self.block = (row[2:4], [json.loads(x) for x in zlib.decompress(f.read_at(row[4], row[3])).decode().split("\n")])
-        return self.block[1]
-
-    def find(self, key: str) -> Iterator[list]:
+    def find(self, key: str) -> Iterator[tuple]:
         """Blocks are in order and don't overlap but in their end keys: the first whose last key isn't before `key`, and on while they start with it."""
         i = bisect.bisect_left(self.lasts, (key, -1))
         while i < len(self.rows) and self.rows[i][0] <= key:
-            lines = self.lines(self.rows[i])
-            j = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            while j < len(lines) and lines[j][0] == key:
-                yield lines[j]
-                j += 1
+            yield self.rows[i]
             i += 1
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for rows that are small beside the work that they stand for: adaptive execution would merge them by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def locate(index: Index, keys: DataFrame) -> DataFrame:
-    """The captures of every different key of `keys` (key): sorted keys meet the directory by range, and each task reads its own part of it."""
+    """The captures of every different key of `keys` (key).
+
+    Sorted keys meet the directory by range, and each task reads its own part of it; then (key, block) pairs are dealt out by block, so a key that many
+    blocks hold is searched by many tasks. A null key is in no index. Captures come in batches of bounded size.
+    """
     path = index.directory._tessera_path
     root = index.root
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
-        store, base = _open(root)
         dir_store, dir_path = _open(path)
         table = ds.dataset(dir_path, filesystem=dir_store, format="parquet", exclude_invalid_files=False)
         for batch in batches:
             wanted = batch.column(0).to_pylist()
             if not wanted:
                 continue
-            part = table.to_table(filter=(ds.field("last") >= wanted[0]) & (ds.field("first") <= wanted[-1]))
-            directory = _Directory(store, base, list(zip(*(part.column(c).to_pylist() for c in _DIRECTORY.names), strict=True)))
-            found = [(page, key, file, at, length) for k in wanted for key, page, file, at, length in directory.find(k)]
-            yield _table(found, _CAPTURES)
-
-    ordered = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, CAPTURES)
-
+            part = table.to_table(filter=(ds.field("last") >= wanted[0]) & (ds.field("first") <= wanted[-1]), columns=_DIRECTORY.names[:5])
+            directory = _Directory(list(zip(*(part.column(c).to_pylist() for c in _DIRECTORY.names[:5]), strict=True)))
+            yield _table([(k, *block[2:5]) for k in wanted for block in directory.find(k)], _BLOCKS)
 
-def fetch(index: Index, captures: DataFrame, payloads: bool = True, chunk: int = 64 << 20) -> DataFrame:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open(root)
+        now, lines, found = None, [], []
+        for batch in batches:
+            for key, *block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if now != block:
+                    with store.open_input_file(f"{base}/{block[0]}") as f:
+                        now, lines = block, [json.loads(x) for x in zlib.decompress(f.read_at(block[2], block[1])).decode().split("\n")]
+                for i in range(bisect.bisect_left(lines, key, key=lambda x: x[0]), len(lines)):
+                    if lines[i][0] != key:
+                        break
+                    _, page, file, at, length = lines[i]
+                    found.append((page, key, file, at, length))
+                if len(found) >= 4096:
+                    yield _table(found, _CAPTURES)
+                    found = []
+        yield _table(found, _CAPTURES)
+
+    ordered = keys.where("key is not null").select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    pairs = ordered.mapInArrow(direct, "key string, file string, at long, length long")
+    return pairs.repartition(_tasks(keys), "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(search, CAPTURES)
+
+
+def fetch(index: Index, captures: DataFrame, payloads: bool = True, chunk: int = 16 << 20) -> DataFrame:
     """The records of captures: pointers meet by archive and stretch of it, near ranges are read as one."""
     root = index.root
 
@@ -252,17 +271,18 @@ def fetch(index: Index, captures: DataFrame, payloads: bool = True, chunk: int =
                 done = end
 
     near = captures.select("file", "at", "length").withColumn("stretch", F.expr(f"at div {chunk}"))
-    near = near.repartition("file", "stretch").sortWithinPartitions("file", "at").select("file", "at", "length")
+    near = near.repartition(_tasks(captures), "file", "stretch").sortWithinPartitions("file", "at").select("file", "at", "length")
     return near.mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write archives and index for pages, then read every capture back through lookups of all keys: (page_id, payload_bytes, payload_digest, record_type, refers_to) and url.
 
-    A page is one row; repeated rows come back repeatedly, and rows with one page_id and payload have the same type. Empty table: no rows.
+    A page is one row; repeated rows come back repeatedly, and rows with one page_id and payload have the same type. A null url is one key of its own, a
+    null html an empty payload, a null page_id comes before all others. A payload is held whole, one at a time. Empty table: no rows. Other columns are ignored.
     """
     root = scratch_path(pages.sparkSession, "warc")
     captures = write(pages, root, least)
     index = build(captures, root)
-    found = locate(index, pages.select(url_key(F.col("url")).alias("key")))
+    found = locate(index, boxed(pages, "url").select(url_key(F.col("url")).alias("key")))
     return fetch(index, materialize(found, "found"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -49,3 +49,13 @@ def test_empty_and_other_columns(spark):
     assert chat.digests(chat.render(chat.messages(chat.table_events(df)))).count() == 0
     one = spark.createDataFrame([(1, 0, None, None, "m", 9)], "conv_id long, turn long, role string, text string, mask string, seq long")
     assert chat.digests(chat.render(chat.messages(chat.table_events(one)))).select(F.col("n_turns")).first()[0] == 1
+
+
+def test_long_conversations_and_spans_over_parts(spark, clashing):
+    rows = [(1, i, "assistant" if i % 2 else "user", "😀</s>é" * (i % 700) + f"turn {i}") for i in range(1500)] + [(None, 0, "assistant", None), (None, 0, "assistant", None)]
+    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.render(chat.messages(chat.table_events(log)))).collect()}
+    said = "".join(t for _, _, r, t in rows[:1500] if r == "assistant")
+    assert got[1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].loss_chars == len(said) and got[1].n_turns == 1500
+    assert got[None].n_turns == 2 and got[None].loss_chars == 0
+    assert chat.digests(chat.render(chat.messages(chat.table_events(log.limit(0))))).count() == 0

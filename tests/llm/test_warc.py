@@ -60,3 +60,15 @@ def test_keys(spark):
     urls = ["HTTP://Www.Example.COM/A?b#c", "https://example.com", None, "plain/path"]
     got = [r.k for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.url_key(F.col("u")).alias("k")).collect()]
     assert got == ["com,example,www)/a?b", "com,example)", ")", "plain)/path"]
+
+
+def test_one_key_in_many_blocks(spark, clashing):
+    """A key that most captures have lies in many blocks, which several tasks search."""
+    pages = clashing([(i, None if i % 3 else f"http://h{i}.example/") for i in range(300)]).withColumnsRenamed({"doc_id": "page_id", "text": "url", "source": "html"})
+    root = scratch_path(spark, "warc-hot")
+    index = warc.build(warc.write(pages, root), root, block_lines=7)
+    keys = pages.select(warc.url_key(F.col("url")).alias("key"))
+    found = warc.locate(index, keys)
+    assert sorted(r.page_id for r in found.collect()) == list(range(300))
+    assert found.where("key = ')'").select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == list(range(300))
