@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import ENDPOINTS, PARENT_CHILDREN
+from ..functions.names import meaningful_targets
 from ..functions.sequences import normalize_sequence, sequence_id
+from .annotations import lookup
 
 SCHEMA_VERSION = "1.0"
 
@@ -44,9 +46,61 @@ def measurement_records(measurements: DataFrame, master: DataFrame) -> DataFrame
     return known.groupBy("sequence").agg(F.array_sort(F.collect_list(rec)).alias("toxicity_properties"))
 
 
-def build(master: DataFrame, states: DataFrame, counts: DataFrame, measurements: DataFrame | None = None, descriptors: DataFrame | None = None) -> DataFrame:
-    """Cards. All parts are keyed by sequence, so the joins share one partitioning."""
+def _by_endpoint(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """(sequence, name): endpoint to value."""
+    return rows.groupBy("sequence").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("endpoint", value.alias("v"))))).alias(name))
+
+
+def negative_sources(resolved: DataFrame, states: DataFrame, categories: DataFrame) -> DataFrame:
+    """(sequence, endpoint, status, sources): the sources that say negative where the final state is negative or ambiguous, with their categories."""
+    told = lookup(resolved.where("source_status = 'negative'"), categories)
+    final = states.where(F.col("status").isin("negative", "ambiguous")).select("sequence", "endpoint", "status")
+    return told.join(final, ["sequence", "endpoint"]).groupBy("sequence", "endpoint", "status").agg(F.array_sort(F.collect_set(F.struct("source", "categories"))).alias("sources"))
+
+
+def negative_evidence(found: DataFrame) -> DataFrame:
+    """(sequence, negative_evidence) of negative_sources(): what the sources do to the state, then endpoint, then sources."""
+    part = F.when(F.col("status") == "negative", "supports_negative_status").otherwise("contributes_to_ambiguity").alias("part")
+    per = found.groupBy("sequence", part).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("endpoint", F.struct("sources").alias("v"))))).alias("m"))
+    return per.groupBy("sequence").agg(F.map_from_entries(F.collect_list(F.struct("part", "m"))).alias("negative_evidence"))
+
+
+def positive_targets(resolved: DataFrame, states: DataFrame, targets: DataFrame) -> DataFrame:
+    """(sequence, endpoint, targets): what the sources that say positive report as affected, where the final state is positive."""
+    told = lookup(resolved.where("source_status = 'positive'"), targets).join(states.where("status = 'positive'").select("sequence", "endpoint"), ["sequence", "endpoint"])
+    each = told.select("sequence", "endpoint", F.explode(F.flatten(F.transform("categories", lambda c: meaningful_targets(F.lower(c))))).alias("t"))
+    return each.groupBy("sequence", "endpoint").agg(F.array_sort(F.collect_set("t")).alias("targets"))
+
+
+def activity_table(states: DataFrame, counts: DataFrame, negative: DataFrame, targets: DataFrame) -> DataFrame:
+    """The evidence of every (sequence, endpoint) with a state, in 16 columns; categories and targets are joined by bars."""
+    joined = lambda c: F.coalesce(F.array_join(F.array_sort(F.array_distinct(c)), "|"), F.lit(""))
+    out = states.where("status <> 'no_information'").join(counts, ["sequence", "endpoint"], "left").join(negative.drop("status"), ["sequence", "endpoint"], "left").join(targets, ["sequence", "endpoint"], "left")
+    n = [f"n_{s}_sources" for s in ("positive", "negative", "unlabeled", "conflicting")]
+    return out.select(
+        sequence_id(F.col("sequence")).alias("id"), "sequence", "endpoint", "status", "status_before_hierarchy", "status_origin", *(F.coalesce(c, F.lit(0)).alias(c) for c in n),
+        "hierarchy_source", "is_hierarchy_inferred", "hierarchy_blocked_by_ambiguity", "has_hierarchical_conflict",
+        joined(F.flatten(F.transform("sources", lambda s: s["categories"]))).alias("negative_evidence_categories"), joined(F.col("targets")).alias("toxicity_target_categories"),
+    )
+
+
+def source_table(resolved: DataFrame, categories: DataFrame, targets: DataFrame) -> DataFrame:
+    """What every source says of every (sequence, endpoint), in 8 columns."""
+    named = lookup(lookup(resolved, categories).withColumnRenamed("categories", "negative"), targets)
+    said = F.array_distinct(F.array_sort(F.flatten(F.transform("categories", lambda c: meaningful_targets(F.lower(c))))))
+    return named.select(
+        sequence_id(F.col("sequence")).alias("id"), "sequence", "endpoint", "source", "source_status", F.array_join(F.transform("observed_labels", lambda v: v.cast("string")), "|").alias("observed_labels"),
+        F.when(F.col("source_status") == "negative", F.array_join(F.array_sort("negative"), "|")).otherwise("").alias("negative_evidence_categories"), F.array_join(said, "|").alias("toxicity_target_categories"),
+    )
+
+
+def build(master: DataFrame, states: DataFrame, counts: DataFrame, measurements: DataFrame | None = None, descriptors: DataFrame | None = None, negative: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Cards. All parts are keyed by sequence, so the joins share one partitioning; negative and targets come from negative_sources() and positive_targets()."""
     out = master.select("id", "sequence")
+    if negative is not None:
+        out = out.join(negative_evidence(negative), "sequence", "left")
+    if targets is not None:
+        out = out.join(_by_endpoint(targets, F.col("targets"), "toxicity_targets"), "sequence", "left")
     for part in (activity_summary(states), evidence_counts(counts), ontology(states)):
         out = out.join(part, "sequence", "left")
     if measurements is not None:
@@ -103,6 +157,8 @@ def json_schema(endpoints: Sequence[str] = ENDPOINTS) -> dict:
             "activity_summary": {"type": "object", "additionalProperties": names},
             "evidence_counts": {"type": "object"},
             "ontology": {"type": "object"},
+            "negative_evidence": {"type": "object", "propertyNames": {"enum": ["contributes_to_ambiguity", "supports_negative_status"]}},
+            "toxicity_targets": {"type": "object", "propertyNames": {"enum": list(endpoints)}, "additionalProperties": {"type": "array", "items": {"type": "string"}}},
             "toxicity_properties": {"type": "array"},
             "physicochemical_summary": {"type": "object", "additionalProperties": {"type": ["number", "null"]}},
         },

@@ -68,19 +68,18 @@ def binary_reuse(pivot: DataFrame, endpoints: Sequence[str] = ENDPOINTS) -> Data
 
 
 def cooccurrence(pivot: DataFrame, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:
-    """For every pair of endpoints, how many rows are positive in both and in either, and Jaccard. One aggregate of a constant number of sums."""
+    """For every pair of endpoints, how many rows are positive in both, in either and in the first, and Jaccard. One aggregate of a constant number of sums."""
     pairs = [(a, b) for a in endpoints for b in endpoints]
     on = {e: F.coalesce(F.col(e) == 1, F.lit(False)) for e in endpoints}
     sums = pivot.agg(*(F.count_if(on[a] & on[b]).alias(f"b{i}") for i, (a, b) in enumerate(pairs)), *(F.count_if(on[a] | on[b]).alias(f"e{i}") for i, (a, b) in enumerate(pairs)))
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"b{i}").alias("n_both"), F.col(f"e{i}").alias("n_either")) for i, (a, b) in enumerate(pairs)))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"b{i}").alias("n_both"), F.col(f"e{i}").alias("n_either"), F.col(f"b{pairs.index((a, a))}").alias("n_own")) for i, (a, b) in enumerate(pairs)))
     out = sums.select(F.explode(rows).alias("r")).select("r.*")
     return out.withColumn("jaccard", F.coalesce(F.try_divide(F.col("n_both").cast("double"), F.col("n_either")), F.lit(0.0)))
 
 
 def overlap_percent(pairs: DataFrame) -> DataFrame:
     """Co-occurrence over the row's own positives, as a percentage."""
-    own = pairs.where("a = b").select("a", F.col("n_both").alias("own"))
-    return pairs.join(own, "a").select("a", "b", F.coalesce(F.try_divide(F.col("n_both") * 100.0, F.col("own")), F.lit(0.0)).alias("percent"))
+    return pairs.select("a", "b", F.coalesce(F.try_divide(F.col("n_both") * 100.0, F.col("n_own")), F.lit(0.0)).alias("percent"))
 
 
 def burden(pivot: DataFrame, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:

@@ -26,21 +26,32 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, label: str, block: int =
     The reference's result is quadratic, so this is for samples and class representatives. Rows go to blocks by hash of the key; each pair of
     blocks is one group of two blocks at most, multiplied in numpy.
     """
+
+    def one(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, s, same = _block_cosines(pair, pdf)
+        return pd.DataFrame({"a": a, "b": b, "same_label": same, "cosine": s})
+
+    return _blocks(df, key, vector, label, block).applyInPandas(one, "a long, b long, same_label boolean, cosine double")
+
+
+def _blocks(df: DataFrame, key: str, vector: str, label: str, block: int):
+    """Rows grouped by pairs of blocks."""
     n = max(1, -(-df.count() // block))
     rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(label).cast("int").alias("l"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    return spread.groupBy("lo", "hi")
 
-    def one(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf[pdf.own == pair[0]], pdf[pdf.own == pair[1]]
-        unit = lambda p: (m := np.array(p.v.tolist(), dtype=np.float64).reshape(len(p), -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        if not len(lo) or not len(hi):
-            return pd.DataFrame(columns=["a", "b", "same_label", "cosine"])
-        s = unit(lo) @ unit(hi).T
-        a, b = lo.k.to_numpy(), hi.k.to_numpy()
-        i, j = np.nonzero(a[:, None] < b[None, :]) if pair[0] == pair[1] else np.nonzero(a[:, None] != b[None, :])
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "same_label": lo.l.to_numpy()[i] == hi.l.to_numpy()[j], "cosine": s[i, j]})
 
-    return spread.groupBy("lo", "hi").applyInPandas(one, "a long, b long, same_label boolean, cosine double")
+def _block_cosines(pair: tuple, pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """a, b, cosine and whether the labels agree, of all pairs a < b of one pair of blocks."""
+    lo, hi = pdf[pdf.own == pair[0]], pdf[pdf.own == pair[1]]
+    unit = lambda p: (m := np.array(p.v.tolist(), dtype=np.float64).reshape(len(p), -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    if not len(lo) or not len(hi):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+    s = unit(lo) @ unit(hi).T
+    a, b = lo.k.to_numpy(), hi.k.to_numpy()
+    i, j = np.nonzero(a[:, None] < b[None, :]) if pair[0] == pair[1] else np.nonzero(a[:, None] != b[None, :])
+    return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), s[i, j], lo.l.to_numpy()[i] == hi.l.to_numpy()[j]
 
 
 # Thresholds and percentiles of a similarity report.
@@ -77,6 +88,48 @@ def scale(df: DataFrame, columns: Sequence[str], how: str = "standard") -> DataF
     return df.withColumns({c: (F.col(c) - F.lit(float(one[f"{shift[how]}_{c}"] or 0) if how in shift else 0.0)) / F.lit(float(spread(c))) for c in columns})
 
 
+def fit_scale(df: DataFrame, columns: Sequence[str], how: str = "standard") -> dict[str, tuple[float, float]]:
+    """For each column (shift, spread) by one aggregate over df: standard, minmax or maxabs, for use on other rows."""
+    one = df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max), ("abs", lambda c: F.max(F.abs(c)))))).first()
+    n = lambda k, c: float(one[f"{k}_{c}"] or 0.0)
+    kinds = {"standard": lambda c: (n("avg", c), n("std", c)), "minmax": lambda c: (n("min", c), n("max", c) - n("min", c)), "maxabs": lambda c: (0.0, n("abs", c))}
+    return {c: (shift, spread or 1.0) for c in columns for shift, spread in [kinds[how](c)]}
+
+
+def transform_scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns({c: (F.col(c) - F.lit(shift)) / F.lit(spread) for c, (shift, spread) in fitted.items()})
+
+
+def cosine_summary(df: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
+    """(same_label, n, total, squares, least, most, at_least) over all pairs: counts, sums and the numbers at and over each of THRESHOLDS.
+
+    As cosine_pairs(), but each pair of blocks gives two rows and no pair leaves its task.
+    """
+
+    def one(pair: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s, same = _block_cosines(pair, pdf)[2:]
+        rows = [(bool(k), len(x), x.sum(), (x * x).sum(), x.min(), x.max(), [int((x >= t).sum()) for t in THRESHOLDS]) for k in (False, True) if len(x := s[same == k])]
+        return pd.DataFrame(rows, columns=["same_label", "n", "total", "squares", "least", "most", "at_least"])
+
+    each = _blocks(df, key, vector, label, block).applyInPandas(one, "same_label boolean, n long, total double, squares double, least double, most double, at_least array<long>")
+    sums = [F.sum(F.col("at_least")[i]) for i in range(len(THRESHOLDS))]
+    return each.groupBy("same_label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("least").alias("least"), F.max("most").alias("most"), F.array(*sums).alias("at_least"))
+
+
+def summary_thresholds(summary: DataFrame) -> DataFrame:
+    """threshold_counts() of a cosine_summary()."""
+    one = summary.agg(F.sum("n").alias("n"), *(F.sum(F.col("at_least")[i]).alias(f"t{i}") for i in range(len(THRESHOLDS))))
+    rows = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("n"), (F.col(f"t{i}") / F.col("n")).alias("fraction")) for i, t in enumerate(THRESHOLDS)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def summary_moments(summary: DataFrame) -> DataFrame:
+    """(mean, std_population) of a cosine_summary()."""
+    mean = F.col("total") / F.col("n")
+    one = summary.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    return one.select(mean.alias("mean"), F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))).alias("std_population"))
+
+
 def quantile_scale(df: DataFrame, column: str) -> DataFrame:
     """Uniform quantiles from ranks of different values, (rank - 1) / (n - 1)."""
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))

@@ -26,13 +26,16 @@ def adjust_bh(df: DataFrame, p: str = "p_value", out: str = "q_value", by: Seque
 def running_total(counted: DataFrame, by: Sequence[str], value: str, amount: Column, parts: int = 64) -> DataFrame:
     """counted with `before`: the amounts of all smaller values of the same `by`. Values must be different within `by` and not null.
 
-    Values fall into about even ranges by approximate cut points; the ranges' totals are summed up (`parts` rows for each `by`), and a
+    Values fall into about even ranges by approximate cut points of their own group; the ranges' totals are summed up (`parts` rows for each `by`), and a
     window only orders one range, so no task sorts all values of a group.
     """
-    found = counted.agg(F.percentile_approx(value, F.array(*(F.lit(i / parts) for i in range(1, parts)))).alias("c")).first()["c"] or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(found)))) if found else F.array().cast("array<double>")
-    cut = counted.withColumn("__cuts", cuts).withColumn("__amount", amount)
-    cut = cut.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    counted = counted.withColumn("__one", F.lit(1))
+    cuts = counted.groupBy(*by, "__one").agg(F.percentile_approx(value, F.array(*(F.lit(i / parts) for i in range(1, parts)))).alias("__cuts"))
+    same = F.col("__one") == F.col("__1")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__c_{b}"))
+    cut = counted.withColumn("__amount", amount).join(cuts.select(F.col("__one").alias("__1"), "__cuts", *(F.col(b).alias(f"__c_{b}") for b in by)), same)
+    cut = cut.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts", "__1", "__one", *(f"__c_{b}" for b in by))
     totals = cut.groupBy(*by, "__range").agg(F.sum("__amount").alias("__n"))
     ahead = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("__range").alias("__of"), ahead.alias("__ahead"))
@@ -133,11 +136,16 @@ def permutation_p(x: np.ndarray, y: np.ndarray, stat: Callable, n_perm: int, rng
     return float(observed), far / n_perm if n_perm else float("nan")
 
 
-def bootstrap_interval(x: np.ndarray, y: np.ndarray, stat: Callable, n_boot: int, rng: np.random.Generator, balanced: bool = True) -> tuple[float, float]:
-    """2.5 and 97.5 percentiles over subsamples of the smaller size without replacement, or classic resamples."""
+def resampled(x: np.ndarray, y: np.ndarray, stat: Callable, n_boot: int, rng: np.random.Generator, balanced: bool = True) -> list[float]:
+    """The statistic over subsamples of the smaller size without replacement, or classic resamples."""
     n = min(len(x), len(y))
     draw = (lambda v: rng.choice(v, n, replace=False)) if balanced else (lambda v: rng.choice(v, len(v), replace=True))
-    low, high = np.percentile([stat(draw(x), draw(y)) for _ in range(n_boot)], [2.5, 97.5])
+    return [float(stat(draw(x), draw(y))) for _ in range(n_boot)]
+
+
+def bootstrap_interval(x: np.ndarray, y: np.ndarray, stat: Callable, n_boot: int, rng: np.random.Generator, balanced: bool = True) -> tuple[float, float]:
+    """2.5 and 97.5 percentiles of resampled()."""
+    low, high = np.percentile(resampled(x, y, stat, n_boot, rng, balanced), [2.5, 97.5])
     return float(low), float(high)
 
 
@@ -155,24 +163,62 @@ def delta(x: np.ndarray, y: np.ndarray) -> float:
     return float((np.searchsorted(s, x, "left") - (len(y) - np.searchsorted(s, x, "right"))).sum() / (len(x) * len(y)))
 
 
-def compare_groups(values: DataFrame, stat: Callable = median_difference, n_perm: int = 20000, n_boot: int = 5000, seed: int = 42) -> DataFrame:
+def compare_groups(values: DataFrame, stat: Callable = median_difference, n_perm: int = 20000, n_boot: int = 5000, seed: int = 42, block: int = 500) -> DataFrame:
     """Permutation test and bootstrap interval of Cliff's delta for every descriptor of (descriptor, grp 0/1, value), then BH, stars and selection.
 
-    A descriptor's seed comes from its name, so the result doesn't depend on the order of tasks. One task holds one descriptor's values.
+    Equal values are counted first. Draws are dealt out in blocks of `block`, each with a seed of the descriptor's name and its number, so the result
+    doesn't depend on the order of tasks; a task holds the counts of one descriptor's different values.
     """
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.dropna(subset=["value"])
-        x, y = v[v.grp == 0].value.to_numpy(), v[v.grp == 1].value.to_numpy()
-        x, y = np.sort(x), np.sort(y)
-        rng = np.random.default_rng([seed, *key[0].encode()])
+    counts = values.where("value is not null and grp in (0, 1)").groupBy("descriptor", "value").agg(F.count_if(F.col("grp") == 0).alias("a"), F.count_if(F.col("grp") == 1).alias("b"))
+    blocks = max(1, -(-n_perm // block), -(-n_boot // block))
+    spread = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("value")
+        x, y = np.repeat(v.value.to_numpy(), v.a), np.repeat(v.value.to_numpy(), v.b)
+        rng = np.random.default_rng([seed, int(key[1]), *str(key[0]).encode()])
+        mine = lambda n: int(min(block, max(0, n - key[1] * block)))
         if not len(x) or not len(y):
-            return pd.DataFrame([(key[0], len(x), len(y), None, None, None, None, None)], columns=cols)
-        observed, p = permutation_p(x, y, stat, n_perm, rng)
-        low, high = bootstrap_interval(x, y, delta, n_boot, rng)
-        return pd.DataFrame([(key[0], len(x), len(y), observed, p, delta(x, y), low, high)], columns=cols)
-
-    cols = ["descriptor", "n_a", "n_b", "stat_observed", "p_value", "cliffs_delta", "ci_low", "ci_high"]
-    schema = "descriptor string, n_a long, n_b long, stat_observed double, p_value double, cliffs_delta double, ci_low double, ci_high double"
-    out = adjust_bh(values.select("descriptor", "grp", "value").groupBy("descriptor").applyInPandas(one, schema))
+            return pd.DataFrame([(key[0], len(x), len(y), None, None, None, [])], columns=cols)
+        observed, p = permutation_p(x, y, stat, mine(n_perm), rng)
+        far = round(p * mine(n_perm)) if mine(n_perm) else 0
+        return pd.DataFrame([(key[0], len(x), len(y), observed, far, delta(x, y), resampled(x, y, delta, mine(n_boot), rng))], columns=cols)
+
+    cols = ["descriptor", "n_a", "n_b", "stat_observed", "far", "cliffs_delta", "draws"]
+    drawn = spread.groupBy("descriptor", "block").applyInPandas(draw, "descriptor string, n_a long, n_b long, stat_observed double, far long, cliffs_delta double, draws array<double>")
+    p = F.when(F.lit(n_perm > 0), F.sum("far") / F.lit(max(1, n_perm))).otherwise(F.lit(float("nan")))
+    one = drawn.groupBy("descriptor").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("stat_observed").alias("stat_observed"), F.when(F.first("stat_observed").isNotNull(), p).alias("p_value"), F.first("cliffs_delta").alias("cliffs_delta"), F.flatten(F.collect_list("draws")).alias("draws"))
+    # percentiles of the few thousand draws, with linear interpolation
+    at = lambda q: F.transform(F.array(F.array_sort("draws")), lambda d: _between(d, (F.size(d) - 1) * F.lit(q)))[0]
+    out = one.withColumns({"ci_low": at(0.025), "ci_high": at(0.975)}).drop("draws")
+    out = adjust_bh(out)
     return out.withColumns({"stars": significance_stars(F.col("q_value")), "selected": F.coalesce((F.abs("cliffs_delta") >= 0.15) & (F.col("q_value") <= 0.05), F.lit(False))})
+
+
+def _between(ordered: Column, place: Column) -> Column:
+    """The value at a place of an ordered array, between two elements in proportion; null for an empty one."""
+    low = F.floor(place).cast("int")
+    a, b = F.get(ordered, F.greatest(low, F.lit(0))), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return a + (b - a) * (place - low)
+
+
+def selected_directions(selected: DataFrame, diff: str = "stat_observed", out: str = "diff_B_minus_A") -> DataFrame:
+    """The descriptors of a selection with the direction of their difference, by q, p and name; the difference under the name `out`."""
+    d = F.col(diff)
+    told = selected.withColumn("direction", F.when(d > 0, "↑ in B").when(d < 0, "↓ in B").otherwise("="))
+    return told.withColumnRenamed(diff, out).orderBy(F.col("q_value").asc_nulls_last(), F.col("p_value").asc_nulls_last(), "descriptor")
+
+
+def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, n_missing, n_distinct, mean, std, min, median, max) of numeric columns: the tables of a data report, in one pass and one count of different values."""
+    one = df.agg(*(f.alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count(c)), ("miss", F.count_if(F.col(c).isNull())), ("uniq", F.approx_count_distinct(c, 0.01)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c).cast("double")), ("median", F.median(c)), ("max", F.max(c).cast("double")))))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), F.col(f"miss_{c}").alias("n_missing"), F.col(f"uniq_{c}").alias("n_distinct"), *(F.col(f"{k}_{c}").cast("double").alias(k) for k in ("mean", "std", "min", "median", "max"))) for c in columns))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, pearson) for every two different columns, in one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("pearson")) for i, (a, b) in enumerate(pairs)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")

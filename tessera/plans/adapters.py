@@ -127,9 +127,9 @@ pivoted AS (
 
 def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of status files from lineitem: (sequence, endpoint, declared_status, positive, negative, only_unlabel, percentage_1, counts_1, counts_0, category, input_file, pos)."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0")
+    li = table(spark, sf_dir, "lineitem")
     text = lambda b: F.when(b, "True").otherwise(F.when(F.col("l_linenumber") > 4, "no"))
-    state = F.try_element_at(F.array(*(F.lit(s) for s in ("positive", "negative", "ambiguous", "unlabeled"))), (F.col("l_partkey") / 5 % 4 + 1).cast("int"))
+    state = F.try_element_at(F.array(*(F.lit(s) for s in ("positive", "negative", "ambiguous", "unlabeled"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     return li.select(
         normalize_sequence(raw_sequence(F.col("l_partkey"))).alias("sequence"),
         F.try_element_at(F.array(*(F.lit(x) for x in ENDPOINTS)), F.col("l_linenumber")).alias("endpoint"),
@@ -148,11 +148,11 @@ def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATUS_ROWS = f"""
 raw_rows AS (
-  SELECT *, translate(substr(sha256(l_partkey::VARCHAR), 1, 4 + (l_partkey % 60)::INT), '{HEX}', '{LETTERS}') AS core FROM lineitem WHERE l_partkey % 5 = 0
+  SELECT *, translate(substr(sha256(l_partkey::VARCHAR), 1, 4 + (l_partkey % 60)::INT), '{HEX}', '{LETTERS}') AS core FROM lineitem
 ),
 status_rows AS (
   SELECT nullif(upper(regexp_replace({RAW_SQL}, '\\s+', '', 'g')), '') AS sequence, [{ENDPOINT_LIST}][l_linenumber] AS endpoint,
-    ['positive', 'negative', 'ambiguous', 'unlabeled'][(l_partkey // 5 % 4 + 1)::INT] AS declared_status,
+    ['positive', 'negative', 'ambiguous', 'unlabeled'][(l_partkey % 4 + 1)::INT] AS declared_status,
     l_suppkey % 7 = 0 AS positive, l_suppkey % 11 = 0 AS negative, l_suppkey % 13 = 0 AS only_unlabel,
     CASE WHEN l_suppkey % 3 = 0 THEN l_quantity * 2.5::DOUBLE END AS percentage_1, (l_quantity::INT % 4) AS counts_1, (l_suppkey % 3)::INT AS counts_0,
     CASE WHEN l_returnflag = 'R' THEN 'c' || l_linestatus END AS category, 'file' || (l_suppkey % 3) || '.csv' AS input_file, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos

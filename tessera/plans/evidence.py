@@ -413,7 +413,11 @@ def jaccard(spark, d):
     return pivots.cooccurrence(pivot(spark, d)).select("a", "b", "n_either", "jaccard")
 
 
-@query(f"WITH {PAIRS} SELECT p.a, p.b, CASE WHEN o.n_both > 0 THEN p.n_both * 100.0::DOUBLE / o.n_both ELSE 0.0 END AS percent FROM pairs p JOIN pairs o ON o.a = p.a AND o.b = p.a")
+SUMS = f"""{HIERARCHY}, sums AS (SELECT {", ".join(f"count(*) FILTER ({a} = 1) AS o_{a}, " + ", ".join(f"count(*) FILTER ({a} = 1 AND {b} = 1) AS b_{a}_{b}" for b in E) for a in E)} FROM pivoted)"""
+
+
+@query(f"""WITH {SUMS}, each AS (SELECT unnest([{", ".join(f"{{'a': '{a}', 'b': '{b}', 'n': b_{a}_{b}, 'own': o_{a}}}" for a in E for b in E)}], recursive := true) FROM sums)
+SELECT a, b, CASE WHEN own > 0 THEN n * 100.0::DOUBLE / own ELSE 0.0 END AS percent FROM each""")
 def overlap_percent(spark, d):
     return pivots.overlap_percent(pivots.cooccurrence(pivot(spark, d)))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotations, cards, measurements, profile
+from ..operators import annotations, cards, evidence, hierarchy, measurements, profile
+from ..session import materialize
 from .adapters import SOURCES, table
-from .evidence import E, HIERARCHY, clean, counts, pivot, states
+from .evidence import E, HIERARCHY, clean, counts, pivot, resolved, states
 from .registry import query
 from .texts import LABELLED, parsed
 
@@ -231,7 +232,58 @@ def representation_join(spark, d):
 
 # ---- cards
 def built(spark, d):
-    return cards.build(pivot(spark, d), states(spark, d), counts(spark, d), measurements.valid_split(parsed(spark, d).where("sequence is not null"))[0])
+    # votes are resolved once: the sources' states are a table that every part reads
+    told = materialize(resolved(spark, d), "resolved")
+    n = evidence.status_counts(told)
+    wide = hierarchy.propagate(hierarchy.wide_states(evidence.direct_evidence(n)))
+    final = hierarchy.long_states(wide)
+    negative, targets = cards.negative_sources(told, final, categories(spark, d)), cards.positive_targets(told, final, target_categories(spark, d))
+    return cards.build(hierarchy.master_pivot(wide), final, n, measurements.valid_split(parsed(spark, d).where("sequence is not null"))[0], negative=negative, targets=targets)
+
+
+def target_categories(spark, d):
+    return annotations.source_categories(meta(spark, d), E, category="targets")
+
+
+CARDED = f"""{HIERARCHY}, {CATS.replace("cats AS", "cats0 AS")}, cats AS (SELECT source_key, endpoint, unnest(string_split(categories, '|')) AS category FROM cats0),
+tars AS (SELECT DISTINCT lower(name_source) AS source_key, endpoint, trim(unnest(string_split(lower(targets), ','))) AS target FROM (SELECT name_source, targets, lower(trim(unnest(string_split_regex(task, '[;,]')))) AS endpoint FROM meta) WHERE endpoint IN ({_EP})),
+neg AS (
+  SELECT r.sequence, r.endpoint, s.status, r.source, coalesce((SELECT string_agg(category, '|' ORDER BY category) FROM cats WHERE cats.source_key = lower(r.source) AND cats.endpoint = r.endpoint), '') AS categories
+  FROM resolved r JOIN states s ON s.sequence = r.sequence AND s.endpoint = r.endpoint AND s.status IN ('negative', 'ambiguous') WHERE r.source_status = 'negative'
+),
+tgt AS (
+  SELECT DISTINCT r.sequence, r.endpoint, t.target FROM resolved r JOIN states s ON s.sequence = r.sequence AND s.endpoint = r.endpoint AND s.status = 'positive'
+  JOIN tars t ON t.source_key = lower(r.source) AND t.endpoint = r.endpoint WHERE r.source_status = 'positive' AND t.target NOT IN ('', '999', 'no information')
+)"""
+
+
+@query(f"""WITH {CARDED} SELECT 'sha256_' || sha256(sequence) AS id, endpoint, status, string_agg(source || ':' || categories, ';' ORDER BY source) AS sources FROM neg GROUP BY ALL""")
+def card_negative_evidence(spark, d):
+    found = built(spark, d).select("id", F.explode("negative_evidence").alias("part", "m")).select("id", "part", F.explode("m").alias("endpoint", "v"))
+    said = F.array_join(F.transform("v.sources", lambda s: F.concat(s["source"], F.lit(":"), F.array_join(s["categories"], "|"))), ";")
+    return found.select("id", "endpoint", F.when(F.col("part") == "supports_negative_status", "negative").otherwise("ambiguous").alias("status"), said.alias("sources"))
+
+
+@query(f"""WITH {CARDED} SELECT 'sha256_' || sha256(sequence) AS id, endpoint, string_agg(target, '|' ORDER BY target) AS targets FROM tgt GROUP BY ALL""")
+def card_targets(spark, d):
+    return built(spark, d).select("id", F.explode("toxicity_targets").alias("endpoint", "t")).select("id", "endpoint", F.array_join("t", "|").alias("targets"))
+
+
+@query(f"""WITH {CARDED} SELECT s.endpoint, s.status, coalesce(n.c, '') AS negative_evidence_categories, coalesce(t.t, '') AS toxicity_target_categories, count(*) AS n
+FROM states s LEFT JOIN (SELECT sequence, endpoint, array_to_string(list_sort(list_distinct(flatten(list(string_split(categories, '|')) FILTER (categories <> '')))), '|') AS c FROM neg GROUP BY ALL) n USING (sequence, endpoint)
+LEFT JOIN (SELECT sequence, endpoint, string_agg(target, '|' ORDER BY target) AS t FROM tgt GROUP BY ALL) t USING (sequence, endpoint) WHERE s.status <> 'no_information' GROUP BY ALL""")
+def activity_evidence_table(spark, d):
+    told, final = resolved(spark, d), states(spark, d)
+    out = cards.activity_table(final, counts(spark, d), cards.negative_sources(told, final, categories(spark, d)), cards.positive_targets(told, final, target_categories(spark, d)))
+    return out.groupBy("endpoint", "status", "negative_evidence_categories", "toxicity_target_categories").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CARDED} SELECT r.endpoint, r.source, r.source_status, array_to_string(labels, '|') AS observed_labels,
+  CASE WHEN r.source_status = 'negative' THEN coalesce((SELECT string_agg(category, '|' ORDER BY category) FROM cats WHERE cats.source_key = lower(r.source) AND cats.endpoint = r.endpoint), '') ELSE '' END AS negative_evidence_categories, count(*) AS n
+FROM resolved r GROUP BY ALL""")
+def source_evidence_table(spark, d):
+    out = cards.source_table(resolved(spark, d), categories(spark, d), target_categories(spark, d))
+    return out.groupBy("endpoint", "source", "source_status", "observed_labels", "negative_evidence_categories").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {HIERARCHY}, per AS (SELECT sequence, status, string_agg(endpoint, ',' ORDER BY list_position([{_EP}], endpoint)) AS endpoints FROM states WHERE status <> 'no_information' GROUP BY ALL)

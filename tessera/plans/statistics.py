@@ -118,6 +118,10 @@ def bootstrap_ci(spark, d):
 COS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same_label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
 
 
+def summed(spark, d):
+    return similarity.cosine_summary(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+
+
 def cosines(spark, d):
     return similarity.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
@@ -129,7 +133,7 @@ def cosine_pairs(spark, d):
 
 @query(f"WITH {COS} SELECT t AS threshold, count(*) FILTER (cosine >= t) AS n, count(*) FILTER (cosine >= t) / count(*) AS fraction FROM pairs, (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in similarity.THRESHOLDS)}]) AS t) GROUP BY t")
 def cosine_thresholds(spark, d):
-    return similarity.threshold_counts(cosines(spark, d))
+    return similarity.summary_thresholds(summed(spark, d))
 
 
 @query(f"WITH {COS} SELECT same_label, count(*) AS n, round(avg(cosine), 7) AS mean, round(stddev_samp(cosine), 7) AS std, round(min(cosine), 7) AS min, round(max(cosine), 7) AS max, round(median(cosine), 7) AS median FROM pairs GROUP BY same_label")
@@ -140,7 +144,7 @@ def pair_type_stats(spark, d):
 
 @query(f"WITH {COS} SELECT round(avg(cosine), 7) AS mean, round(stddev_pop(cosine), 7) AS std_population FROM pairs")
 def similarity_summary(spark, d):
-    return cosines(spark, d).agg(F.round(F.avg("cosine"), 7).alias("mean"), F.round(F.stddev_pop("cosine"), 7).alias("std_population"))
+    return similarity.summary_moments(summed(spark, d)).select(F.round("mean", 7).alias("mean"), F.round("std_population", 7).alias("std_population"))
 
 
 _P = similarity.PERCENTILES

@@ -36,9 +36,9 @@ def parse_measurement_label(spark, d):
     return p.groupBy("label", "p.relation", "p.value", "p.error").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT x, printf('%g', x) AS text FROM (SELECT DISTINCT l_extendedprice * 1.03717::DOUBLE * pow(10.0::DOUBLE, l_suppkey % 5) / pow(10.0::DOUBLE, l_suppkey % 11) AS x FROM lineitem WHERE l_linenumber = 1)""")
+@query("""SELECT x, printf('%g', x) AS text FROM (SELECT DISTINCT l_extendedprice * 1.03717::DOUBLE * pow(10.0::DOUBLE, l_suppkey % 5) / pow(10.0::DOUBLE, l_suppkey % 11) AS x FROM lineitem)""")
 def general_numbers(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_extendedprice") * 1.03717 * F.pow(F.lit(10.0), (F.col("l_suppkey") % 5).cast("double")) / F.pow(F.lit(10.0), (F.col("l_suppkey") % 11).cast("double"))).alias("x")).distinct()
+    li = table(spark, d, "lineitem").select((F.col("l_extendedprice") * 1.03717 * F.pow(F.lit(10.0), (F.col("l_suppkey") % 5).cast("double")) / F.pow(F.lit(10.0), (F.col("l_suppkey") % 11).cast("double"))).alias("x")).distinct()
     return li.select("x", activity.general_format(F.col("x")).alias("text"))
 
 
@@ -135,11 +135,11 @@ def kmer_counts(spark, d):
     return k.groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("n_sequences"))
 
 
-@query(f"""WITH {VOTES}, s AS (SELECT DISTINCT sequence FROM clean WHERE length(sequence) <= 12)
-SELECT sequence, array_to_string(flatten(list_transform(range(1, 13), lambda i: list_transform(range(1, 21), lambda k: (i <= length(sequence) AND substr(sequence, i, 1) = substr('ACDEFGHIKLMNPQRSTVWY', k, 1))::INT))), '') AS code FROM s""")
+@query(f"""WITH {VOTES}, s AS (SELECT DISTINCT sequence FROM clean)
+SELECT sequence, array_to_string(flatten(list_transform(range(1, 71), lambda i: list_transform(range(1, 21), lambda k: (i <= length(sequence) AND substr(sequence, i, 1) = substr('ACDEFGHIKLMNPQRSTVWY', k, 1))::INT))), '') AS code FROM s""")
 def one_hot(spark, d):
-    s = clean(spark, d).select("sequence").distinct().where("char_length(sequence) <= 12")
-    return s.select("sequence", F.array_join(F.transform(sequences.one_hot(F.col("sequence"), 12), lambda x: x.cast("string")), "").alias("code"))
+    s = clean(spark, d).select("sequence").distinct()
+    return s.select("sequence", F.array_join(F.transform(sequences.one_hot(F.col("sequence"), 70), lambda x: x.cast("string")), "").alias("code"))
 
 
 @query(f"""WITH {VOTES}, s AS (SELECT DISTINCT sequence FROM clean) SELECT sequence, list_sum(list_transform(string_split(sequence, ''), lambda c: strpos('ACDEFGHIKLMNPQRSTVWY', c)))::BIGINT AS ordinal_sum, length(sequence)::BIGINT AS n_codes FROM s""")

@@ -30,10 +30,12 @@ def local_session(cores: int | str = "*", memory: str = "20g", partitions: int =
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and the master is local, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"

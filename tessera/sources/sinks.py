@@ -61,3 +61,37 @@ def to_numpy(df: DataFrame, key: str, vector: str, most: int = 1_000_000):
         raise ValueError(f"{n} rows are over the limit of {most}")
     table = df.select(key, vector).orderBy(key).toArrow()
     return table.column(0).to_numpy(), np.array(table.column(1).to_pylist(), dtype=np.float32)
+
+
+def write_npy(df: DataFrame, key: str, vector: str, path: str) -> DataFrame:
+    """Vectors as float32 .npy matrices beside CSV files of their ids, one pair for each partition, under a path that all executors share; gives (file, rows, width).
+
+    A file's name is new for each attempt, and only files that are named in the result count.
+    """
+    import uuid
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, rows = uuid.uuid4().hex, batch.column(1).to_pylist()
+            matrix = np.array(rows, dtype=np.float32)
+            with store.open_output_stream(f"{base}/{name}.npy", compression=None) as f:
+                np.lib.format.write_array(f, matrix, allow_pickle=False)
+            with store.open_output_stream(f"{base}/{name}.csv", compression=None) as f:
+                f.write(f"{key}\n".encode() + b"".join(f"{k}\n".encode() for k in batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)]), pa.array([matrix.shape[1]])], names=["file", "rows", "width"])
+
+    return df.select(key, F.col(vector).cast("array<float>").alias("vector")).mapInArrow(run, "file string, rows long, width long")
+
+
+def write_compact(assigned: DataFrame, path: str) -> None:
+    """Folds as (id, label) under fold and part; readers see the old folds or the new ones."""
+    assigned.select("fold", "part", "id", "label").write.mode("overwrite").partitionBy("fold", "part").parquet(path)
