@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release
 
-#: Copies of each node's minimum in the joins: a node with a third of all edges is dealt to so many keys.
+#: Keys that the edges of one node are dealt to in the joins.
 SALTS = 16
 
 
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+
+
+def _minima(edges: DataFrame) -> DataFrame:
+    """(u, m, salts): the least neighbour of each u, and the salts that its edges have, as bits."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr(f"shiftleft(1, cast(pmod(xxhash64(v), {SALTS}) as int))")).alias("salts"))
+
+
 def _joined(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    """edges (u, v) with m, the minimum of u's neighbours; hubs are salted."""
-    spread = minima.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"])
+    """edges (u, v) with m; a node with a third of all edges is dealt to SALTS keys, one with a single edge has one, so no more rows are made than there are edges."""
+    has = F.expr(f"filter(sequence(0, {SALTS - 1}), i -> (salts & shiftleft(1, i)) <> 0)")
+    spread = minima.select("u", "m", F.explode(has).alias("salt"))
+    return edges.withColumn("salt", _salt()).join(spread, ["u", "salt"])
 
 
 def _pair(a: Column, b: Column) -> DataFrame:
@@ -23,12 +33,12 @@ def _pair(a: Column, b: Column) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    minima = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    minima = _minima(both).withColumn("m", F.least("u", "m"))
     return _joined(both, minima).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    minima = edges.groupBy("u").agg(F.min("v").alias("m"))
+    minima = _minima(edges)
     links = _joined(edges, minima).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionAll(minima.select("u", F.col("m").alias("v"))).distinct()
 
@@ -53,6 +63,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return roots.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (root_a, root_b) between roots or nodes that have none yet; only what the links touch is searched."""
+    new = materialize(connected_components(links, "root_a", "root_b"), "merged_roots")
+    dealt = new.select(F.col("node").alias("old"), F.col("root").alias("now"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    moved = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    moved = moved.join(dealt, (F.col("root") == F.col("old")) & (moved["salt"] == dealt["salt"]), "left").select("node", F.coalesce("now", "root").alias("root"))
+    return materialize(moved.unionAll(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, first, root) of nodes (node, first ..); root is null for a node without links."""
     return materialize(nodes.select("node", "first").join(roots, "node", "left"), "rooted")
