@@ -96,10 +96,10 @@ def scale_held_out(spark, d):
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, 0::BIGINT AS n_missing, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, median({c}) AS median, max({c}) AS max FROM lineitem" for c in _NUMERIC))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, 0::BIGINT AS n_missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, median({c}) AS median, max({c}) AS max FROM lineitem" for c in _NUMERIC))
 def column_report(spark, d):
     out = stats.describe_columns(table(spark, d, "lineitem"), _NUMERIC).drop("n_distinct")
-    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS pearson FROM lineitem" for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1 :]))
