@@ -101,6 +101,7 @@ class CardConfig:
     """Paths and the release of the sequence-card layer; what isn't given follows from the root."""
 
     root: str
+    resource: str = "resource"  # the word that the names of its files begin with
     output: str | None = None
     version: str | None = None
     master: str | None = None
@@ -114,12 +115,12 @@ class CardConfig:
         root = os.path.realpath(os.path.expanduser(self.root))
         # Where the layer's inputs lie under the root.
         core = "processed_data/processed_data"
-        places = {"output": "sequence_profiles", "master": f"{core}/maomao_sequence_pivot.csv", "measurements": f"{core}/maomao_toxicity_measurements.csv", "negative_evidence": "raw_data/evidence_negative_dataset.csv", "targets": "raw_data/tasks_by_source.csv", "representations": "numerical_representation_data/maomao"}
+        places = {"output": "sequence_profiles", "master": f"{core}/{self.resource}_sequence_pivot.csv", "measurements": f"{core}/{self.resource}_toxicity_measurements.csv", "negative_evidence": "raw_data/evidence_negative_dataset.csv", "targets": "raw_data/tasks_by_source.csv", "representations": f"numerical_representation_data/{self.resource}"}
         found = {k: os.path.join(root, v) for k, v in places.items()}
         tables = [os.path.join(root, up, folder, "sequence_descriptors.csv") for up in ("", "processed_data") for folder in ("dataset_characterization", "dataset_caracterization")]
         found["descriptors"] = next((t for t in tables if os.path.isfile(t)), tables[0])
         found["version"] = project_version(root)
-        given = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "root" and getattr(self, f.name) is not None}
+        given = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("root", "resource") and getattr(self, f.name) is not None}
         given = {k: v if k == "version" else os.path.realpath(os.path.expanduser(v)) for k, v in given.items()}
         return replace(self, root=root, **(found | given))
 
