@@ -127,3 +127,20 @@ s AS (
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || doc_id || ':' || text_crc32 || ':' || size), doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
 FROM c JOIN s USING (doc_id)
 """
+
+SQL["op12_fill_in_middle"] = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS hex FROM documents),
+d AS (
+  SELECT doc_id, text, length(text) AS n, [('0x' || substr(hex, 1 + 8 * i, 8))::BIGINT FOR i IN [0, 1, 2, 3]] AS h FROM h
+),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+),
+p AS (SELECT *, substring(text, 1, a) AS first, substring(text, a + 1, b - a) AS middle, substring(text, b + 1, n - b) AS last FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || first || '<S>' || last || '<M>' || middle ELSE '<S>' || last || '<P>' || first || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, mixing, pii, quality, sharding, simhash, urls, warc
+from . import bpe, chat, decontam, fim, lm, mixing, pii, quality, sharding, simhash, urls, warc
 from .common import read
 
 
@@ -55,8 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_decontamination, op3_chat_format, op4_simhash, op5_sharding, op6_lm_scores, op7_pii, op8_quality, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc_index, op2_decontamination, op3_chat_format, op4_simhash, op5_sharding, op6_lm_scores, op7_pii, op8_quality, op9_url_filter, op10_mixing, op11_bpe_round_trip, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
