@@ -1,53 +1,49 @@
-"""Configuration: typed overrides, seeds, YAML sections, strategy parameters, paths of the sequence-card layer."""
+"""Configuration: typed overrides, seeds, YAML sections, strategy parameters, settings of the sequence-card layer."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Collection, Mapping
-from dataclasses import dataclass, fields, replace
+import re
+from collections.abc import Callable, Collection, Mapping
+from pathlib import Path
 
 # Words that stand for a missing value, for true and for false in an override.
 MISSING = ("", "none", "null", "nan", "na", "-")
 TRUE, FALSE = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
-
-def has_value(value: object) -> bool:
-    """Whether a configured value says anything."""
-    return value is not None and not (isinstance(value, str) and value.strip().lower() in MISSING)
+#: What a text may spell, and how that is read; the first that fits the whole text counts.
+READERS: tuple[tuple[str, Callable[[str], object]], ...] = (
+    ("|".join(map(re.escape, MISSING)), lambda _: None),
+    ("|".join(TRUE), lambda _: True),
+    ("|".join(FALSE), lambda _: False),
+    (r"[+-]?\d+(?:_\d+)*", int),
+    (r"[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?inf(?:inity)?", float),
+)
 
 
 def typed(value: object) -> object:
-    """An override as null, a truth value, a whole number, a number or else its trimmed text."""
-    if isinstance(value, (bool, int, float)) or not has_value(value):
-        return value if isinstance(value, (bool, int, float)) else None
-    text = str(value).strip()
-    if text.lower() in TRUE + FALSE:
-        return text.lower() in TRUE
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            continue
-    return text
+    """What a text spells by READERS, without the space around it, else the text; other values stay."""
+    if not isinstance(value, str):
+        return value
+    text = value.strip()
+    return next((read(text) for spelt, read in READERS if re.fullmatch(spelt, text, re.IGNORECASE)), text)
+
+
+def has_value(value: object) -> bool:
+    """Whether a configured value says anything."""
+    return typed(value) is not None
 
 
 def with_overrides(config: Mapping, sections: Collection[str]) -> tuple[dict, list[str]]:
-    """The configuration with keys `section__name` put in their sections as typed values, and the keys of unknown sections, which change nothing."""
-    out = {k: dict(v) if isinstance(v, Mapping) else v for k, v in config.items()}
-    unknown = []
-    for key, value in config.items():
-        section, mark, name = key.partition("__")
-        if not mark:
-            continue
-        if section not in sections:
-            unknown.append(key)
-            continue
-        if out.get(section) is None:
-            out[section] = {}
-        if not isinstance(out[section], dict):
-            raise ValueError(f"{key} can't be set: {section} isn't a section")
-        out[section][name] = typed(value)
-    return out, unknown
+    """The configuration with its keys `section__name` put in their sections as typed values, and the keys of unknown sections, which change nothing."""
+    marked = {key: tuple(key.split("__", 1)) for key in config if "__" in key}
+    unknown = [key for key, (section, _) in marked.items() if section not in sections]
+    given = {s: {name: typed(config[key]) for key, (section, name) in marked.items() if section == s} for s in sections}
+    flat = [s for s, values in given.items() if values and not isinstance(config.get(s) or {}, Mapping)]
+    if flat:
+        raise ValueError(f"not a section: {', '.join(flat)}")
+    merged = {s: dict(config.get(s) or {}) | values for s, values in given.items() if values}
+    return {k: dict(v) if isinstance(v, Mapping) else v for k, v in config.items()} | merged, unknown
 
 
 def load_yaml(path: str) -> dict:
@@ -96,41 +92,39 @@ def write_parameters(document: dict, path: str) -> None:
     os.replace(f"{path}.part", path)
 
 
-@dataclass(frozen=True)
-class CardConfig:
-    """Paths and the release of the sequence-card layer; what isn't given follows from the root."""
-
-    root: str
-    resource: str = "resource"  # the word that the names of its files begin with
-    output: str | None = None
-    version: str | None = None
-    master: str | None = None
-    measurements: str | None = None
-    negative_evidence: str | None = None
-    targets: str | None = None
-    descriptors: str | None = None
-    representations: str | None = None
-
-    def resolved(self) -> CardConfig:
-        root = os.path.realpath(os.path.expanduser(self.root))
-        # Where the layer's inputs lie under the root.
-        core = "processed_data/processed_data"
-        places = {"output": "sequence_profiles", "master": f"{core}/{self.resource}_sequence_pivot.csv", "measurements": f"{core}/{self.resource}_toxicity_measurements.csv", "negative_evidence": "raw_data/evidence_negative_dataset.csv", "targets": "raw_data/tasks_by_source.csv", "representations": f"numerical_representation_data/{self.resource}"}
-        found = {k: os.path.join(root, v) for k, v in places.items()}
-        tables = [os.path.join(root, up, folder, "sequence_descriptors.csv") for up in ("", "processed_data") for folder in ("dataset_characterization", "dataset_caracterization")]
-        found["descriptors"] = next((t for t in tables if os.path.isfile(t)), tables[0])
-        found["version"] = project_version(root)
-        given = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("root", "resource") and getattr(self, f.name) is not None}
-        given = {k: v if k == "version" else os.path.realpath(os.path.expanduser(v)) for k, v in given.items()}
-        return replace(self, root=root, **(found | given))
-
-
-def project_version(root: str) -> str:
-    """The version of the project file under root, `development` without one."""
-    import tomllib
-
-    try:
-        with open(os.path.join(root, "pyproject.toml"), "rb") as f:
-            return str(tomllib.load(f).get("project", {}).get("version", "development"))
-    except (OSError, ValueError):
-        return "development"
+# The card layer's settings, where its inputs lie under the root; of several places the first that exists.
+CARD_SETTINGS = {
+    "output": ("sequence_profiles",),
+    "master": ("processed_data/processed_data/{resource}_sequence_pivot.csv",),
+    "measurements": ("processed_data/processed_data/{resource}_toxicity_measurements.csv",),
+    "negative_evidence": ("raw_data/evidence_negative_dataset.csv",),
+    "targets": ("raw_data/tasks_by_source.csv",),
+    "representations": ("numerical_representation_data/{resource}",),
+    "descriptors": tuple(f"{up}dataset_{word}/sequence_descriptors.csv" for up in ("", "processed_data/") for word in ("characterization", "caracterization")),
+}
+
+
+def card_settings(root: str, resource: str = "resource", **given: str) -> dict[str, str]:
+    """Every setting of the card layer, by name: absolute paths, and the release. What isn't given follows from the root.
+
+    `resource` is the word that the names of the layer's files begin with. An unknown setting raises TypeError.
+    """
+    if unknown := given.keys() - CARD_SETTINGS.keys() - {"version"}:
+        raise TypeError(f"unknown settings: {', '.join(sorted(unknown))}")
+    base = Path(root).expanduser().resolve()
+    out = {"root": str(base), "version": given.pop("version", None) or project_version(base)}
+    for name, places in CARD_SETTINGS.items():
+        tried = [Path(given[name]).expanduser()] if given.get(name) else [base / place.format(resource=resource) for place in places]
+        out[name] = str(next((t for t in tried if t.exists()), tried[0]).resolve())
+    return out
+
+
+#: The first `version` in the [project] section of a project file.
+_VERSION = re.compile(r"^\[project\][^\n]*\n(?:(?!\[)[^\n]*\n)*?version\s*=\s*[\"']([^\"']+)[\"']", re.MULTILINE)
+
+
+def project_version(root: str | Path, without: str = "development") -> str:
+    """The release that the project file under root states."""
+    file = Path(root) / "pyproject.toml"
+    stated = _VERSION.search(file.read_text(encoding="utf-8")) if file.is_file() else None
+    return stated[1] if stated else without

@@ -38,10 +38,14 @@ def test_card_paths(tmp_path):
     (tmp_path / "pyproject.toml").write_text('[project]\nversion = "1.2.3"\n')
     (tmp_path / "dataset_caracterization").mkdir()
     (tmp_path / "dataset_caracterization" / "sequence_descriptors.csv").write_text("")
-    c = config.CardConfig(str(tmp_path), "atlas", output=str(tmp_path / "out")).resolved()
-    assert c.master.endswith("/atlas_sequence_pivot.csv") and c.representations.endswith("/atlas")
-    assert c.version == "1.2.3" and c.output.endswith("/out") and c.descriptors.endswith("dataset_caracterization/sequence_descriptors.csv") and c.master.startswith(str(tmp_path.resolve()))
+    c = config.card_settings(str(tmp_path), "atlas", output=str(tmp_path / "out"))
+    assert c["master"].endswith("/atlas_sequence_pivot.csv") and c["representations"].endswith("/atlas")
+    assert c["version"] == "1.2.3" and c["output"].endswith("/out") and c["descriptors"].endswith("dataset_caracterization/sequence_descriptors.csv") and c["master"].startswith(str(tmp_path.resolve()))
     assert config.project_version(str(tmp_path / "none")) == "development"
+    (tmp_path / "pyproject.toml").write_text('[tool.x]\nversion = "9"\n[project]\nname = "a"\n')
+    assert config.card_settings(str(tmp_path))["version"] == "development" and config.card_settings(str(tmp_path), version="2")["version"] == "2"
+    with pytest.raises(TypeError):
+        config.card_settings(str(tmp_path), mister="x")
 
 
 def test_reduction_levels_and_files(spark, tmp_path):
