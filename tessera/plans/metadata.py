@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, metadata, models
+from ..operators import hierarchy, metadata, models, projection
 from .adapters import HIERARCHY, VOTES, table
 from .evidence import E, clean, pivot, states
 from .registry import query
@@ -40,3 +40,18 @@ def classification_holdout(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("truth"))
     train, test = models.holdout(df, "vec_id")
     return models.classify(train, test, "embedding", "truth").select("vec_id", "truth", "guess", F.round("score", 6).alias("score"))
+
+
+@query(None)
+def neighbour_graph(spark, d):
+    return projection.neighbour_graph(table(spark, d, "embeddings"), "vec_id", "embedding").select("u", "v", F.round("distance", 5).alias("distance"))
+
+
+@query(None)
+def umap_projection(spark, d):
+    return projection.umap(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query(None)
+def tsne_projection(spark, d):
+    return projection.tsne(table(spark, d, "embeddings"), "vec_id", "embedding")
