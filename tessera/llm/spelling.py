@@ -2,7 +2,7 @@
 
 Of two words one edit apart, the edit leaves one half of the shorter word whole: the first half stands at the other word's start, or the second
 half at its end. Automaton shards hold both halves of every word; words are scanned, a match counts at its offset and between words whose
-lengths differ by one at most, and what is left is verified.
+lengths differ by one at most; then one half of the other half must agree too, and what is left is verified.
 
 A half's shard follows from the word's length and the half's outer characters, so a word is scanned in the four places that can hold a
 match, not in all shards. Where many words share such a place, it is a grid of blocks, and no task holds more than a block of each side.
@@ -11,6 +11,7 @@ match, not in all shards. Where many words share such a place, it is a grid of b
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 
 import ahocorasick
@@ -101,12 +102,23 @@ def _dealt(words: DataFrame) -> DataFrame:
     return rows.select(F.pmod(cell, F.lit(shards)).alias("shard"), "held", "word", "n")
 
 
-def automaton(words: list[str]) -> ahocorasick.Automaton:
-    """Finds both halves of every word: each gives (its length, {(side, word's length): numbers of words})."""
-    held: dict[str, dict[tuple[int, int], list[int]]] = {}
-    for i, w in enumerate(words):
-        for side, half in enumerate((w[: len(w) // 2], w[len(w) // 2 :])):
-            held.setdefault(half, {}).setdefault((side, len(w)), []).append(i)
+def quarters(rest: str, length: int) -> tuple[tuple[int, str], tuple[int, str]]:
+    """What stands before and behind the middle of a part of `length` characters, in what another word has in its place: an edit leaves one of them whole."""
+    front = length // 2
+    return (0, rest[:front]), (1, rest[len(rest) - (length - front) :])
+
+
+def automaton(of_length: dict[int, list[str]]) -> ahocorasick.Automaton:
+    """Finds both halves of every word: each gives (its length, numbers of words by side, the word's length and either quarter of the other half)."""
+    held: dict[str, dict[tuple, list[int]]] = {}
+    for length, words in of_length.items():
+        for i, w in enumerate(words):
+            halves = w[: length // 2], w[length // 2 :]
+            for side, half in enumerate(halves):
+                of = held.setdefault(half, {})
+                other = halves[1 - side]
+                for quarter in quarters(other, len(other)):
+                    of.setdefault((side, length, *quarter), []).append(i)
     out = ahocorasick.Automaton()
     for half, of in held.items():
         out.add_word(half, (len(half), of))
@@ -125,45 +137,52 @@ def one_apart(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return last < first
 
 
-def near(held: list[str], scanned: list[str]) -> list[tuple[int, int]]:
-    """(number of a held word, number of a scanned one) one edit apart, the held one shorter, or as long and before it."""
-    found, spots = automaton(held), {}
-    rows: dict[int, np.ndarray] = {}
-    order: dict[int, list[int]] = {}
-    for i, w in enumerate(held):
-        order.setdefault(len(w), []).append(i)
-    for n, numbers in order.items():
-        rows[n] = np.frombuffer("".join(held[i] for i in numbers).encode("latin-1"), np.uint8).reshape(-1, n)
-        spots.update((i, at) for at, i in enumerate(numbers))
-    out: list[tuple[int, int]] = []
-    waiting: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def verify(lengths: tuple[int, int]) -> None:
-        pairs = waiting.pop(lengths)
-        if lengths[0] == lengths[1]:
-            pairs = [(i, j) for i, j in pairs if held[i] < scanned[j]]
-        if pairs:
-            short = rows[lengths[0]][[spots[i] for i, _ in pairs]]
-            long = np.frombuffer("".join(scanned[j] for _, j in pairs).encode("latin-1"), np.uint8).reshape(-1, lengths[1])
-            out.extend(pairs[k] for k in np.flatnonzero(one_apart(short, long)).tolist())
-
-    now = 0
-    for j in sorted(range(len(scanned)), key=lambda j: len(scanned[j])) if held else ():
-        w, m = scanned[j], len(scanned[j])
-        if m != now:
-            for lengths in list(waiting):
-                verify(lengths)
-            now = m
-        for end, (n, of) in found.iter(w):
-            for side, fits in ((0, end + 1 == n), (1, end + 1 == m)):
-                for length in (m, m - 1) if fits else ():
-                    for i in of.get((side, length), ()):
-                        pairs = waiting.setdefault((length, m), [])
-                        pairs.append((i, j))
-                        if len(pairs) * m >= VERIFIED:
-                            verify((length, m))
-    for lengths in list(waiting):
-        verify(lengths)
+def _by_length(words: list[str]) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for w in words:
+        out.setdefault(len(w), []).append(w)
+    return out
+
+
+def _rows(words: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(-1, length)
+
+
+def near(held: list[str], scanned: list[str]) -> set[tuple[str, str]]:
+    """(held word, scanned word) one edit apart, the held one shorter, or as long and before it."""
+    if not held:
+        return set()
+    of_length = _by_length(held)
+    found, rows = automaton(of_length), {n: _rows(words, n) for n, words in of_length.items()}
+    out: set[tuple[str, str]] = set()
+    for m, words in _by_length(scanned).items():
+        there = _rows(words, m)
+        # candidates by the held word's length: numbers of held words, and for each match the scanned word's number and how many they are
+        waiting = {length: (array("q"), [], []) for length in (m, m - 1) if length in rows}
+
+        def verify(length: int, m=m, words=words, there=there, waiting=waiting) -> None:
+            numbers, by, counts = waiting[length]
+            i, j = np.array(numbers, np.int64), np.repeat(np.array(by, np.int64), np.array(counts, np.int64))
+            hits = np.flatnonzero(one_apart(rows[length][i], there[j]))
+            pairs = ((of_length[length][a], words[b]) for a, b in zip(i[hits].tolist(), j[hits].tolist(), strict=True))
+            out.update(p for p in pairs if length < m or p[0] < p[1])
+            waiting[length] = (array("q"), [], [])
+
+        for j, w in enumerate(words):
+            for end, (n, of) in found.iter(w):
+                for side, fits in ((0, end + 1 == n), (1, end + 1 == m)):
+                    for length in waiting if fits else ():
+                        if n == (length // 2, length - length // 2)[side]:
+                            for quarter in quarters(w[: m - n] if side else w[n:], length - n):
+                                if some := of.get((side, length, *quarter)):
+                                    numbers, by, counts = waiting[length]
+                                    numbers.extend(some)
+                                    by.append(j)
+                                    counts.append(len(some))
+                                    if len(numbers) * m >= VERIFIED:
+                                        verify(length)
+        for length in list(waiting):
+            verify(length)
     return out
 
 
@@ -174,8 +193,7 @@ def links(words: DataFrame) -> DataFrame:
         rows = {}  # a word can be held, or scanned, for both halves
         for row in zip(*(table.column(c).to_pylist() for c in ("held", "word", "n")), strict=True):
             rows[row[:2]] = row[2]
-        a, b = [w for h, w in rows if h], [w for h, w in rows if not h]
-        pairs = [(a[i], b[j]) for i, j in sorted(set(near(a, b)))]
+        pairs = sorted(near([w for h, w in rows if h], [w for h, w in rows if not h]))
         return pa.table(
             [pa.array([w for w, _ in pairs], pa.string()), pa.array([rows[True, w] for w, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string()), pa.array([rows[False, w] for _, w in pairs], pa.int64())],
             names=["word", "n", "other", "other_n"],
