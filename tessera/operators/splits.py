@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from . import groups
+
 
 def source_checks(df: DataFrame) -> DataFrame:
     """(n_rows, null_ids, null_labels, conflicting_ids, n_classes) of (id, label) in one job."""
@@ -84,15 +87,53 @@ def registry(spark, datasets: Sequence[str], strategies: Sequence[str], seeds: S
     return base.withColumn("scenario", F.concat_ws("__", "dataset", "level", "strategy"))
 
 
-def distance_folds(df: DataFrame, vector: str, k: int = 5, seed: int = 0, bits: int = 12) -> DataFrame:
-    """Folds that keep near vectors together: rows with one sign pattern against `bits` seeded directions share a fold.
-
-    Our own definition, as only parameters are public: patterns go to folds by hash. Directions come from a seeded generator on the driver.
+def packed(kinds: Sequence[tuple[int, object, int]], k: int) -> list[list[int]]:
+    """For each kind (size, class, how many groups are so) how many of them each of k folds takes: largest first, into folds that are not fuller than
+    the emptiest by more than one largest group, among those the one with the least of the class. Groups of a kind beyond a few are dealt level by level at once.
     """
-    import numpy as np
-
-    width = len(df.select(vector).first()[0])
-    planes = np.random.default_rng(seed).normal(size=(bits, width)).round(6)
-    dots = [F.aggregate(F.zip_with(F.col(vector), F.array(*(F.lit(float(x)) for x in p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) >= 0 for p in planes]
-    pattern = F.concat(*(d.cast("int").cast("string") for d in dots))
-    return df.withColumn("pattern", pattern).withColumn("fold", F.pmod(F.xxhash64("pattern", F.lit(seed)), F.lit(k)).cast("int"))
+    largest = max((size for size, _, _ in kinds), default=0)
+    full, of_class = [0] * k, {}
+    out = [[0] * k for _ in kinds]
+    for at in sorted(range(len(kinds)), key=lambda i: (-kinds[i][0], str(kinds[i][1]))):
+        size, label, left = kinds[at]
+        held = of_class.setdefault(label, [0] * k)
+        low, high = min(full), min(full) + size * left
+        while high - low > 1:  # the level up to which whole groups fill the folds, with some left
+            level = (low + high) // 2
+            low, high = (level, high) if sum(max(0, (level - f) // size) for f in full) <= left else (low, level)
+        for fold in range(k):
+            n = min(left, max(0, (low - full[fold]) // size))
+            out[at][fold], full[fold], held[fold], left = n, full[fold] + n * size, held[fold] + n * size, left - n
+        for _ in range(left):
+            room = min(full) + largest - size
+            fold = min((f for f in range(k) if full[f] <= room), key=lambda f: (held[f], full[f], f))
+            out[at][fold] += 1
+            full[fold] += size
+            held[fold] += size
+    return out
+
+
+def distance_folds(df: DataFrame, vector: str, most: float, k: int = 5, seed: int = 0, metric: str = "cosine", key: str = "id", label: str = "label", val_share: float = 0.1, parts: int = 256) -> DataFrame:
+    """(key, label, group, fold, in_val): no two rows within `most` of one another are in different folds, nor apart in validation.
+
+    Chains of near rows are groups (groups.near_groups). Groups are packed by size and by the class that most of their rows have (ties: the least), so folds differ by the largest group's rows at most;
+    which groups of one size and class go where is drawn by a seeded hash. The driver sees a row for each size and class, some square root of the rows.
+    Rows with null vectors are groups of their own, null keys one group together; every row is in one fold.
+    """
+    rows = materialize(groups.near_groups(df.select(key, label, vector), key, vector, most, metric).select(key, label, "group"), "grouped")
+    by_label = rows.groupBy("group", label).agg(F.count("*").alias("n"))
+    sized = by_label.groupBy("group").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), F.col(label).cast("string").alias("label"))).alias("most"))
+    h = draw(F.coalesce(F.col("group").cast("string"), F.lit("")), seed)
+    part = (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") * F.lit(parts) / 65536).cast("int")
+    sized = materialize(sized.select("group", "size", F.coalesce("most.label", F.lit("")).alias("class"), h.alias("h"), part.alias("part")), "sizes")
+    counts = sized.groupBy("size", "class", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("size", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kinds = [(r["size"], r["class"], r["n"]) for r in counts.groupBy("size", "class").agg(F.sum("n").alias("n")).collect()]
+    ends = [(size, name, [sum(taken[: i + 1]) for i in range(k)]) for (size, name, _), taken in zip(kinds, packed(kinds, k), strict=True)]
+    quota = df.sparkSession.createDataFrame(ends, "size long, class string, ends array<long>")
+    nth = F.row_number().over(Window.partitionBy("size", "class", "part").orderBy("h", "group")) - 1
+    ranked = sized.withColumn("nth", nth).join(counts.select("size", "class", "part", before.alias("before")), ["size", "class", "part"]).join(quota, ["size", "class"])
+    rank = F.col("before") + F.col("nth")
+    chosen = F.conv(F.substring(draw(F.coalesce(F.col("group").cast("string"), F.lit("")), f"val{seed}"), 1, 8), 16, 10).cast("double") / float(1 << 32) < val_share
+    folds = ranked.select(F.col("group").alias("__g"), F.size(F.filter("ends", lambda e: e <= rank)).alias("fold"), chosen.alias("in_val"))
+    return rows.join(folds, F.col("group").eqNullSafe(F.col("__g"))).drop("__g")

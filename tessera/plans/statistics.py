@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import significance_stars
-from ..operators import similarity, splits, stats
+from ..operators import groups, similarity, splits, stats
 from .adapters import table
 from .evidence import HIERARCHY, pivot
 from .registry import query
@@ -267,6 +267,16 @@ def split_registry(spark, d):
     return splits.registry(spark, ["toxic", "hemolytic"], ["random_kfold", "stratified_kfold", "distance_aware_kfold"], list(range(30)), ["no_threshold", "p70_0"])
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.v, b.v) <= 0.6),
+  reach(u, r) AS (SELECT vec_id, vec_id FROM e UNION SELECT reach.u, near.b FROM reach JOIN near ON near.a = reach.r),
+  g AS (SELECT u, min(r) AS g FROM reach GROUP BY u)
+  SELECT u AS vec_id, g AS "group", count(*) OVER (PARTITION BY g) AS size FROM g""")
+def distance_groups(spark, d):
+    rows = groups.near_groups(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 0.6)
+    return rows.join(rows.groupBy("group").agg(F.count("*").alias("size")), "group").select("vec_id", "group", "size")
+
+
 @query(None)
 def kfold_distance(spark, d):
-    return splits.distance_folds(table(spark, d, "embeddings"), "embedding").select("vec_id", "label", "pattern", "fold")
+    return splits.distance_folds(table(spark, d, "embeddings"), "embedding", 0.6, seed=7, key="vec_id")
