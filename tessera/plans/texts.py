@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import activity, labels, names, sequences
+from ..functions import descriptors as desc
 from ..operators import bioactivity, measurements, profile
 from .adapters import ACTIVITIES, VOTES, activities, table
 from .evidence import clean, pivot
@@ -166,3 +167,78 @@ def descriptors(spark, d):
 SELECT label, residue, round(avg((length(sequence) - length(replace(sequence, residue, '')))::DOUBLE / length(sequence)), 9) AS mean_share FROM u GROUP BY ALL""")
 def composition_by_label(spark, d):
     return profile.residue_composition(pivot(spark, d), "toxic").select(F.col("toxic").alias("label"), "residue", F.round("mean_share", 9).alias("mean_share"))
+
+
+# ---- encodings by residue scales, and descriptors
+WIDTH, PROPERTY = 70, "ANDN920101"
+_map = lambda values: "MAP {" + ", ".join(f"'{r}': {float(v)!r}::DOUBLE" for r, v in values.items()) + "}"
+_code = lambda values, text="sequence": f"list_transform(string_split({text}, ''), lambda c: coalesce({_map(values)}[c], 0::DOUBLE))"
+_SEQUENCES = f"WITH {VOTES}, s AS (SELECT DISTINCT sequence FROM clean)"
+
+
+def some_sequences(spark, d):
+    return clean(spark, d).select("sequence").distinct()
+
+
+@query(f"{_SEQUENCES} SELECT sequence, r AS residue, round((length(sequence) - length(replace(sequence, r, '')))::DOUBLE / length(sequence), 9) AS share FROM s, (SELECT unnest(string_split('{sequences.CANONICAL}', '')) AS r)")
+def frequency_encoding(spark, d):
+    made = some_sequences(spark, d).select("sequence", F.posexplode(desc.frequency(F.col("sequence"))).alias("i", "share"))
+    return made.select("sequence", F.substring(F.lit(sequences.CANONICAL), F.col("i") + 1, F.lit(1)).alias("residue"), F.round("share", 9).alias("share"))
+
+
+@query(f"{_SEQUENCES}, c AS (SELECT sequence, {_code(desc.scale(PROPERTY))} AS x FROM s) SELECT sequence, i::INT AS place, coalesce(x[i + 1], 0::DOUBLE) AS value FROM c, (SELECT unnest(range({WIDTH})) AS i)")
+def physicochemical_encoding(spark, d):
+    return some_sequences(spark, d).select("sequence", F.posexplode(desc.physicochemical(F.col("sequence"), WIDTH, desc.scale(PROPERTY))).alias("place", "value"))
+
+
+@query(f"""{_SEQUENCES}, c AS (SELECT sequence, {_code(desc.scale(PROPERTY))}[1:{WIDTH}] AS x FROM s),
+p AS (SELECT sequence, k, x, list_transform(range(len(x)), lambda i: 2 * pi() * (i * k % 128) / 128) AS a FROM c, (SELECT unnest(range(64)) AS k))
+SELECT sequence, k::INT AS frequency, round(sqrt(pow(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * cos(a[i]))), 2) + pow(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * sin(a[i]))), 2)), 7) AS magnitude FROM p""")
+def fft_encoding(spark, d):
+    made = some_sequences(spark, d).select("sequence", F.posexplode(desc.spectrum(F.col("sequence"), WIDTH, desc.scale(PROPERTY))).alias("frequency", "magnitude"))
+    return made.withColumn("magnitude", F.round("magnitude", 7))
+
+
+#: Weights of neighbours for the query: products of hydropathies.
+DIPEPTIDES = {a + b: x * y for a, x in desc.scale("KYTJ820101").items() for b, y in desc.scale("KYTJ820101").items()}
+_per = lambda values: "(" + " + ".join(f"{_cnt(r)} * {float(v)!r}::DOUBLE" for r, v in values.items()) + ") / n"
+_net = lambda ph: (
+    f"(1 / (1 + pow(10::DOUBLE, {ph} - {sequences.PKA_N_TERM})) - 1 / (1 + pow(10::DOUBLE, {sequences.PKA_C_TERM} - {ph}))"
+    + "".join(f" + {_cnt(r)} / (1 + pow(10::DOUBLE, {ph} - {p}::DOUBLE))" for r, p in sequences.PKA_POSITIVE.items())
+    + "".join(f" - {_cnt(r)} / (1 + pow(10::DOUBLE, {p}::DOUBLE - {ph}))" for r, p in sequences.PKA_NEGATIVE.items()) + ")"
+)
+_kinds = {r: i for i, members in enumerate(desc.CLASSES, 1) for r in members}
+_moment = f"list_max(list_transform(range(1, greatest(n - {desc.WINDOW - 1}, 1) + 1), lambda i: sqrt(pow(list_sum(list_transform(range(i, i + least({desc.WINDOW}, n)), lambda j: m[j] * cos(radians({desc.TURN} * (j - 1))))), 2) + pow(list_sum(list_transform(range(i, i + least({desc.WINDOW}, n)), lambda j: m[j] * sin(radians({desc.TURN} * (j - 1))))), 2)) / least({desc.WINDOW}, n)))"
+_FIELDS = {
+    "length": "n",
+    "molecular_weight": f"round({desc.WATER} + " + " + ".join(f"{_cnt(r)} * {m}::DOUBLE" for r, m in desc.MASSES.items()) + ", 4)",
+    "isoelectric_point": "round(pi.ph, 6)",
+    "net_charge_pH": f"round({_net('7.0::DOUBLE')}, 6)",
+    "ncpr": f"round({_net('7.0::DOUBLE')} / n, 6)",
+    "boman_index": f"round({_per({r: -v for r, v in sequences.BOMAN.items()})}, 6)",
+    "gravy": f"round({_per(desc.scale('KYTJ820101'))}, 6)",
+    "aliphatic_index": f"round({_per({'A': 100, 'V': 290, 'I': 390, 'L': 390})}, 6)",
+    "extinction": f"({_cnt('W')} * 5500 + {_cnt('Y')} * 1490 + {_cnt('C')} // 2 * 125)::BIGINT",
+    "aa_entropy": "round(-(" + " + ".join(f"CASE WHEN {_cnt(r)} > 0 THEN {_cnt(r)}::DOUBLE / n * log2({_cnt(r)}::DOUBLE / n) ELSE 0 END" for r in sequences.CANONICAL) + "), 6)",
+    "hydrophobic_moment": f"round({_moment}, 6)",
+    **{name: f"round({_per({r: 1 for r in members if r in desc.RESIDUES})}, 6)" for name, members in desc.SHARES.items()},
+    **{f"autocorrelation_{lag}": f"round(CASE WHEN n > {lag} THEN list_sum(list_transform(range(1, n - {lag} + 1), lambda i: h[i] * h[i + {lag}])) / (n - {lag}) END, 6)" for lag in range(1, desc.LAGS + 1)},
+    **{f"composition_{k}": f"round(len(list_filter(k, lambda c: c = {k}))::DOUBLE / n, 6)" for k in (1, 2, 3)},
+    **{f"transition_{a}{b}": f"round(CASE WHEN n > 1 THEN len(list_filter(range(1, n), lambda i: least(k[i], k[i + 1]) = {a} AND greatest(k[i], k[i + 1]) = {b}))::DOUBLE / (n - 1) END, 6)" for a, b in ((1, 2), (1, 3), (2, 3))},
+    **{f"distribution_{k}_{q}": f"round(coalesce(100::DOUBLE * (list_filter(range(1, n + 1), lambda i: k[i] = {k}))[greatest(len(list_filter(k, lambda c: c = {k})) * {q} // 100, 1)] / n, 0), 6)" for k in (1, 2, 3) for q in (0, 25, 50, 75, 100)},
+    "dipeptide_index": "round(10::DOUBLE / n * coalesce(list_sum(list_transform(range(1, n), lambda i: h[i] * h[i + 1])), 0), 6)",
+}
+
+
+@query(f"""WITH RECURSIVE {HIERARCHY},
+half(id, sequence, low, high, step) AS (
+  SELECT id, sequence, 0::DOUBLE, 14::DOUBLE, 0 FROM pivoted
+  UNION ALL SELECT id, sequence, CASE WHEN {_net("((low + high) / 2)")} > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN {_net("((low + high) / 2)")} > 0 THEN high ELSE (low + high) / 2 END, step + 1 FROM half WHERE step < {desc.STEPS}
+),
+pi AS (SELECT id, (low + high) / 2 AS ph FROM half WHERE step = {desc.STEPS}),
+x AS (SELECT id, sequence, length(sequence) AS n, {_code(desc.EISENBERG)} AS m, {_code(desc.scale("KYTJ820101"))} AS h, {_code(_kinds)} AS k FROM pivoted)
+SELECT x.id, {", ".join(f"{sql} AS {name}" for name, sql in _FIELDS.items())} FROM x JOIN pi USING (id)""")
+def sequence_descriptors(spark, d):
+    made = desc.describe_sequences(pivot(spark, d), "id", "sequence", dipeptides=DIPEPTIDES)
+    digits = {"molecular_weight": 4, "length": None, "extinction": None}
+    return made.select("id", *(F.col(c) if digits.get(c, 6) is None else F.round(c, digits.get(c, 6)).alias(c) for c in made.columns[1:]))
