@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 #: Template, fixed: a turn is OPEN role, line feed, text, CLOSE. The escape sign is a backslash.
 OPEN, CLOSE, ESCAPE = "<|turn|>", "<|end|>\n", "\\"
 #: Strings that steer a chat model: escaped wherever a text or role has them.
@@ -107,7 +109,7 @@ def table_events(conversations: DataFrame) -> DataFrame:
     Rows of a conversation go by turn (null first), role and text; equal rows are messages of their own.
     """
     key = ["turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = boxed(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("msg", F.row_number().over(Window.partitionBy("conv_id").orderBy(*key)))
     half = (F.char_length("text") / 2).cast("int")
     parts = F.array(
@@ -120,4 +122,4 @@ def table_events(conversations: DataFrame) -> DataFrame:
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The table plus conversation -7, whose texts are control strings."""
     probe = conversations.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+    return boxed(conversations, "conv_id", "turn", "role", "text").drop("row").unionByName(probe)

@@ -12,7 +12,7 @@ from pyspark.sql.types import MapType, VariantType
 
 from ..session import materialize, release, scratch_path
 
-__all__ = ["WORD", "boxed", "materialize", "read", "release", "row_hash", "scratch_path", "slices", "text_bytes", "text_hash", "unboxed"]
+__all__ = ["WORD", "boxed", "materialize", "placed", "read", "release", "row_hash", "scratch_path", "slices", "text_bytes", "text_hash", "unboxed"]
 
 #: A word, as a regular expression: a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,14 +42,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             start = end
 
 
+def placed(df: DataFrame, name: str) -> int:
+    """Where the column spelt so is, else the first that differs in case only; -1: nowhere."""
+    lower = [c.lower() for c in df.columns]
+    return df.columns.index(name) if name in df.columns else lower.index(name.lower()) if name.lower() in lower else -1
+
+
 def boxed(df: DataFrame, *names: str) -> DataFrame:
     """Every row of df as one struct, `row`, with the named columns beside it: whatever other columns are called, none can clash.
 
     A name means the column spelt so, else the first that differs in case only.
     """
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    lower = [c.lower() for c in df.columns]
-    at = {n: df.columns.index(n) if n in df.columns else lower.index(n.lower()) for n in names}
+    at = {n: placed(df, n) for n in names}
+    if missing := [n for n, i in at.items() if i < 0]:
+        raise ValueError(f"no such column: {', '.join(missing)}")
     return plain.select(F.struct(*plain.columns).alias("row"), *(F.col(f"c{i}").alias(n) for n, i in at.items()))
 
 

@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import boxed, materialize, slices
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
-#: Items under so many characters have no budget, match whole words only, and no document goes for them in clean().
-SHORT = 20
 #: Characters of items in one automaton; more items are searched in further blocks.
 BLOCK_CHARS = 4 << 20
 
@@ -33,8 +31,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, rate: float = ERROR_RATE) -> int:
-    """Edits that a passage of an item of this length may have: the rate, rounded down; none for a short item."""
-    return int(length * rate) if length >= SHORT else 0
+    """Edits that a passage of an item of this length may have: the rate, rounded down."""
+    return int(length * rate)
 
 
 def distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -101,11 +99,6 @@ class Matcher:
                 _, item, k = self.items[n]
                 size, m = len(item), k + 1
                 start = last + 1 - length - size * p // m  # where the item begins if nothing before the piece is edited
-                if size < SHORT:
-                    end = start + size
-                    if (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
-                        found[n] = (0, end)
-                    continue
                 if start >= 0 and text.startswith(item, start):
                     found[n] = (0, start + size)
                     continue
@@ -128,17 +121,17 @@ class Matcher:
 _matchers: dict[str, Matcher] = {}
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, one after the other; each goes to the executors on its own."""
+def _blocks(items: DataFrame, least: int, named: bool) -> Iterator[list[tuple[int, str]]]:
+    """Items of at least `least` characters in blocks of bounded size, one after the other; each goes to the executors on its own. Not `named`: without regard to ids."""
     block, chars = [], 0
-    for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
+    for row in boxed(items, "item_id", "text").select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         t = normal(row["t"])
-        if not t or row["i"] is None:
+        if not t or len(t) < least or named and row["i"] is None:
             continue
         if block and chars + len(t) > BLOCK_CHARS:
             yield block
             block, chars = [], 0
-        block.append((row["i"], t))
+        block.append((row["i"] if named else 0, t))
         chars += len(t)
     yield block
 
@@ -150,12 +143,12 @@ def _worker(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
     return _matchers[name]
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least: int = 0) -> DataFrame:
     """(doc_id, item_id, distance, budget, match_end) for every row of docs and item that its whole text holds within the budget.
 
     Both sides are normalised as normal() does; match_end counts code points of the normalised text. The distance is the
-    smallest found at a place that holds a piece, so exact passages have 0. An item under SHORT characters has budget 0 and matches whole
-    words only. Empty and null texts and items match nothing, nor does an item without id; repeated rows match repeatedly, an empty
+    smallest found at a place that holds a piece, so exact passages have 0. Items under `least`
+    characters are left out, none unless it is set. Empty and null texts and items match nothing, nor does an item without id; repeated rows match repeatedly, an empty
     table gives no rows, other columns are ignored. Work is in proportion to the pieces found, of which a long repetitive text holds many.
     Items are read in blocks of BLOCK_CHARS, each a scan of its own.
     """
@@ -170,19 +163,20 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> Data
                     rows += [(doc, matcher.items[n][0], d, matcher.items[n][2], end) for n, (d, end) in sorted(matcher.search(normal(text)).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "distance", "budget", "match_end"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, item_id long, distance long, budget long, match_end long")
+        rows = boxed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return rows.mapInArrow(run, "doc_id long, item_id long, distance long, budget long, match_end long")
 
     out = None
-    for block in _blocks(items):
+    for block in _blocks(items, least, True):
         out = one(block) if out is None else out.unionAll(one(block))
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, least: int = 0) -> DataFrame:
     """docs without the rows that hold an item; all columns stay, whatever they are called, and no row moves to another task.
 
-    As in matches(), but items under SHORT characters are left out: they occur in clean texts. Null and empty texts hold nothing and stay;
-    repeated rows go or stay together; an empty table, or one without items, comes back as it is.
+    As in matches(), but an item needs no id. Null and empty texts hold nothing and stay; repeated rows go or stay together; an empty table, or one without items, comes back as it is.
+    Between two blocks of items what is left is written, so a worker holds one automaton at a time.
     """
     at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
@@ -197,7 +191,8 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFr
 
         return rows.mapInArrow(run, rows.schema)
 
-    for block in _blocks(items.where(F.char_length("text") >= SHORT)):
-        if long := [x for x in block if len(x[1]) >= SHORT]:
-            plain = one(plain, long)
+    first = True
+    for block in _blocks(items, least, False):
+        if block:
+            plain, first = one(plain if first else materialize(plain, "clean"), block), False
     return plain.toDF(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize, slices, text_bytes, text_hash
+from .common import boxed, materialize, placed, slices, text_bytes, text_hash
 
 #: Bytes that start a code point, white space of WORD, and the symbols that are counted.
 _STARTS = np.array([b & 0xC0 != 0x80 for b in range(256)])
@@ -115,7 +115,8 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
                  pa.array([[{"line": h, "words": w} for h, w in x] for _, x in lines], pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())])))],
                 names=["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(run, STATS)
+    rows = boxed(docs, "doc_id", "text", host).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, STATS)
 
 
 def judge(docs: DataFrame, host: str = "source", in_host: int = 20, in_all: int = 50, depleted: float = 0.5) -> DataFrame:
@@ -157,6 +158,6 @@ def keep(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     clean = F.udf(lambda t, lines: None if t is None else without_lines(t, lines), "string", useArrow=True)
     some = F.col("removed_lines").isNotNull()
     out = rows.join(good, same).withColumn("clean", clean(F.when(some, F.col("text").cast("string")), F.coalesce("removed_lines", F.array().cast("array<long>"))))
-    new = {"text": F.col("clean"), "n_chars": F.char_length("clean")}
-    value = lambda c, i: F.when(some, new[c].cast(docs.schema[i].dataType)).otherwise(F.col(f"row.c{i}")) if c in new else F.col(f"row.c{i}")
-    return out.select(*(value(c, i).alias(f"c{i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)
+    new = {placed(docs, "text"): F.col("clean"), placed(docs, "n_chars"): F.char_length("clean")}
+    value = lambda i: F.when(some, new[i].cast(docs.schema[i].dataType)).otherwise(F.col(f"row.c{i}")) if i in new else F.col(f"row.c{i}")
+    return out.select(*(value(i).alias(f"c{i}") for i in range(len(docs.columns)))).toDF(*docs.columns)

@@ -43,7 +43,7 @@ def test_matches_against_brute_force(spark):
 
 
 def test_budget_is_the_rate():
-    assert [decontam.budget(n) for n in (19, 20, 100, 300, 600)] == [0, 1, 8, 24, 48]
+    assert [decontam.budget(n) for n in (12, 13, 20, 100, 300, 600)] == [0, 1, 1, 8, 24, 48]
 
 
 def test_passages_at_the_whole_budget_are_found():
@@ -63,11 +63,13 @@ def test_passages_at_the_whole_budget_are_found():
             assert matcher.search("before it " + "".join(s) + " after") == {}
 
 
-def test_short_items_match_whole_words_and_remove_nothing(spark):
-    docs = spark.createDataFrame([(1, "The cat sat"), (2, "concatenate"), (3, None), (3, "cat")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, " Cat ")], "item_id long, text string")
-    assert sorted((r.doc_id, r.distance, r.budget) for r in decontam.matches(docs, items).collect()) == [(1, 0, 0), (3, 0, 0)]
-    assert decontam.clean(docs, items).count() == 4
+def test_items_of_any_length_and_without_id_remove(spark):
+    docs = spark.createDataFrame([(1, "The cat sat"), (2, "dog"), (3, None), (4, "An unnamed passage of the benchmark, whole."), (5, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " Cat "), (None, "unnamed passage of the benchmark"), (8, None), (9, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance, r.budget) for r in decontam.matches(docs, items).collect()) == [(1, 7, 0, 0)]
+    assert decontam.matches(docs, items, least=20).count() == 0
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [2, 3, 5]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items, least=20).collect()) == [1, 2, 3, 5]
 
 
 def test_long_repetitive_texts():
