@@ -1,23 +1,81 @@
-"""Bioactivity terms in free text: seed expressions, token mining, merged flags."""
+"""Bioactivity terms in free text: seed expressions, discovered terms, merged and collapsed flags."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Seed expressions by flag.
+# Seed expressions by flag; they are matched without case.
 SEEDS = {
-    "toxic": r"\btoxic", "cytotoxic": r"cytotoxic", "hemolytic": r"ha?emoly(?:tic|sis)", "neurotoxic": r"neurotox", "antimicrobial": r"antimicrobial|\bamp\b", "antibacterial": r"anti-?bacterial",
-    "antifungal": r"anti-?fungal", "antiviral": r"anti-?viral", "anticancer": r"anti-?(?:cancer|tumou?r)", "antiparasitic": r"anti-?parasit", "antioxidant": r"anti-?oxidant", "antihypertensive": r"anti-?hypertensive|ace inhibit",
-    "immunomodulatory": r"immunomodulat", "anti_inflammatory": r"anti-?inflammat", "cell_penetrating": r"cell[- ]penetrat", "insecticidal": r"insecticid", "wound_healing": r"wound heal", "opioid": r"opioid",
-}
+    "antimicrobial": r"\bantimicrobial\b|\bamp\b(?![a-z])|\bantimicrobial peptide\b",
+    "antibacterial": r"\bantibacterial\b|\banti[-\s]?bacter",
+    "antiviral": r"\bantiviral\b|\banti[-\s]?virus",
+    "antifungal": r"\bantifungal\b|\banti[-\s]?fung",
+    "antiparasitic": r"\bantiparasitic\b|\banti[-\s]?paras",
+    "antiprotozoal": r"\bantiprotozoal\b",
+    "antimycobacterial": r"\banti[-\s]?mycobact",
+    "bacteriocin": r"\bbacteriocin(s)?\b",
+    "defensin": r"\bdefensin(s)?\b",
+    "toxin": r"\btoxin(s)?\b|\bneurotoxin(s)?\b|\bcytotoxin(s)?\b|\bdermato\w*toxin\w*\b",
+    "hemolytic": r"\bhemolytic\b|\bhaemolytic\b|\bhemolysin(s)?\b|\bhaemolysin(s)?\b",
+    "venom": r"\bvenom(ous)?\b|\bvenom[-\s]?peptide\b",
+    "anticancer": r"\banti[-\s]?cancer\b|\banti[-\s]?tumor\b",
+    "anti_inflammatory": r"\banti[-\s]?inflamm",
+    "immunomodulatory": r"\bimmunomodulat|\bimmune modulat|\bimmunostimulat|\bimmunosuppress",
+    "inhibitor": r"\binhibitor(s)?\b|\binhibit(s|ed|ing)?\b",
+    "enzyme_inhibitory": r"\bprotease inhibitor|\bribonuclease inhibitor|\bkinase inhibitor",
+    "binding": r"\breceptor[-\s]?binding\b|\bprotein[-\s]?binding\b|\bbinding\b",
+    "cell_penetrating": r"\bcell[-\s]?penetrating\b|\bcpp\b(?![a-z])",
+    "signal": r"\bsignal peptide\b|\bsignalling?\b|\bsignaling\b",
+    "hormonal": r"\bhormone(s)?\b|\bhormonal\b|\bneuropeptide(s)?\b|\bpeptide hormone\b",
+    "antioxidant": r"\bantioxidant(s)?\b",
+    "angiogenic": r"\banti[-\s]?angiogen|\bpro[-\s]?angiogen|angiogenic",
+    "antidiabetic": r"\banti[-\s]?diabet|\bglucose[-\s]?regulat",
+    "antihypertensive": r"\banti[-\s]?hypertens|\bace[-\s]?inhibitor",
+    "antibiofilm": r"\banti[-\s]?biofilm\b|\banti[-\s]?adhes",
+    "wound_healing": r"\bwound[-\s]?healing\b|\bskin repair\b",
+    "skin_related": r"\bskin\b|\bdermato\w+",
+    "chemoattractant": r"\bchemotactic\b|\bchemoattract",
+    "analgesic": r"\banalgesic\b|\bantinocicept",
+}
+# What a discovered term is, ends with or holds, and the flags that are one.
+KEYWORDS = (
+    "defensin", "bacteriocin", "inhibitor", "binding", "venom", "capsid", "ribosome-inactivating", "ribonuclease", "protease", "kinase", "phosphatase", "transport", "carrier", "channel",
+    "hemolysin", "haemolysin", "dermatoxin", "skin", "antimicrobial", "antiviral", "antifungal", "antibacterial",
+)
+SUFFIXES = ("toxin", "lysin", "lytic", "cidal", "cidin", "cins", "icin", "mycin", "kinin", "peptide", "lectin", "insulin", "hormone")
+PARTS = ("binding", "inhibitor", "defensin", "bacteriocin", "venom")
+ALIASES = {
+    "antimicrobial": ("anti_microbial", "antimicrobial_peptide", "amp", "auto_antimicrobial", "auto_amp"),
+    "antibacterial": ("anti_bacterial", "antibacterial_peptide", "anti_bacter"),
+    "antiviral": ("anti_viral", "antiviral_peptide", "anti_virus"),
+    "antifungal": ("anti_fungal", "antifungal_peptide", "anti_fung"),
+    "antiparasitic": ("anti_parasitic", "anti_paras"),
+    "antimycobacterial": ("anti_mycobacterial",),
+    "defensin": ("defensins",),
+    "bacteriocin": ("bacteriocins",),
+    "hemolytic": ("haemolytic", "hemolysin", "haemolysin"),
+    "toxin": ("neurotoxin", "cytotoxin", "dermatoxin"),
+    "binding": ("receptor_binding", "protein_binding", "ligand_binding"),
+    "inhibitor": ("enzyme_inhibitory", "protease_inhibitor", "kinase_inhibitor"),
+    "cell_penetrating": ("cpp",),
+    "anti_inflammatory": ("antiinflammatory",),
+    "hormonal": ("peptide_hormone", "neuropeptide"),
+    "skin_related": ("skin", "dermato", "dermatoxin"),
+    "antibiofilm": ("anti_adhes",),
+}
+#: Flags that are cases of antimicrobial.
+COLLAPSED = ("antibacterial", "antiviral", "antifungal", "antiparasitic", "antimycobacterial")
+#: Rows that have to hold a term, the longest term in words, terms that become columns at most.
+LEAST, MOST, COLUMNS = 15, 3, 5000
 
 
 def flags(text: Column, patterns: Mapping[str, str] = SEEDS, extra: Mapping[str, str] | None = None) -> dict[str, Column]:
     """0 or 1 for every expression, without case; extra patterns add to or replace the seeds."""
-    return {k: F.coalesce(text.rlike(f"(?i){p}"), F.lit(False)).cast("int") for k, p in {**patterns, **(extra or {})}.items()}
+    return {k: F.coalesce(text.rlike(f"(?iU){p}"), F.lit(False)).cast("int") for k, p in {**patterns, **(extra or {})}.items()}
 
 
 def ngrams(text: Column, most: int = 3) -> Column:
@@ -46,3 +104,62 @@ def merge_aliases(df: DataFrame, aliases: Mapping[str, tuple[str, ...]]) -> Data
         if have:
             df = df.withColumn(target, F.greatest(*have) if len(have) > 1 else F.col(have[0])).drop(*[c for c in have if c != target])
     return df
+
+
+def terms(df: DataFrame, text: str, least: int = LEAST, most: int = MOST, known: Sequence[str] = ()) -> DataFrame:
+    """(term, n): what occurs at least `least` times in all texts, looks like an activity and isn't `known`.
+
+    Texts are cut at brackets, commas, semicolons, bars and slashes; within a piece every run of one to `most` words of letters and hyphens counts,
+    each time. It looks like one if it is a keyword, ends or holds one of the fixed parts; dermato..toxin is dermatoxin. Null texts have none. One shuffle of terms, counted before it.
+    """
+    pieces = df.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[;,|()\[\]{}/]+")).alias("piece"))
+    words = pieces.select(F.regexp_extract_all("piece", F.lit(r"[a-z][a-z\-]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    grams = words.select(F.explode(F.concat(*(_ngram(F.col("w"), n) for n in range(1, most + 1)))).alias("t"))
+    like = F.col("t").isin(*KEYWORDS) | F.col("t").rlike("(?:" + "|".join(SUFFIXES) + ")$") | F.col("t").rlike("|".join(PARTS))
+    skin = F.col("t").startswith("dermato") & F.col("t").contains("toxin")
+    term = F.when(F.char_length("t") >= 3, F.when(like, F.col("t")).when(skin, "dermatoxin"))
+    found = grams.select(term.alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
+    return found.where((F.col("n") >= least) & ~F.col("term").isin(*known, ""))
+
+
+def column_names(found: Sequence[str], taken: Sequence[str]) -> Iterator[tuple[str, str]]:
+    """(column, term) for terms in their order: letters and digits joined by underscores, with auto_ before a name that is taken."""
+    names = set(taken)
+    for term in sorted(found):
+        name = re.sub(r"[^a-z0-9]+", "_", term).strip("_")
+        name = f"auto_{name}" if name in names else name
+        names.add(name)
+        yield name, term
+
+
+def annotate(df: DataFrame, text: str = "description", extra: Mapping[str, str] | None = None, least: int = LEAST, collapse: bool = False) -> DataFrame:
+    """df with a column of 0 and 1 for every seed, extra expression and discovered term, aliases merged, and with `collapse` the cases of antimicrobial in it too.
+
+    Two passes: the first finds the terms, of which there are at most COLUMNS, or a ValueError says so (raise `least`); the schema follows from them. A discovered term
+    matches with spaces or hyphens between its words, or neither, not inside a longer word. Columns of df that are called like a flag are replaced. The second pass is a projection;
+    flags of one row are told in one expression each. A missing text column raises KeyError; null texts have zeros.
+    """
+    if text not in df.columns:
+        raise KeyError(text)
+    seeds = {**SEEDS, **(extra or {})}
+    found = [r["term"] for r in terms(df, text, least, known=[*df.columns, *seeds]).limit(COLUMNS + 1).collect()]
+    if len(found) > COLUMNS:
+        raise ValueError(f"over {COLUMNS} terms have {least} occurrences: raise `least`")
+    patterns = dict(seeds)
+    for name, term in column_names(found, [*df.columns, *seeds]):
+        patterns[name] = r"(?<![a-z0-9])" + r"[-\s]?".join(re.escape(w) for w in term.split(" ")) + r"(?![a-z0-9])"
+    held = F.lower(F.coalesce(F.col(text), F.lit("")))
+    merged = {name: [name] for name in patterns}
+    for target, names in ALIASES.items():  # in their order: an alias of two targets counts for the first
+        have = [c for c in (target, *names) if c in merged]
+        if have:
+            united = list(dict.fromkeys(p for c in have for p in merged.pop(c)))
+            merged[target] = united
+    if collapse and (cases := [c for c in COLLAPSED if c in merged]):
+        merged["antimicrobial"] = list(dict.fromkeys([*merged.get("antimicrobial", ()), *(p for c in cases for p in merged[c])]))
+    out = {name: _any(held, [patterns[p] for p in of]).cast("int") for name, of in merged.items()}
+    return df.select(*(c for c in df.columns if c not in out), *(c.alias(name) for name, c in out.items()))
+
+
+def _any(text: Column, patterns: Sequence[str]) -> Column:
+    return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -100,6 +102,83 @@ def transform_scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> Da
     return df.withColumns({c: (F.col(c) - F.lit(shift)) / F.lit(spread) for c, (shift, spread) in fitted.items()})
 
 
+def yeo_johnson(x: Column, power: float) -> Column:
+    """The Yeo-Johnson transform: a Box-Cox power of x + 1 for x >= 0, of 1 - x with 2 - power and the sign turned below; logarithms where the power is 0."""
+
+    def one(size: Column, p: float) -> Column:
+        log = F.log1p(size)
+        return log if abs(p) < 1e-12 else F.expm1(log * F.lit(p)) / F.lit(p)
+
+    x = x.cast("double")
+    return F.when(x >= 0, one(x, power)).when(x < 0, -one(-x, 2.0 - power))
+
+
+def _likelihoods(df: DataFrame, tried: dict[str, list[float]]) -> dict[str, list[float]]:
+    """For each column the log-likelihood, by row, of a normal distribution after each of its powers: one aggregate for all columns and powers."""
+    sums = [F.avg(F.signum(F.col(c)) * F.log1p(F.abs(F.col(c).cast("double")))).alias(f"shift_{i}") for i, c in enumerate(tried)]
+    sums += [F.var_pop(yeo_johnson(F.col(c), p)).alias(f"v_{i}_{j}") for i, (c, powers) in enumerate(tried.items()) for j, p in enumerate(powers)]
+    one = df.agg(*sums).first()
+    least = float("-inf")
+    of = lambda i, j, p: least if not (v := one[f"v_{i}_{j}"]) or v != v else -0.5 * math.log(v) + (p - 1) * one[f"shift_{i}"]
+    return {c: [of(i, j, p) for j, p in enumerate(powers)] for i, (c, powers) in enumerate(tried.items())}
+
+
+def fit_power(df: DataFrame, columns: Sequence[str], width: float = 2.0, candidates: int = 9, precision: float = 1e-6) -> dict[str, tuple[float, float, float]]:
+    """For each column (power, mean, deviation) of the Yeo-Johnson transform with the largest likelihood, for use on other rows; nulls don't count.
+
+    The maximum is bracketed: each step tries `candidates` powers around the best so far, in one aggregate for all columns; where the best is at an end the
+    bracket moves on, else it closes to the best one's neighbours, until it is narrower than `precision`. A column without spread has power 1 and deviation 1.
+    """
+    ends = df.agg(*(f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max)))).first()
+    flat = {c for i, c in enumerate(columns) if ends[f"low_{i}"] == ends[f"high_{i}"]}
+    best, reach = dict.fromkeys(columns, 1.0), {c: 0.0 if c in flat else width for c in columns}
+    while open_ := [c for c in columns if reach[c] > precision]:
+        steps = {c: [best[c] + reach[c] * (2 * j / (candidates - 1) - 1) for j in range(candidates)] for c in open_}
+        for c, values in _likelihoods(df, steps).items():
+            at = max(range(candidates), key=lambda j, values=values: (values[j], -abs(j - candidates // 2)))
+            if values[at] == float("-inf"):
+                reach[c] = 0.0
+                continue
+            best[c] = steps[c][at]
+            if 0 < at < candidates - 1 or abs(best[c]) > 64:
+                reach[c] *= 2 / (candidates - 1)
+    one = df.agg(*(f(yeo_johnson(F.col(c), best[c])).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("avg", F.avg), ("std", F.stddev_pop)))).first()
+    return {c: (best[c], float(one[f"avg_{i}"] or 0.0), 1.0 if c in flat else float(one[f"std_{i}"] or 0.0) or 1.0) for i, c in enumerate(columns)}
+
+
+def transform_power(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> DataFrame:
+    return df.withColumns({c: (yeo_johnson(F.col(c), power) - F.lit(mean)) / F.lit(deviation) for c, (power, mean, deviation) in fitted.items()})
+
+
+def fit_quantile(df: DataFrame, column: str, quantiles: int = 1000) -> list[float]:
+    """The column's values at evenly spaced ranks, linear between neighbours: the landmarks of a map to uniform quantiles; fewer where there are fewer rows.
+
+    Equal values are counted first and ranges of values summed up, so no task sorts the column.
+    """
+    counted = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    m = max(2, min(quantiles, total))
+    wanted = [i * (total - 1) / (m - 1) for i in range(m)]
+    ranks = sorted({r for w in wanted for r in (math.floor(w), math.ceil(w))})
+    held = running_total(counted, [], "v", F.col("n")).where(F.size(F.filter(F.array(*(F.lit(r) for r in ranks)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))) > 0)
+    at = sorted((row["before"], row["n"], row["v"]) for row in held.collect())
+    starts = [b for b, _, _ in at]
+    value = lambda r: at[bisect.bisect_right(starts, r) - 1][2]
+    return [value(math.floor(w)) + (w - math.floor(w)) * (value(math.ceil(w)) - value(math.floor(w))) for w in wanted]
+
+
+def transform_quantile(df: DataFrame, column: str, landmarks: Sequence[float]) -> DataFrame:
+    """The column mapped to [0, 1] through fit_quantile()'s landmarks: the mean of what its place from below and from above give, as equal landmarks make steps; nulls stay."""
+    x, n = F.col(column).cast("double"), len(landmarks)
+    marks = F.array(*(F.lit(float(v)) for v in landmarks))
+    below, under = F.size(F.filter(marks, lambda v: v < x)), F.size(F.filter(marks, lambda v: v <= x))
+    between = lambda i: (i - 1 + (x - F.get(marks, i - 1)) / (F.get(marks, i) - F.get(marks, i - 1))) / F.lit(max(n - 1, 1))
+    place = F.when(below != under, (below + under - 1) / F.lit(2.0 * max(n - 1, 1))).when(below == 0, 0.0).when(below == n, 1.0).otherwise(between(below))
+    return df.withColumn(column, F.when(x.isNotNull(), place))
+
+
 def cosine_summary(df: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
     """(same_label, n, total, squares, least, most, at_least) over all pairs: counts, sums and the numbers at and over each of THRESHOLDS.
 

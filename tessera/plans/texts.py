@@ -117,10 +117,11 @@ def split_reasons(spark, d):
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, unnest(w) AS token FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)
+g AS (SELECT doc_id, unnest(w) AS token FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w)
 SELECT token, count(*) AS n_rows FROM g GROUP BY token HAVING count(*) >= 40""")
 def token_mining(spark, d):
-    return bioactivity.token_mining(table(spark, d, "documents"), "text", least=40, most=2)
+    return bioactivity.token_mining(table(spark, d, "documents"), "text", least=40)
 
 
 @query("""SELECT doc_id, regexp_matches(text, '(?i)the')::INT AS has_the, regexp_matches(text, '(?i)token\\s*=')::INT AS secret, greatest(regexp_matches(text, '(?i)license|copyright')::INT, regexp_matches(text, '(?i)spdx')::INT) AS license FROM documents""")
@@ -129,6 +130,42 @@ def bioactivity_flags(spark, d):
     return bioactivity.merge_aliases(table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in f.items())), {"license": ("spdx",)})
 
 
+# Descriptions of parts, put together from fixed phrases by the part's key.
+PHRASES = (
+    "antimicrobial peptide", "anti-viral and antifungal", "snake venom neurotoxin", "serine protease inhibitor", "Receptor-binding", "receptor binding", "alpha-conotoxin channel", "hemolysin", "haemolytic on cells",
+    "dermatonecrotoxin", "of frog skin", "bacteriocins", "a bradykinin", "cecropin; lysozyme", "insulin", "no known activity", "cpp", "AMP", "antibacterial", "anti biofilm", "signalling", "wound healing", "mastoparan-like peptide", "ion channel",
+)
+JOINS = (" ", ", ", " (", "; ", "/")
+
+
+def descriptions(spark, d):
+    pick = lambda words, n: F.try_element_at(F.array(*(F.lit(w) for w in words)), (n % len(words) + 1).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", F.when(key % 41 != 0, F.concat(pick(PHRASES, key), pick(JOINS, size), pick(PHRASES, key * 7 + size), pick(JOINS, key), F.col("p_name"), F.lit(" "), pick(PHRASES, size))).alias("description"))
+
+
+_pick = lambda words, n: f"({list(words)!r})[(({n}) % {len(words)} + 1)::INT]"
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+_target = {name: target for target, names_ in reversed(bioactivity.ALIASES.items()) for name in names_}
+_name = "trim(regexp_replace(term, '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 41 <> 0 THEN lower({_pick(PHRASES, "p_partkey")} || {_pick(JOINS, "p_size")} || {_pick(PHRASES, "p_partkey * 7 + p_size")} || {_pick(JOINS, "p_partkey")} || p_name || ' ' || {_pick(PHRASES, "p_size")}) ELSE '' END AS d FROM part),
+w AS (SELECT regexp_extract_all(piece, '[a-z][a-z\\-]+') AS w FROM (SELECT unnest(regexp_split_to_array(d, '[;,|()\\[\\]{{}}/]+')) AS piece FROM t)),
+g AS (SELECT unnest(w) AS t FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+l AS (SELECT CASE WHEN t IN ({_quoted(bioactivity.KEYWORDS)}) OR regexp_matches(t, '({"|".join(bioactivity.SUFFIXES)})$') OR regexp_matches(t, '{"|".join(bioactivity.PARTS)}') THEN t WHEN t LIKE 'dermato%' AND t LIKE '%toxin%' THEN 'dermatoxin' END AS term FROM g WHERE length(t) >= 3),
+f AS (SELECT term, {_name} AS name FROM l WHERE term NOT IN ({_quoted(bioactivity.SEEDS)}) GROUP BY term HAVING count(*) >= 15),
+p AS (
+  SELECT unnest([{_quoted(bioactivity.SEEDS)}]) AS name, unnest([{_quoted(p.replace("(?![a-z])", "") for p in bioactivity.SEEDS.values())}]) AS pattern
+  UNION ALL SELECT CASE WHEN name IN ({_quoted(bioactivity.SEEDS)}) OR row_number() OVER (PARTITION BY name ORDER BY term) > 1 THEN 'auto_' || name ELSE name END, '(^|[^a-z0-9])' || replace(replace(term, '-', '\\-'), ' ', '[-\\s]?') || '($|[^a-z0-9])' FROM f
+),
+h AS (SELECT p_partkey, coalesce(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in _target.items())}}}[name], name) AS flag FROM t JOIN p ON regexp_matches(d, pattern))
+SELECT DISTINCT p_partkey, unnest(CASE WHEN flag IN ({_quoted(bioactivity.COLLAPSED)}) THEN [flag, 'antimicrobial'] ELSE [flag] END) AS flag FROM h""")
+def bioactivity_annotation(spark, d):
+    made = bioactivity.annotate(descriptions(spark, d), collapse=True)
+    return made.unpivot(["p_partkey"], [c for c in made.columns if c not in ("p_partkey", "description")], "flag", "value").where("value = 1").select("p_partkey", "flag")
+
+
 @query(f"""WITH {VOTES}, s AS (SELECT DISTINCT sequence FROM clean), u AS (SELECT sequence, unnest(range(1, length(sequence) - 1)) AS i FROM s)
 SELECT substr(sequence, i, 3) AS kmer, count(*) AS n, count(DISTINCT sequence) AS n_sequences FROM u GROUP BY ALL""")
 def kmer_counts(spark, d):

@@ -93,6 +93,34 @@ def scale_held_out(spark, d):
     return similarity.transform_scale(p.where("p_brand >= 'Brand#3'"), fitted).select("p_partkey", F.round("p_size", 9).alias("p_size"))
 
 
+_yj = lambda x, p: f"CASE WHEN {x} >= 0 THEN CASE WHEN abs({p}) < 1e-9 THEN ln({x} + 1) ELSE (pow({x} + 1, {p}) - 1) / {p} END ELSE CASE WHEN abs({p} - 2) < 1e-9 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {p}) - 1) / (2 - {p}) END END"
+
+
+@query(f"""WITH v AS (SELECT 'o_totalprice' AS name, o_totalprice::DOUBLE / 1000 AS x FROM orders UNION ALL SELECT 'balance', c_acctbal::DOUBLE / 1000 FROM customer),
+  g AS (SELECT (i - 200) / 100.0::DOUBLE AS p FROM (SELECT unnest(range(601)) AS i)),
+  l AS (SELECT name, p, -0.5 * ln(var_pop({_yj("x", "p")})) + (p - 1) * avg(sign(x) * ln(abs(x) + 1)) AS likelihood FROM v, g GROUP BY name, p)
+  SELECT name, round(max(likelihood), 4) AS likelihood, round(arg_max(p, likelihood), 1) AS power FROM l GROUP BY name""")
+def fitted_powers(spark, d):
+    """The bracketed maximum against a grid of 601 powers: the likelihood by row, and the power to a tenth."""
+    found = []
+    for name, rows in (("o_totalprice", table(spark, d, "orders").select((F.col("o_totalprice").cast("double") / 1000).alias("x"))), ("balance", table(spark, d, "customer").select((F.col("c_acctbal").cast("double") / 1000).alias("x")))):
+        power, _, deviation = similarity.fit_power(rows, ["x"])["x"]
+        likelihood = -F.log(F.stddev_pop(similarity.yeo_johnson(F.col("x"), power))) + (power - 1) * F.avg(F.signum("x") * F.log1p(F.abs("x")))
+        found.append(rows.agg(F.round(likelihood, 4).alias("likelihood")).select(F.lit(name).alias("name"), "likelihood", F.round(F.lit(power), 1).alias("power")))
+    return found[0].unionByName(found[1])
+
+
+@query("""WITH n AS (SELECT p_retailprice::DOUBLE AS x FROM part WHERE p_brand < 'Brand#3'),
+  m AS (SELECT list_transform(range(101), lambda i: i / 100.0::DOUBLE) AS q), l AS (SELECT quantile_cont(x, [i / 100.0::DOUBLE FOR i IN range(101)]) AS marks FROM n),
+  p AS (SELECT p_partkey, p_retailprice::DOUBLE AS x, marks, len(list_filter(marks, lambda v: v < p_retailprice::DOUBLE)) AS below, len(list_filter(marks, lambda v: v <= p_retailprice::DOUBLE)) AS under FROM part, l WHERE p_brand >= 'Brand#3')
+  SELECT p_partkey, round(CASE WHEN below <> under THEN (below + under - 1) / 200.0::DOUBLE WHEN below = 0 THEN 0 WHEN below = 101 THEN 1 ELSE (below - 1 + (x - marks[below]) / (marks[below + 1] - marks[below])) / 100 END, 6) AS quantile FROM p""")
+def quantile_held_out(spark, d):
+    """Landmarks of some brands, used on the others."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").cast("double").alias("quantile"))
+    marks = similarity.fit_quantile(p.where("p_brand < 'Brand#3'"), "quantile", 101)
+    return similarity.transform_quantile(p.where("p_brand >= 'Brand#3'"), "quantile", marks).select("p_partkey", F.round("quantile", 6).alias("quantile"))
+
+
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
