@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import normalize_sequence
 from ..operators import cards
 from ..session import scratch_path
-from ..sources import readers, sinks
+from ..sources import readers, sheets, sinks
 from ..streaming import evidence as streaming
 from .adapters import RESOLVED, VOTES, table, votes
 from .evidence import E, clean, matrix, pivot
@@ -64,6 +64,16 @@ def csv_round_trip(spark, d):
     return readers.read_csv(spark, path, "id string, sequence string, " + ", ".join(f"{e} int" for e in E))
 
 
+@query("""SELECT c_custkey::VARCHAR AS "Customer no.", c_name AS name, CASE WHEN c_custkey % 7 <> 0 THEN '  ' || c_mktsegment || chr(11) || ' <&> "_x0041_"' || chr(13) || chr(10) || 'naïve 😀' END AS remark FROM customer""")
+def sheet_round_trip(spark, d):
+    """Workbooks that the query writes, each with two lines above its header, read back as one table."""
+    path = scratch_path(spark, "sheets")
+    remark = F.concat(F.lit("  "), "c_mktsegment", F.lit('\x0b <&> "_x0041_"\r\nnaïve 😀'))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("Customer no."), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 7 != 0, remark).alias("remark"))
+    sheets.write_sheet(rows.repartition(3, "`Customer no.`"), path, sheet="Customers & more", preface="a title\nand a note")
+    return sheets.read_sheet(spark, path, sheet="Customers & more", skip_rows=2)
+
+
 @query(f"WITH {HIERARCHY} SELECT endpoint, status, count(*) AS n FROM states GROUP BY ALL")
 def status_partitions(spark, d):
     from .evidence import states

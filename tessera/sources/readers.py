@@ -45,7 +45,7 @@ def _file_order():
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By extension: .parquet, .csv, .tsv, .json or .jsonl, the last three also gzipped."""
+    """By extension: .parquet, .csv, .tsv, .json or .jsonl, the last four also gzipped; of an .xlsx the first sheet."""
     name = path.removesuffix(".gz")
     if name.endswith(".parquet"):
         return spark.read.parquet(path)
@@ -53,6 +53,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.json(path)
     if name.endswith((".csv", ".tsv")):
         return read_csv(spark, path, sep="\t" if name.endswith(".tsv") else ",")
+    if name.endswith(".xlsx"):
+        from .sheets import read_sheet
+
+        return read_sheet(spark, path)
     raise ValueError(f"unknown extension: {path}")
 
 
@@ -194,7 +198,7 @@ def read_json_metadata(spark: SparkSession, root: str, name: str = "metadata.jso
 
 
 def read_metadata(spark: SparkSession, path: str, source: str | None = None, exact: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
-    """Source metadata from CSV, rows of one source by name or by a part of it without case."""
+    """Source metadata from CSV or the first sheet of a workbook, rows of one source by name or by a part of it without case."""
     df = read_table(spark, path)
     name = F.col("`name source`")
     if source is not None:
