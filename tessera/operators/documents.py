@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -14,6 +15,16 @@ from ..functions.sequences import MAX_LENGTH, MIN_LENGTH, is_canonical, length_o
 from ..session import materialize
 
 
+def _rows(seen: Observation) -> int:
+    """What was counted; 0 where the plan was found empty before it ran, so that there was nothing to observe."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError as error:
+        if "assertion failed" not in str(error):
+            raise
+        return 0
+
+
 class Steps:
     """Filters and reductions of a table, one after the other, counted as they run.
 
@@ -47,9 +58,9 @@ class Steps:
     def run(self, name: str = "steps") -> tuple[DataFrame, list[dict]]:
         """(table, log): the result, written once, and a record (method, parameters, n_before, n_after) of every step."""
         out, log = materialize(self._df, name), []
-        before = self._first.get["n"]
+        before = _rows(self._first)
         for method, parameters, seen in self._steps:
-            after = seen.get["n"]
+            after = _rows(seen)
             log.append({"method": method, "parameters": parameters, "n_before": before, "n_after": after})
             before = after
         return out, log
