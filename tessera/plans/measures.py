@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotations, cards, evidence, hierarchy, measurements, profile
+from ..operators import annotations, cards, evidence, free_json, hierarchy, measurements, profile
 from ..session import materialize
 from .adapters import SOURCES, table
 from .evidence import E, HIERARCHY, clean, counts, pivot, resolved, states
@@ -169,6 +169,26 @@ def field_coverage(spark, d):
     return profile.field_coverage(c)
 
 
+# Metadata of each customer: objects in lists in objects, as deep as the customer's number says.
+_DEEP = """repeat('{"Inner  part": [0, ', (c_custkey % 5)::INT) || '{"Deep-Key": true, "empty": {}, "list ": []}' || repeat(']}', (c_custkey % 5)::INT)"""
+META = f"""meta AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'no JSON' WHEN c_custkey % 13 = 0 THEN NULL ELSE '{{"Source Name": "' || c_name || '", "Year of publication": ' || (1990 + c_custkey % 30) || ', "TYPE source": null, "nested (part)": ' || {_DEEP} || '}}' END AS text FROM customer)"""
+
+
+def source_texts(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.expr(META.split("SELECT c_custkey, ")[1].removesuffix(" AS text FROM customer)")).alias("text"))
+
+
+@query(f"""WITH RECURSIVE {META}, t AS (SELECT c_custkey, unnest(json_extract(text, '$')::JSON[]) AS v FROM (SELECT c_custkey, '[' || text || ']' AS text FROM meta WHERE json_valid(text))),
+n AS (
+  SELECT c_custkey, '' AS path, v FROM t
+  UNION ALL SELECT c_custkey, path || CASE json_type(v) WHEN 'ARRAY' THEN '[' || k || ']' ELSE CASE WHEN path = '' THEN '' ELSE '.' END || coalesce(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in free_json.SOURCE_ALIASES.items())}}}[{{name}}], {{name}}) END, part FROM (
+    SELECT c_custkey, path, v, unnest(CASE json_type(v) WHEN 'ARRAY' THEN range(json_array_length(v)::BIGINT)::VARCHAR[] ELSE json_keys(v) END) AS k, unnest(CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$.*') END) AS part FROM n WHERE json_type(v) IN ('ARRAY', 'OBJECT')))
+SELECT c_custkey, path, v::VARCHAR AS value FROM n WHERE json_type(v) NOT IN ('ARRAY', 'OBJECT') OR v::VARCHAR IN ('{{}}', '[]')""".replace("{name}", "lower(trim(regexp_replace(k, '[^0-9A-Za-z]+', '_', 'g'), '_'))").replace("'{{}}'", "'{}'"))
+def source_fields(spark, d):
+    """Every field at any depth under its normalised path."""
+    return free_json.leaves(free_json.nodes(source_texts(spark, d), "c_custkey", "text")).select(F.col("key").alias("c_custkey"), "path", "value")
+
+
 @query("SELECT coalesce(quality::VARCHAR, 'null') AS value, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def value_counts(spark, d):
     return profile.value_counts(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left"), "quality")
