@@ -168,8 +168,8 @@ status_inferred AS (
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sequence, text, pos) with free-text activities from lineitem."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    kind = F.try_element_at(F.array(*(F.lit(x) for x in ("HC50", "lc50", "LD50", "MHC"))), F.col("l_linenumber"))
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.try_element_at(F.array(*(F.lit(x) for x in ("HC50", "lc50", "LD50", "MHC"))), (F.col("l_linenumber") - 1) % 4 + 1)
     relation = F.try_element_at(F.array(*(F.lit(x) for x in ("=", ">", "≥", "<=", ""))), (F.col("l_suppkey") % 5 + 1).cast("int"))
     unit = F.try_element_at(F.array(*(F.lit(x) for x in ("uM", "ug/ml", "mg / mL", "mg/kg"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     q = F.col("l_quantity").cast("int").cast("string")
@@ -181,12 +181,12 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTIVITIES = f"""
 raw_act AS (
-  SELECT *, translate(substr(sha256(l_partkey::VARCHAR), 1, 4 + (l_partkey % 60)::INT), '{HEX}', '{LETTERS}') AS core, l_quantity::INT AS q FROM lineitem WHERE l_linenumber <= 4
+  SELECT *, translate(substr(sha256(l_partkey::VARCHAR), 1, 4 + (l_partkey % 60)::INT), '{HEX}', '{LETTERS}') AS core, l_quantity::INT AS q FROM lineitem
 ),
 parsed AS (
   SELECT nullif(upper(regexp_replace({RAW_SQL}, '\\s+', '', 'g')), '') AS sequence, 'src' || (l_suppkey % 12) AS source, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
     l_partkey % 101 = 0 AS no_text,
-    CASE WHEN l_partkey % 101 <> 0 THEN ['HC50', 'LC50', 'LD50', 'MHC'][l_linenumber] END AS type,
+    CASE WHEN l_partkey % 101 <> 0 THEN ['HC50', 'LC50', 'LD50', 'MHC'][(l_linenumber - 1) % 4 + 1] END AS type,
     CASE WHEN l_partkey % 101 <> 0 AND l_partkey % 7 = 0 THEN (q + 0.5::DOUBLE) * pow(10.0::DOUBLE, -2.0::DOUBLE) WHEN l_partkey % 101 <> 0 AND l_partkey % 7 <> 1 THEN (q || '.' || (l_suppkey % 10))::DOUBLE END AS value,
     CASE WHEN l_partkey % 101 <> 0 AND l_partkey % 7 <> 1 THEN ['=', '>', '>=', '<=', '='][(l_suppkey % 5 + 1)::INT] END AS relation,
     CASE WHEN l_partkey % 101 <> 0 AND l_suppkey % 4 < 2 THEN (l_suppkey % 9 + 1)::DOUBLE END AS error,

@@ -190,12 +190,12 @@ def label_conflicts(spark, d):
 
 
 MODIFIED = """
-mod AS (SELECT l_partkey AS k, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'm' || l_suppkey % 3 END AS modification, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem WHERE l_linenumber = 1),
+mod AS (SELECT l_partkey AS k, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'm' || l_suppkey % 3 END AS modification, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
 bad AS (SELECT k, modification FROM mod GROUP BY ALL HAVING count(DISTINCT label) > 1)"""
 
 
 def modified(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     return li.select(F.col("l_partkey").alias("k"), F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string"))).alias("modification"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 
