@@ -52,9 +52,15 @@ def distance_dataset(spark, d):
     return out.select("id", "label", "place", "width")
 
 
-@query(f"WITH {ASSIGNED} SELECT fold, part, count(*) AS n, 0::BIGINT AS null_ids, 0::BIGINT AS null_labels, TRUE AS ok FROM a GROUP BY ALL")
+@query(f"""WITH {ASSIGNED}, p AS (SELECT fold, part, CASE WHEN fold = 3 AND md5(id) < '1' THEN NULL ELSE id END AS id, CASE WHEN fold = 4 AND md5(id) < '1' THEN NULL ELSE label END AS label FROM a WHERE fold <> 2 OR md5(id) >= '1'),
+g AS (SELECT fold, part, count(*) AS n, count(*) - count(id) AS null_ids, count(*) - count(label) AS null_labels FROM p GROUP BY ALL)
+SELECT fold, part, n, null_ids, null_labels, null_ids = 0 AND null_labels = 0 AND sum(n) OVER (PARTITION BY fold) = (SELECT count(*) FROM s) AS ok FROM g""")
 def compact_folds(spark, d):
-    return workflow.compact(splits.assignments(stratified(spark, d)), binary(spark, d))
+    """Of five folds one lacks rows, one has rows without id and one without label."""
+    hit = F.md5("id") < "1"
+    folds = splits.assignments(stratified(spark, d)).where((F.col("fold") != 2) | ~hit)
+    folds = folds.select("fold", "part", F.when((F.col("fold") != 3) | ~hit, F.col("id")).alias("id"), F.when((F.col("fold") != 4) | ~hit, F.col("label")).alias("label"))
+    return workflow.compact(folds, binary(spark, d))
 
 
 @query(f"""WITH {SPLIT} SELECT 'hemolytic' AS scenario, 'stratified_kfold' AS strategy, 7 AS seed, 'p70_0' AS threshold, 70.0::DOUBLE AS parameter_value, 'p70_0' AS reduction_levels, CASE WHEN count(DISTINCT label) > 1 THEN 'kept' ELSE 'invalid_split' END AS status, '' AS reason FROM s""")
@@ -79,10 +85,23 @@ def many_to_one_join(spark, d):
     return workflow.checked_join(li, table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", "many_to_one", "inner").groupBy("l_returnflag", "p_size").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count(*) AS n_sequences, count(*) AS n_vectors, 0::BIGINT AS n_missing, 0::BIGINT AS n_foreign, 0::BIGINT AS n_repeated, min(len(embedding))::INT AS least_width, max(len(embedding))::INT AS most_width, min(len(embedding)) = max(len(embedding)) AS ok FROM embeddings""")
+@query("""WITH v AS (
+  SELECT 'whole' AS name, vec_id, len(embedding) AS w FROM embeddings
+  UNION ALL SELECT 'faulty', CASE WHEN vec_id % 41 = 1 THEN vec_id + 1000000 ELSE vec_id END, len(embedding) - (vec_id % 43 = 3)::INT FROM embeddings WHERE vec_id % 37 <> 0
+  UNION ALL SELECT 'faulty', vec_id, len(embedding) FROM embeddings WHERE vec_id % 29 = 2
+),
+k AS (SELECT name, vec_id, count(*) AS n FROM v GROUP BY ALL), e AS (SELECT name, vec_id FROM embeddings, (SELECT unnest(['whole', 'faulty']) AS name)),
+c AS (SELECT name, count(e.vec_id) AS n_sequences, coalesce(sum(n), 0)::BIGINT AS n_vectors, count(*) FILTER (n IS NULL) AS n_missing, count(*) FILTER (e.vec_id IS NULL) AS n_foreign, count(*) FILTER (n > 1) AS n_repeated FROM e FULL JOIN k USING (name, vec_id) GROUP BY name),
+x AS (SELECT name, min(w)::INT AS least_width, max(w)::INT AS most_width FROM v GROUP BY name)
+SELECT *, n_missing + n_foreign + n_repeated = 0 AND least_width = most_width AS ok FROM c JOIN x USING (name)""")
 def vector_ingestion(spark, d):
-    e = table(spark, d, "embeddings")
-    return workflow.ingested(e, e.select("vec_id"), "vec_id", "embedding")
+    """A whole representation, and one that lacks sequences, has others, repeats some and cuts some short."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    i = F.col("vec_id")
+    short = F.when(i % 43 == 3, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding"))
+    faulty = e.where(i % 37 != 0).select(F.when(i % 41 == 1, i + 1000000).otherwise(i).alias("vec_id"), short.alias("embedding")).unionAll(e.where(i % 29 == 2))
+    told = lambda name, vectors: workflow.ingested(vectors, e.select("vec_id"), "vec_id", "embedding").select(F.lit(name).alias("name"), "*")
+    return told("whole", e).unionAll(told("faulty", faulty))
 
 
 @query("""WITH s AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part WHERE p_brand < 'Brand#3') SELECT p_partkey, round((p_size - m) / s, 9) AS p_size FROM part, s WHERE p_brand >= 'Brand#3'""")
