@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from .similarity import dot
 from .splits import draw
 
 CLASSIFIERS = {
@@ -27,10 +29,21 @@ def _features(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("label", F.col(label).cast("double"))
 
 
+def _margin(fitted, vector: str) -> Column:
+    """A linear model as a column expression: nothing of the training's session goes to the tasks."""
+    return dot(F.col(vector).cast("array<double>"), F.array(*(F.lit(float(c)) for c in fitted.coefficients))) + F.lit(float(fitted.intercept))
+
+
 def classify(train: DataFrame, test: DataFrame, vector: str, label: str, model: str = "logistic") -> DataFrame:
-    """test with guess and score, the margin or probability of class 1."""
+    """test with label, guess and score: the margin, or for a forest the votes, of class 1."""
     fitted = CLASSIFIERS[model]().fit(_features(train, vector, label))
-    out = fitted.transform(_features(test, vector, label).drop("probability", "rawPrediction"))
+    if model != "random_forest":
+        margin = _margin(fitted, vector)
+        return test.withColumns({"label": F.col(label).cast("double"), "guess": (margin > 0).cast("int"), "score": margin})
+    # written and read, a model has no summary, which would hold the training's session
+    path = scratch_path(test.sparkSession, "forest")
+    fitted.write().overwrite().save(path)
+    out = RandomForestClassificationModel.load(path).transform(_features(test, vector, label).drop("probability", "rawPrediction"))
     score = vector_to_array(F.col("rawPrediction"))[1]
     return out.withColumns({"guess": F.col("prediction").cast("int"), "score": score}).drop("features", "prediction", "rawPrediction", "probability")
 
@@ -39,4 +52,4 @@ def regress(train: DataFrame, test: DataFrame, vector: str, target: str, ridge:
     """test with guess (ridge regression) and baseline (the training median)."""
     fitted = LinearRegression(featuresCol="features", labelCol="label", regParam=ridge, elasticNetParam=0.0, standardization=False).fit(_features(train, vector, target))
     median = train.agg(F.median(target)).first()[0]
-    return fitted.transform(_features(test, vector, target)).withColumn("baseline", F.lit(float(median))).withColumnRenamed("prediction", "guess").drop("features", "label")
+    return test.withColumns({"guess": _margin(fitted, vector), "baseline": F.lit(float(median))})
