@@ -34,7 +34,7 @@ class Rule:
 
 
 #: The rules of the registered query, fixed.
-RULES = (Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"))
+RULES = (Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"))
 #: Words in a host that mark rejected training URLs, beside those that a rule blocks.
 BAD_WORDS = ("casino", "pills", "spam", "adult", "bets", "ads-", "porn", "viagra")
 
