@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Measurement types, and units by their spellings without spaces, lower-cased.
 TYPES = ("HC50", "LC50", "LD50", "MHC")
@@ -53,16 +55,12 @@ def parse_activity(text: Column) -> Column:
     return let(text, lambda t: let(F.regexp_replace(t, named, " "), lambda rest: of_rest(rest, F.upper(_found(t, named)))))
 
 
-def general_format(x: Column) -> Column:
-    """A number as C's %g does: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6."""
-    strip = lambda t: F.regexp_replace(t, r"\.?0+$", "")
-
-    def of(six: Column) -> Column:
-        exponent = F.substring_index(six, "e", -1)
-        fixed = strip(six.cast("double").cast("decimal(20,10)").cast("string"))
-        return F.when(exponent.cast("int").between(-4, 5), fixed).otherwise(F.concat(strip(F.substring_index(six, "e", 1)), F.lit("e"), exponent))
-
-    return F.when(x.isNotNull(), let(F.format_string("%.5e", x), of))
+@F.arrow_udf(StringType())
+def general_format(x: pa.Array) -> pa.Array:
+    """A number as C's %g does: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6. The number's exact binary value is rounded, ties to even;
+    the JVM's formats round its shortest decimal text up instead, which differs where that ends in a five at the seventh digit.
+    """
+    return pa.array([None if v is None else f"{v:g}" for v in x.cast(pa.float64()).to_pylist()], pa.string())
 
 
 def measurement_label(relation: Column, value: Column, error: Column) -> Column:

@@ -72,6 +72,12 @@ def test_general_format(spark, x):
     assert one(spark, x, activity.general_format, "double") == f"{x:g}"
 
 
+@pytest.mark.parametrize("x", [0.1234565, 2.000005, 1.234565e-7, 8.123455e12, 1000.005, 0.5, 1e6, None, float("nan"), float("-inf")])
+def test_general_format_rounds_the_binary_value(spark, x):
+    """What ends in a five at the seventh digit lies above or below the middle by its bits alone."""
+    assert one(spark, x, activity.general_format, "double") == (None if x is None else f"{x:g}")
+
+
 def test_names(spark):
     assert one(spark, " Anti-Mammalian  cells ", names.endpoint_key) == "anti_mammalian_cells"
     assert one(spark, "fooBar baz-Qux", names.snake_case) == "foo_bar_baz_qux"
