@@ -163,26 +163,72 @@ def delta(x: np.ndarray, y: np.ndarray) -> float:
     return float((np.searchsorted(s, x, "left") - (len(y) - np.searchsorted(s, x, "right"))).sum() / (len(x) * len(y)))
 
 
+def _counted_median(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row of counts, the median of values that occur so often; values are sorted."""
+    ends, n = counts.cumsum(1), counts.sum(1, keepdims=True)
+    at = lambda place: values[np.minimum((ends <= place).sum(1), len(values) - 1)]
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def _counted_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts @ values / counts.sum(1)
+
+
+#: Statistics that are told from how often each of the sorted different values occurs in x and in y, a row for each draw; others get the values themselves.
+COUNTED: dict[Callable, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {
+    median_difference: lambda v, x, y: _counted_median(v, x) - _counted_median(v, y),
+    mean_difference: lambda v, x, y: _counted_mean(v, x) - _counted_mean(v, y),
+    delta: lambda v, x, y: (x * (2.0 * y.cumsum(1) - y - y.sum(1, keepdims=True))).sum(1) / (x.sum(1).astype(float) * y.sum(1)),
+}
+
+
+def of_counts(stat: Callable, values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The statistic for each row of the counts x and y of sorted values."""
+    if stat in COUNTED:
+        return COUNTED[stat](values, x, y)
+    return np.array([stat(np.repeat(values, a), np.repeat(values, b)) for a, b in zip(x, y, strict=True)], dtype=float)
+
+
+def permuted_counts(a: np.ndarray, b: np.ndarray, draws: int, rng: np.random.Generator, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Permutations of two groups by the counts of their values, some rows at a time: how often each value falls into the first is multivariate hypergeometric, so a
+    draw costs the different values and not the rows. Up to a billion rows, numpy's limit."""
+    step = max(1, cells // len(a))
+    for start in range(0, draws, step):
+        x = rng.multivariate_hypergeometric(a + b, int(a.sum()), size=min(step, draws - start), method="marginals")
+        yield x, (a + b) - x
+
+
+def subsampled_counts(a: np.ndarray, b: np.ndarray, draws: int, rng: np.random.Generator, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Subsamples of the smaller group's size without replacement, as permuted_counts()."""
+    n, step = int(min(a.sum(), b.sum())), max(1, cells // len(a))
+    for start in range(0, draws, step):
+        size = min(step, draws - start)
+        x, y = (rng.multivariate_hypergeometric(c, n, size=size, method="marginals") for c in (a, b))
+        yield x, y
+
+
 def compare_groups(values: DataFrame, stat: Callable = median_difference, n_perm: int = 20000, n_boot: int = 5000, seed: int = 42, block: int = 500) -> DataFrame:
     """Permutation test and bootstrap interval of Cliff's delta for every descriptor of (descriptor, grp 0/1, value), then BH, stars and selection.
 
-    Equal values are counted first. Draws are dealt out in blocks of `block`, each with a seed of the descriptor's name and its number, so the result
-    doesn't depend on the order of tasks; a task holds the counts of one descriptor's different values.
+    Equal values are counted first and draws are made of the counts. Draws are dealt out in blocks of `block`, each with a seed of the descriptor's name and its
+    number, so the result doesn't depend on the order of tasks; a task holds the counts of one descriptor's different values.
     """
     counts = values.where("value is not null and grp in (0, 1)").groupBy("descriptor", "value").agg(F.count_if(F.col("grp") == 0).alias("a"), F.count_if(F.col("grp") == 1).alias("b"))
     blocks = max(1, -(-n_perm // block), -(-n_boot // block))
     spread = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("value")
-        x, y = np.repeat(v.value.to_numpy(), v.a), np.repeat(v.value.to_numpy(), v.b)
+        p = pdf.sort_values("value")
+        v, a, b = p.value.to_numpy(), p.a.to_numpy(np.int64), p.b.to_numpy(np.int64)
+        n_a, n_b = int(a.sum()), int(b.sum())
         rng = np.random.default_rng([seed, int(key[1]), *str(key[0]).encode()])
         mine = lambda n: int(min(block, max(0, n - key[1] * block)))
-        if not len(x) or not len(y):
-            return pd.DataFrame([(key[0], len(x), len(y), None, None, None, [])], columns=cols)
-        observed, p = permutation_p(x, y, stat, mine(n_perm), rng)
-        far = round(p * mine(n_perm)) if mine(n_perm) else 0
-        return pd.DataFrame([(key[0], len(x), len(y), observed, far, delta(x, y), resampled(x, y, delta, mine(n_boot), rng))], columns=cols)
+        if not n_a or not n_b:
+            return pd.DataFrame([(key[0], n_a, n_b, None, None, None, [])], columns=cols)
+        observed = float(of_counts(stat, v, a[None], b[None])[0])
+        far = sum(int((np.abs(of_counts(stat, v, x, y)) >= abs(observed)).sum()) for x, y in permuted_counts(a, b, mine(n_perm), rng))
+        draws = [float(d) for x, y in subsampled_counts(a, b, mine(n_boot), rng) for d in of_counts(delta, v, x, y)]
+        return pd.DataFrame([(key[0], n_a, n_b, observed, far, float(of_counts(delta, v, a[None], b[None])[0]), draws)], columns=cols)
 
     cols = ["descriptor", "n_a", "n_b", "stat_observed", "far", "cliffs_delta", "draws"]
     drawn = spread.groupBy("descriptor", "block").applyInPandas(draw, "descriptor string, n_a long, n_b long, stat_observed double, far long, cliffs_delta double, draws array<double>")
