@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.activity import TYPES, measurement_label, parse_activity
 from ..functions.labels import MISSING
 from ..functions.sequences import MAX_LENGTH, MIN_LENGTH, is_canonical, sequence_id
+from ..session import materialize
 
 
 def parse(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds type, relation, value, error, unit and label. The one-row generator keeps later filters from repeating the expressions."""
-    out = texts.select("*", F.inline(F.array(parse_activity(F.col(text)))))
-    return out.withColumn("label", F.when(F.col("value").isNotNull(), measurement_label(F.col("relation"), F.col("value"), F.col("error"))))
+    """Adds type, relation, value, error, unit and label. Each different text is parsed once, into a table that its rows are joined to: small enough to be broadcast
+    where texts repeat. A null text has nulls. The one-row generator keeps later filters from repeating the expressions."""
+    made = texts.select(F.col(text).alias("__text")).where("__text is not null").distinct().select("__text", F.inline(F.array(parse_activity(F.col("__text")))))
+    made = made.withColumn("label", F.when(F.col("value").isNotNull(), measurement_label(F.col("relation"), F.col("value"), F.col("error"))))
+    return texts.join(materialize(made, "parsed"), F.col(text) == F.col("__text"), "left").drop("__text")
 
 
 def valid_split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
