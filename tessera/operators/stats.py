@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import significance_stars
+from ..session import materialize
 
 
 def adjust_bh(df: DataFrame, p: str = "p_value", out: str = "q_value", by: Sequence[str] = ()) -> DataFrame:
@@ -47,6 +48,25 @@ def running_total(counted: DataFrame, by: Sequence[str], value: str, amount: Col
     return out.withColumn("before", F.col("__ahead") + F.col("__within")).drop("__amount", "__range", "__within", "__of", "__ahead", *(f"__{b}" for b in by))
 
 
+def quantiles(df: DataFrame, column: str | Column, at: Sequence[float]) -> list[float | None]:
+    """The values at shares `at` of a numeric column's order, exact and linear between neighbours; nulls don't count, an empty column has nulls.
+
+    Equal values are counted first and ranges of values summed up, so no task reads or sorts the column.
+    """
+    value = F.col(column) if isinstance(column, str) else column
+    counted = materialize(df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")), "counted")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return [None] * len(at)
+    places = [q * (total - 1) for q in at]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    held = running_total(counted, [], "v", F.col("n")).where(F.exists(F.array(*(F.lit(r) for r in ranks)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))))
+    found = [(r["before"], r["before"] + r["n"], r["v"]) for r in held.collect()]
+    value_at = {r: next(v for low, high, v in found if low <= r < high) for r in ranks}
+    between = lambda p, a, b: a if a == b else a + (p - math.floor(p)) * (b - a)
+    return [between(p, value_at[math.floor(p)], value_at[math.ceil(p)]) for p in places]
+
+
 def rank_sums(values: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:
     """For each `by` and two groups 0 and 1: sizes, the rank sum and U of group 0, and the tie term of the variance.
 
@@ -103,7 +123,7 @@ def regression_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     ranked = average_ranks(df.select(truth, guess), [truth, guess])
     one = ranked.agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(F.var_pop(truth) * F.count(truth), F.lit(0.0))).alias("r2"),
-        F.corr(f"rank_{truth}", f"rank_{guess}").alias("spearman"), F.avg(e).alias("residual_mean"), F.median(e).alias("residual_median"), F.stddev_samp(e).alias("residual_std"),
+        F.corr(f"rank_{truth}", f"rank_{guess}").alias("spearman"), F.avg(e).alias("residual_mean"), F.lit(quantiles(df, e, [0.5])[0]).cast("double").alias("residual_median"), F.stddev_samp(e).alias("residual_std"),
     )
     return one
 
@@ -257,7 +277,7 @@ def selected_directions(selected: DataFrame, diff: str = "stat_observed", out: s
 
 def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, n_missing, n_distinct, mean, std, min, median, max) of numeric columns: the tables of a data report, in one pass and one count of different values."""
-    one = df.agg(*(f.alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count(c)), ("miss", F.count_if(F.col(c).isNull())), ("uniq", F.approx_count_distinct(c, 0.01)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c).cast("double")), ("median", F.median(c)), ("max", F.max(c).cast("double")))))
+    one = df.agg(*(f.alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count(c)), ("miss", F.count_if(F.col(c).isNull())), ("uniq", F.approx_count_distinct(c, 0.01)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c).cast("double")), ("median", F.lit(quantiles(df, c, [0.5])[0])), ("max", F.max(c).cast("double")))))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), F.col(f"miss_{c}").alias("n_missing"), F.col(f"uniq_{c}").alias("n_distinct"), *(F.col(f"{k}_{c}").cast("double").alias(k) for k in ("mean", "std", "min", "median", "max"))) for c in columns))
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
