@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Seed expressions by flag; they are matched without case.
 SEEDS = {
     "antimicrobial": r"\bantimicrobial\b|\bamp\b(?![a-z])|\bantimicrobial peptide\b",
@@ -85,8 +87,8 @@ def ngrams(text: Column, most: int = 3) -> Column:
     return F.array_distinct(F.concat(*grams))
 
 
-def _ngram(words: Column, n: int) -> Column:
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+def _ngram(words: Column, n: int, between: str = " ") -> Column:
+    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), between))
     return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
@@ -115,7 +117,9 @@ def terms(df: DataFrame, text: str, least: int = LEAST, most: int = MOST, known:
     pieces = df.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[;,|()\[\]{}/]+")).alias("piece"))
     words = pieces.select(F.regexp_extract_all("piece", F.lit(r"[a-z][a-z\-]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     grams = words.select(F.explode(F.concat(*(_ngram(F.col("w"), n) for n in range(1, most + 1)))).alias("t"))
-    like = F.col("t").isin(*KEYWORDS) | F.col("t").rlike("(?:" + "|".join(SUFFIXES) + ")$") | F.col("t").rlike("|".join(PARTS))
+    like = F.col("t").isin(*KEYWORDS)
+    for told in (*(F.col("t").endswith(x) for x in SUFFIXES), *(F.col("t").contains(x) for x in PARTS)):
+        like = like | told
     skin = F.col("t").startswith("dermato") & F.col("t").contains("toxin")
     term = F.when(F.char_length("t") >= 3, F.when(like, F.col("t")).when(skin, "dermatoxin"))
     found = grams.select(term.alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
@@ -161,5 +165,42 @@ def annotate(df: DataFrame, text: str = "description", extra: Mapping[str, str]
     return df.select(*(c for c in df.columns if c not in out), *(c.alias(name) for name, c in out.items()))
 
 
+def flagged(df: DataFrame, key: str, text: str = "description", extra: Mapping[str, str] | None = None, least: int = LEAST, collapse: bool = False) -> DataFrame:
+    """(key, flag): annotate()'s ones as rows, each once under a key, for any number of terms.
+
+    Terms are a table and never columns: where one matches, the letters and digits of whole neighbouring words, put together, are the term's own. So the runs of
+    words meet the terms in a join on that, and only what meets is matched by the term's expression. Work grows with the texts, not with texts times terms.
+    """
+    seeds = {**SEEDS, **(extra or {})}
+    target: dict[str, str] = {}
+    for goal, names in ALIASES.items():
+        for name in (goal, *names):
+            target.setdefault(name, goal)
+    name = F.regexp_replace(F.regexp_replace("term", "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("term"))
+    found = terms(df, text, least, known=[*df.columns, *seeds]).select("term", name.alias("name"))
+    found = found.select("term", F.when(F.col("name").isin(*df.columns, *seeds) | (nth > 1), F.concat(F.lit("auto_"), "name")).otherwise(F.col("name")).alias("name"))
+    pattern = F.concat(F.lit("(?iU)(?<![a-z0-9])"), F.replace(F.replace("term", F.lit("-"), F.lit("\\-")), F.lit(" "), F.lit(r"[-\s]?")), F.lit("(?![a-z0-9])"))
+    goals = F.create_map(*(F.lit(x) for pair in target.items() for x in pair))
+    parts = F.size(F.filter(F.split("term", "[ -]+"), lambda w: w != ""))
+    found = materialize(found.select(F.regexp_replace("term", "[ -]", "").alias("letters"), pattern.alias("pattern"), F.coalesce(F.try_element_at(goals, F.col("name")), F.col("name")).alias("flag"), parts.alias("parts")), "terms")
+    most = found.agg(F.max("parts").alias("n")).first()["n"] or 0
+
+    held = df.select(F.col(key), F.explode(F.array(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("held"))
+    of: dict[str, list[str]] = {}
+    for name_, pattern_ in seeds.items():
+        of.setdefault(target.get(name_, name_), []).append(pattern_)
+    seen = held.select(key, F.explode(F.filter(F.array(*(F.when(_any(F.col("held"), patterns), flag) for flag, patterns in of.items())), lambda x: x.isNotNull())).alias("flag"))
+    if most:
+        # the two letters beside a to z that match without case; separators are what the expression decides
+        words = F.filter(F.split(F.translate("held", "\u017f\u0131", "si"), "[^a-z0-9]+"), lambda w: w != "")
+        runs = held.select(key, "held", words.alias("w")).select(key, "held", F.explode(F.array_distinct(F.concat(*(_ngram(F.col("w"), n, "") for n in range(1, most + 1))))).alias("letters"))
+        seen = seen.unionAll(runs.join(found, "letters").where(F.rlike("held", "pattern")).select(key, "flag"))
+    if collapse:
+        both = F.when(F.col("flag").isin(*COLLAPSED), F.array("flag", F.lit("antimicrobial"))).otherwise(F.array("flag"))
+        seen = seen.select(key, F.explode(both).alias("flag"))
+    return seen.distinct()
+
+
 def _any(text: Column, patterns: Sequence[str]) -> Column:
     return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))

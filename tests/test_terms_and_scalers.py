@@ -94,3 +94,14 @@ def test_quantiles(spark):
     got = [r["x"] for r in similarity.transform_quantile(asked, "x", marks).collect()]
     assert got[0] == 0 and got[3] == 1 and got[4] is None and got[1] == pytest.approx(0.125) and got[2] == pytest.approx(0.5)
     assert similarity.fit_quantile(df.limit(0), "x") == []
+
+
+def test_flags_as_rows_need_no_columns(described, monkeypatch):
+    odd = [(100, "receptor-\nbinding  site, Kınase of fRog-dermatonecrotoxinx", 7), (101, "alphaconotoxin domainofsnakevenom; domain of snake venom", 7)]
+    df = described.unionAll(described.sparkSession.createDataFrame(odd, described.schema))
+    made = bioactivity.annotate(df, collapse=True)
+    want = {(r["id"], c) for r in made.collect() for c in made.columns if c not in ("id", "description") and r[c] == 1}
+    monkeypatch.setattr(bioactivity, "COLUMNS", 0)  # no number of terms is too large
+    got = [(r["id"], r["flag"]) for r in bioactivity.flagged(df.drop("venom"), "id", collapse=True).collect()]
+    assert len(got) == len(set(got)) and {g for g in got if g[1] != "venom"} == {w for w in want if w[1] != "venom"}
+    assert (101, "of_snake_venom") in got and (101, "alpha_conotoxin") not in got
