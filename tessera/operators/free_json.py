@@ -23,7 +23,7 @@ def metadata_key(name: Column, aliases: Mapping[str, str] | None = None) -> Colu
 
 def nodes(df: DataFrame, key: str, text: str, aliases: Mapping[str, str] | None = SOURCE_ALIASES) -> DataFrame:
     """(key, place, path, name, kind, json): every value of every text, at any depth. place: positions from the root; path: normalised names and [positions]; kind:
-    object, array or value; json: that of a value, else null.
+    object, array or value; json: that of a value or of an empty object or list, else null.
 
     A round takes every object and list of one level apart, so there are as many rounds as the deepest text has levels, each a written table; texts spread over tasks as their values do.
     Members of an object come by their original names. Null texts and texts that aren't JSON have no nodes. Keys should be unique: texts under one key are one.
@@ -34,7 +34,8 @@ def nodes(df: DataFrame, key: str, text: str, aliases: Mapping[str, str] | None
     while True:
         kind = F.when(F.schema_of_variant("v").startswith("OBJECT"), "object").when(F.schema_of_variant("v").startswith("ARRAY"), "array").otherwise("value")
         now = materialize(level.withColumn("kind", kind), "nodes")
-        plain = now.select("key", "place", "path", "name", "kind", F.when(F.col("kind") == "value", F.to_json("v")).alias("json"))
+        bare = F.when(F.col("kind") == "object", F.schema_of_variant("v") == "OBJECT<>").otherwise(F.try_variant_get("v", "$[0]", "variant").isNull())
+        plain = now.select("key", "place", "path", "name", "kind", F.when((F.col("kind") == "value") | bare, F.to_json("v")).alias("json"))
         out = plain if out is None else out.unionAll(plain)
         inner = now.where("kind <> 'value'")
         if not inner.limit(1).count():
@@ -46,11 +47,8 @@ def nodes(df: DataFrame, key: str, text: str, aliases: Mapping[str, str] | None
 
 
 def leaves(walked: DataFrame) -> DataFrame:
-    """(key, path, value) of nodes(): plain values as JSON, and empty objects and lists."""
-    inner = walked.where("size(place) > 0").select("key", F.slice("place", 1, F.size("place") - 1).alias("place")).distinct()
-    bare = walked.where("kind <> 'value'").join(inner, ["key", "place"], "left_anti")
-    values = walked.where("kind = 'value'").select("key", "path", F.col("json").alias("value"))
-    return values.unionAll(bare.select("key", "path", F.when(F.col("kind") == "object", "{}").otherwise("[]").alias("value")))
+    """(key, path, value) of nodes(): plain values as JSON, and empty objects and lists. A node tells that it is one, so nothing is joined."""
+    return walked.where("json is not null").select("key", "path", F.col("json").alias("value"))
 
 
 def rebuilt(walked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations, cards, evidence, free_json, hierarchy, measurements, profile
 from ..session import materialize
-from .adapters import SOURCES, table
+from .adapters import SOURCES, dealt, table
 from .evidence import E, HIERARCHY, clean, counts, pivot, resolved, states
 from .registry import query
 from .texts import LABELLED, parsed
@@ -175,7 +175,7 @@ META = f"""meta AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'no JSON
 
 
 def source_texts(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.expr(META.split("SELECT c_custkey, ")[1].removesuffix(" AS text FROM customer)")).alias("text"))
+    return dealt(table(spark, d, "customer")).select("c_custkey", F.expr(META.split("SELECT c_custkey, ")[1].removesuffix(" AS text FROM customer)")).alias("text"))
 
 
 @query(f"""WITH RECURSIVE {META}, t AS (SELECT c_custkey, unnest(json_extract(text, '$')::JSON[]) AS v FROM (SELECT c_custkey, '[' || text || ']' AS text FROM meta WHERE json_valid(text))),

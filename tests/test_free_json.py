@@ -48,3 +48,12 @@ def test_keys(spark):
     names = [" Year of  Publication ", "staticDynamic", "__a--B__", "static/dynamic", "é"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(free_json.metadata_key(F.col("n"), free_json.SOURCE_ALIASES)).collect()]
     assert got == ["publication_year", "staticdynamic", "a_b", "resource_behavior", ""]
+
+
+def test_leaves_are_told_by_their_node(spark):
+    text = '{"a": [null], "b": [], "c": {}, "d": [[], {}, [{"e": {}}]], "f": null}'
+    walked = free_json.nodes(spark.createDataFrame([(1, text), (2, "[]"), (3, "{}")], "k long, t string"), "k", "t")
+    plan = free_json.leaves(walked)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # no group or join, so a task's memory doesn't grow with the table
+    got = sorted((r["key"], r["path"], r["value"]) for r in free_json.leaves(walked).collect())
+    assert got == [(1, "a[0]", "null"), (1, "b", "[]"), (1, "c", "{}"), (1, "d[0]", "[]"), (1, "d[1]", "{}"), (1, "d[2][0].e", "{}"), (1, "f", "null"), (2, "", "[]"), (3, "", "{}")]
