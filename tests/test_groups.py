@@ -85,3 +85,16 @@ def test_folds_keep_near_rows_together(vectors):
     assert {r["id"]: r["fold"] for r in splits.distance_folds(df, "vector", 0.01, seed=4).collect()} != {r["id"]: r["fold"] for r in rows}
     classes = [[sum(r["fold"] == f and r["label"] == c and r["group"] == r["id"] for r in rows) for f in range(5)] for c in (0, 1)]
     assert sum(map(sum, classes)) > 0
+
+
+def test_rows_are_not_copied_for_each_block(spark, monkeypatch):
+    """Vectors that no grid parts: blocks are read from their table, and chains over many blocks still join."""
+    monkeypatch.setattr(groups, "SIDE", 16)
+    x = np.random.default_rng(3).normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    links = groups.near_links(df, "id", "vector", 0.6)
+    assert "Generate" not in links._jdf.queryExecution().executedPlan().toString()
+    want = union(len(x), zip(*np.nonzero(1 - x @ x.T <= 0.6), strict=True))
+    got = {r["id"]: r["group"] for r in groups.near_groups(df, "id", "vector", 0.6).collect()}
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < 250
