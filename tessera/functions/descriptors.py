@@ -64,13 +64,15 @@ def physicochemical(sequence: Column, width: int, values: Mapping[str, float]) -
 def spectrum(sequence: Column, width: int, values: Mapping[str, float]) -> Column:
     """Magnitudes of the discrete Fourier transform of physicochemical() over n points, n the next power of two from width: frequencies 0 to n / 2 - 1.
 
-    cosines and sines are two tables of n numbers, taken at index times place modulo n; only places with letters are summed.
+    cosines and sines are two tables of n numbers, taken at index times place modulo n; only places with letters are summed. The letters' values are bound once,
+    as a frequency's expression would work them out again.
     """
     n = 1 << max(1, (width - 1).bit_length())
     waves = [F.array(*(F.lit(f(2 * math.pi * i / n)) for i in range(n))) for f in (math.cos, math.sin)]
     x = F.slice(F.coalesce(codes(sequence, values), F.array().cast("array<double>")), 1, width)
-    part = lambda wave, k: _total(F.transform(x, lambda v, i: v * F.get(wave, F.pmod(i * k, F.lit(n)))))
-    return F.transform(F.sequence(F.lit(0), F.lit(n // 2 - 1)), lambda k: F.sqrt(part(waves[0], k) * part(waves[0], k) + part(waves[1], k) * part(waves[1], k)))
+    part = lambda x, wave, k: _total(F.transform(x, lambda v, i: v * F.get(wave, F.pmod(i * k, F.lit(n)))))
+    size = lambda x, k: F.sqrt(F.pow(part(x, waves[0], k), F.lit(2.0)) + F.pow(part(x, waves[1], k), F.lit(2.0)))
+    return F.get(F.transform(F.array(x), lambda x: F.transform(F.sequence(F.lit(0), F.lit(n // 2 - 1)), lambda k: size(x, k))), F.lit(0))
 
 
 def _charge(counts: Mapping[str, Column], ph: Column) -> Column:
@@ -86,14 +88,12 @@ def _charge(counts: Mapping[str, Column], ph: Column) -> Column:
 
 def isoelectric_point(counts: Mapping[str, Column]) -> Column:
     """The pH between 0 and 14 without net charge, by halving: the charge falls as the pH rises."""
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"))
+    # the lower end alone is kept, so a step works the charge out once; multiples of 14 / 2^STEPS are exact
+    def halved(low: Column, i: Column) -> Column:
+        middle = low + F.lit(14.0) / F.pow(F.lit(2.0), i.cast("double"))
+        return F.when(_charge(counts, middle) > 0, middle).otherwise(low)
 
-    def halved(at: Column, _: Column) -> Column:
-        middle = (at["low"] + at["high"]) / 2
-        over = _charge(counts, middle) > 0
-        return F.struct(F.when(over, middle).otherwise(at["low"]).alias("low"), F.when(over, at["high"]).otherwise(middle).alias("high"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halved, lambda at: (at["low"] + at["high"]) / 2)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), halved, lambda low: low + F.lit(14.0 / 2 ** (STEPS + 1)))
 
 
 def hydrophobic_moment(hydropathy: Column, window: int = WINDOW, turn: float = TURN) -> Column:

@@ -60,3 +60,11 @@ def test_no_charge_at_the_isoelectric_point(sequences):
     for i in (0, 1, 2):
         again = desc.describe_sequences(sequences.where(F.col("id") == i), "id", "sequence", ph=points[i]).first()
         assert abs(again["net_charge_pH"]) < 1e-6
+
+
+def test_costly_parts_are_worked_out_once(spark):
+    """A spectrum's letters and a step's charge: an expression used twice inside a lambda is evaluated twice."""
+    text = str(desc.spectrum(F.col("s"), 70, desc.scale("ANDN920101")))
+    assert text.count("split(s") == 1
+    text = str(desc.isoelectric_point({r: F.col(f"n_{r}") for r in desc.RESIDUES}))
+    assert text.count("n_K") == 1
