@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,8 @@ ALIASES = {
 COLLAPSED = ("antibacterial", "antiviral", "antifungal", "antiparasitic", "antimycobacterial")
 #: Rows that have to hold a term, the longest term in words, terms that become columns at most.
 LEAST, MOST, COLUMNS = 15, 3, 5000
+#: Words whose grams are counted at a time, rows of a batch that leaves a task.
+SLICE, ROWS = 1 << 20, 1 << 16
 
 
 def flags(text: Column, patterns: Mapping[str, str] = SEEDS, extra: Mapping[str, str] | None = None) -> dict[str, Column]:
@@ -92,11 +97,61 @@ def _ngram(words: Column, n: int, between: str = " ") -> Column:
     return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.ListArray]:
+    """The first column of the batches in slices of about `words` words, or of one row."""
+    for batch in batches:
+        lists, start = batch.column(0), 0
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while start < len(lists):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + words, side="right")))
+            yield lists.slice(start, end - start)
+            start = end
+
+
+def _gram_rows(lists: pa.ListArray, most: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """For n from 1 to `most`, the different n-grams of lists of words and the number of lists that hold each. Empty words are none.
+
+    An n-gram's key is the number of its first n - 1 words' gram, times the number of words, plus its last word's: exact for any number of words.
+    """
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    real = pc.not_equal(flat, "")
+    flat, row = flat.filter(real), row[real.to_numpy(zero_copy_only=False)]
+    coded = flat.dictionary_encode()
+    word, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    gram, at, names = np.zeros(len(word), np.int64), np.arange(len(word)), None
+    for n in range(1, most + 1):
+        if n > 1:
+            fits = at + n - 1 < len(row)
+            fits[fits] = row[at[fits]] == row[at[fits] + n - 1]
+            gram, at = gram[fits], at[fits]
+        if not len(at):
+            return
+        key = gram * size + word[at + n - 1]
+        order = np.argsort(key, kind="stable")  # rows ascend among equal keys
+        key, of = key[order], row[at[order]]
+        first = np.r_[True, key[1:] != key[:-1]]
+        number = np.cumsum(first) - 1
+        held = np.bincount(number[first | np.r_[True, of[1:] != of[:-1]]])
+        last = coded.dictionary.take(pa.array(word[at[order[first]] + n - 1]))
+        names = last if names is None else pc.binary_join_element_wise(names.take(pa.array(gram[order[first]])), last, " ")
+        gram = np.empty_like(number)
+        gram[order] = number
+        yield names, held
+
+
 def token_mining(df: DataFrame, text: str, least: int = 2, most: int = 3) -> DataFrame:
-    """(token, n_rows) of the n-grams that lie in `least` rows. Words are split once, before the grams."""
-    words = df.select(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != "").alias("w"))
-    grams = words.select(F.explode(F.array_distinct(F.concat(*(_ngram(F.col("w"), n) for n in range(1, most + 1))))).alias("token"))
-    return grams.groupBy("token").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
+    """(token, n_rows) of the n-grams that lie in `least` rows. Slices of rows number their words and count the grams by numbers; each different gram of a slice becomes a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in _sliced(batches, SLICE):
+            for names, held in _gram_rows(lists, most):
+                for s in range(0, len(names), ROWS):
+                    yield pa.RecordBatch.from_arrays([names[s : s + ROWS], pa.array(held[s : s + ROWS])], names=["token", "n"])
+
+    words = df.select(F.split(F.lower(F.col(text)), r"[^\p{L}]+").alias("w"))
+    return words.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n_rows")).where(F.col("n_rows") >= least)
 
 
 def merge_aliases(df: DataFrame, aliases: Mapping[str, tuple[str, ...]]) -> DataFrame:
