@@ -95,3 +95,27 @@ def test_queries_recall(spark, sf_dir):
     true = {ids[i]: {ids[j] for j in np.argsort(d[i])[:15]} for i in range(len(ids))}
     graph = all_queries()["neighbour_graph"](spark, sf_dir).collect()
     assert sum(r["v"] in true[r["u"]] for r in graph) / (15 * len(ids)) >= 0.9
+
+
+@pytest.mark.parametrize("search", [16384, 300])
+def test_exact_graph_in_blocks(spark, clusters, monkeypatch, search):
+    """Every edge is one of the true k nearest, ties by number, also over several blocks and tiles; a descent misses some."""
+    x, df = clusters
+    monkeypatch.setattr(projection, "SEARCH", search)
+    monkeypatch.setattr(projection, "TILE", 128)
+    got = {}
+    for r in projection.neighbour_graph(df, "id", "vector", k=40).collect():
+        got.setdefault(r["u"], set()).add(r["v"])
+    d = distances(x.astype(np.float64)) + np.diag([np.inf] * len(x))
+    near = np.sort(d, axis=1)[:, 39]
+    assert set(got) == set(range(len(x)))
+    assert all(len(v) == 40 and all(d[u, w] <= near[u] + 1e-6 for w in v) for u, v in got.items())
+
+
+def test_descent_beyond_the_exact_search(clusters, monkeypatch):
+    x, df = clusters
+    monkeypatch.setattr(projection, "EXACT", 0)
+    graph = projection.neighbour_graph(df, "id", "vector", k=10)
+    d = distances(x.astype(np.float64)) + np.diag([np.inf] * len(x))
+    tenth = np.sort(d, axis=1)[:, 9]
+    assert sum(d[r["u"], r["v"]] <= tenth[r["u"]] + 1e-6 for r in graph.collect()) / (10 * len(x)) >= 0.95
