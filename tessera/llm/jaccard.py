@@ -1,11 +1,10 @@
 """Near-duplicates by the exact Jaccard similarity of whole shingle sets, for operator 4's `one_of_each`.
 
-SimHash alone can't tell 0.8 from 0.7, so its fingerprints (LANES lanes, of different shingles) only rule pairs out: by the
-Manhattan distance of bit counts, a lower bound, then by Hamming distance. RADIUS is over 3.5 standard deviations above the mean distance at 0.8.
-Its grid can't propose these pairs either: at 0.8 two segments agree in 0.73 of cases, so cells wide enough for many texts would need hundreds of
-tables. MinHash bands propose instead: a pair of similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8.
+SimHash alone can't tell 0.8 from 0.7, so the method's steps (fingerprints of LANES lanes, segment counts, grid cells, distance) propose and the whole sets decide.
+RADIUS is over 3.5 standard deviations above the mean distance at 0.8. There two segments agree in 0.73 of cases, so one table of cells that are fine
+enough for many texts finds few pairs; the two-level grid (`simhash.buckets`) draws its finer cells inside the tasks, some hundred for each text.
 
-Equal sets are one node. Each member of a bucket is tried with the bucket's heaviest member (the one that shares most buckets), then with its neighbour by weight,
+Equal sets are one node. A bucket is what links within RADIUS connect inside a coarse cell. Each member of a bucket is tried with the bucket's heaviest member (the one that shares most buckets), then with its neighbour by weight,
 then with LEADERS heavy members, always only across components; that is linear in the members. For what is still apart in a bucket, shingles that at most RARE of these sets have decide: similar sets either have such
 a shingle in common, which is joined on, or enough others to reach the threshold by those alone, and only such pairs are tried one by one. So no proposed
 pair is left out but those that are connected already. A link is kept only if the whole sets reach the threshold.
@@ -13,6 +12,7 @@ pair is left out but those that are connected already. A link is kept only if th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from .common import boxed, materialize, row_hash, slices, text_bytes, text_hash
 from .components import connected_components, merged, named
 from .quality import words_of
-from .simhash import SEED, packed, within
+from .simhash import SEED, agreement, buckets, packed, within
 
-BANDS, ROWS = 20, 5
 LANES, RADIUS = 4, 60
 #: Members of a bucket that all others of different components are tried with before all pairs are.
 LEADERS = 8
@@ -36,8 +35,6 @@ RARE = 8
 SLICE = 2 << 20
 #: Bytes of a shingle's hash in a set: two sets of 10^6 have one false match in common.
 WIDTH = 5
-#: Odd multipliers and masks, one for each minimum.
-_MIX, _MASK = (np.random.default_rng([SEED, k]).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for k in (0, 1))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -91,25 +88,8 @@ def node_names(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
         return _finish(total ^ _finish(mixed ^ _finish(n.astype(np.uint64)))).view(np.int64)
 
 
-def buckets(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """BANDS keys for each row that has a set, in order of rows."""
-    full = np.flatnonzero(np.diff(at))
-    low = np.empty((BANDS * ROWS, len(full)), np.uint64)
-    h = (sets >> np.uint64(32)).astype(np.uint32)
-    x = np.empty_like(h)
-    with np.errstate(over="ignore"):
-        for p in range(BANDS * ROWS if len(full) else 0):
-            np.bitwise_xor(h, _MASK[p], out=x)
-            np.multiply(x, _MIX[p], out=x)
-            low[p] = np.minimum.reduceat(x, at[full])
-        key = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(full), axis=1)
-        for k in range(ROWS):
-            key = _finish((key ^ low[k::ROWS]) * _GOLDEN)
-    return np.ascontiguousarray(key.T).view(np.int64)
-
-
 def signatures(rows: DataFrame, ids: Sequence[str], size: int) -> DataFrame:
-    """(ids, node, n, f0 .., keys) of every row of (ids, text); n is the size of the set."""
+    """(ids, node, n, f0 ..) of every row of (ids, text); n is the size of the set."""
     lanes = [f"f{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +97,9 @@ def signatures(rows: DataFrame, ids: Sequence[str], size: int) -> DataFrame:
             sets, at = shingle_sets(batch.column("text"), size)
             n = np.diff(at)
             f = np.array([packed([sets[s:e]], LANES) for s, e in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64).view(np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(buckets(sets, at).ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), pa.array(node_names(sets, at)), pa.array(n), *(pa.array(f[:, i]) for i in range(LANES)), keys], names=[*ids, "node", "n", *lanes, "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), pa.array(node_names(sets, at)), pa.array(n), *(pa.array(f[:, i]) for i in range(LANES))], names=[*ids, "node", "n", *lanes])
 
-    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, "node", "n", *lanes]) + ", keys array<long>")
+    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*ids, "node", "n", *lanes]))
 
 
 def sets_of(rows: DataFrame, size: int) -> DataFrame:
@@ -176,12 +155,13 @@ def grouped(rows: DataFrame, ids: Sequence[str], size: int = 5, part: int = 4, w
     lanes = [f"f{i}" for i in range(LANES)]
     prints = materialize(signatures(rows, ids, size), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ids)).alias("first")
-    nodes = materialize(prints.groupBy("node", "n", *lanes).agg(least, F.first("keys").alias("keys")), "nodes")
-    cells = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    nodes = materialize(prints.groupBy("node", "n", *lanes).agg(least), "nodes")
+    # the angle of two sets' sums gives the share of bits that differ
+    agree = agreement(math.acos(2 * part / (part + whole)) / math.pi)
+    cells = materialize(buckets(nodes.where("n > 0").select("node", *lanes), LANES, RADIUS, agree), "buckets")
     # a node's weight: the members of all its buckets. The text that a family's copies were made from shares most with them and weighs most
     weight = F.sum("members").over(Window.partitionBy("node"))
-    cells = materialize(cells.join(shared, "key").select("key", "node", "n", weight.alias("weight")), "cells")
+    cells = materialize(cells.join(nodes.select("node", "n"), "node").select("key", "node", "n", weight.alias("weight")), "cells")
     heavy = [F.desc("weight"), F.xxhash64("node"), F.col("node")]
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -262,7 +242,7 @@ def grouped(rows: DataFrame, ids: Sequence[str], size: int = 5, part: int = 4, w
             sets = sets.unionAll(sets_for(pairs, sets))
             roots = more(pairs)
             tried = tried.unionAll(pairs.select("a", "b"))
-    return prints.drop("keys"), nodes, roots
+    return prints, nodes, roots
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 4, whole: int = 5) -> DataFrame:

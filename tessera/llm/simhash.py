@@ -10,12 +10,16 @@ so it has the same counts in some `agree` groups, and one cell for each choice o
 Sampling mode (several lanes): each cell takes `width` random segments out of all lanes, `tables` times; pairs at radius r
 are found with a probability that `tables` sets.
 
+Two levels (`buckets`, for a wide radius): a shuffle deals out coarse cells of few segments, and inside its task a cell is divided again,
+by as many random choices of further segments as its size asks for, so fingerprints move once a coarse cell and not once a table.
+
 Copies never become pairs: equal fingerprints are one node, and within a cell only a spanning forest of the verified links
 is emitted. A cell over HOT members is cut into chunks and every pair of chunks is searched in a task of its own.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import combinations
@@ -33,6 +37,10 @@ SEED = 42
 HOT, CHUNK = 32768, 16384
 #: Cells up to this size are compared by shifted arrays, larger ones by a search from member to member.
 SMALL = 8
+#: A coarse cell takes so many segments at least, and more where ROOM nodes would share one; up to DIRECT members it is compared whole.
+COARSE, ROOM, DIRECT = 4, 1 << 20, 48
+#: Finer cells hold FEW members on average, and are drawn until they find SHARE of the pairs in the coarse cell. Up to SHIFTS members they are compared by shifted arrays.
+FEW, SHARE, SHIFTS = 6, 0.8, 64
 #: Odd multipliers that turn a shingle's hash into those of further lanes.
 LANE_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -238,6 +246,109 @@ def links(nodes: DataFrame, lanes: int = 1, radius: int = 4, tables: int | None
     return found.unionAll(find(parts, 1 << 62).where("hot_key is null").select("a", "b"))
 
 
+def _segments(f: np.ndarray) -> np.ndarray:
+    """embedding() of arrays."""
+    half = np.uint64(0x5555555555555555)
+    odd, even = (f >> np.uint64(1)) & half, f & half
+    return (odd ^ even) | ((odd & even) << np.uint64(1))
+
+
+def agreement(differ: float) -> float:
+    """The share of two-bit segments with equal counts where this share of bits differs."""
+    return (1 - differ) ** 2 + differ**2 / 2
+
+
+def _joined(f: np.ndarray, seed: int, radius: int, agree: float) -> np.ndarray:
+    """For each fingerprint of a coarse cell the place of the first one that it is connected with, by links within radius among those that share a finer cell."""
+    n, lanes = f.shape
+    root = np.arange(n)
+
+    def unite(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for x, y in zip(root[i].tolist(), root[j].tolist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if up:
+            to = np.arange(n)
+            for x in list(up):
+                to[x] = top(x)
+            root = to[root]
+
+    def tried(i: np.ndarray, j: np.ndarray) -> None:
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        good = _near(f, i, j, radius)
+        unite(i[good], j[good])
+
+    if n <= DIRECT:
+        tried(*np.triu_indices(n, 1))
+        return root
+    e, rng = _segments(f), np.random.default_rng(seed & ((1 << 64) - 1))
+    width = max(1, min(32 * lanes, math.ceil(math.log(n / FEW) / math.log(8 / 3))))
+    for _ in range(math.ceil(math.log(1 - SHARE) / math.log1p(-(agree**width)))):
+        picks = rng.choice(32 * lanes, width, replace=False)
+        key = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in np.unique(picks // 32).tolist():
+                mask = np.uint64(sum(3 << 2 * int(s % 32) for s in picks if s // 32 == i))
+                key = lane(key ^ (e[:, i] & mask), 1)
+        order = np.argsort(key)
+        key = key[order]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[edge, n])
+        left = np.flatnonzero(np.repeat((size > 1) & (size <= SHIFTS), size))
+        for d in range(1, SHIFTS):
+            left = left[left + d < n]
+            left = left[key[left + d] == key[left]]
+            if not len(left):
+                break
+            tried(order[left], order[left + d])
+        for s, m in zip(edge[size > SHIFTS].tolist(), size[size > SHIFTS].tolist(), strict=True):
+            of = order[s : s + m]
+            if (root[of] != root[of[0]]).any():
+                x, y = _forest(f[of], radius)
+                unite(of[np.array(x, dtype=np.int64)], of[np.array(y, dtype=np.int64)])
+    return root
+
+
+def buckets(nodes: DataFrame, lanes: int, radius: int, agree: float, miss: float = 1e-5, room: int = ROOM) -> DataFrame:
+    """(key, node, members) of the nodes (node, f0 ..) that share a cell of the two-level grid with nodes they are connected with by links within radius.
+
+    A pair within radius that has equal counts in a share `agree` of its segments is in no bucket together with a probability of `miss`.
+    """
+    spark, total = nodes.sparkSession, nodes.count()
+    width = max(COARSE, math.ceil(math.log2(max(1, total) / room)))
+    tables = math.ceil(math.log(miss) / math.log1p(-SHARE * agree**width))
+    cells = _cells(nodes, grid_masks(lanes, radius, tables, width), lanes)
+    if total > room:
+        hot = cells.groupBy("key").agg(F.ceil(F.count("*") / F.lit(room // 2)).cast("int").alias("chunks")).where("chunks > 2")
+        cut = cells.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        cells = cut.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("chunks", "own", "other")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        node, key = rows.column("node").to_numpy(), rows.column("key")[0].as_py()
+        f = np.stack([rows.column(f"f{i}").to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
+        root = _joined(f, key, radius, agree)
+        members = np.bincount(root, minlength=len(root))[root]
+        of = np.flatnonzero(members > 1)
+        with np.errstate(over="ignore"):
+            name = lane(lane(np.full(len(of), key, np.int64).view(np.uint64), 1) ^ node[root[of]].view(np.uint64), 2)
+        return pa.table({"key": name.view(np.int64), "node": node[of], "members": members[of]})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "key").groupBy("key").applyInArrow(run, "key long, node long, members long")
+
+
 def grouped(rows: DataFrame, ids: Sequence[str], size: int = 4, radius: int = 4, lanes: int = 1, tables: int | None = None, width: int = 10, agree: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of rows (ids, f0 .., node), nodes (node, f0 .., first: the ids of the least row, null doc_id last) and roots (node, root) of what has a link."""
     cols = [f"f{i}" for i in range(lanes)]

@@ -136,3 +136,28 @@ def test_components_of_stars_and_chains(spark):
     edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5), (None, 3), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 for i in range(41)) and len(got) == 101
+
+
+def test_two_level_grid_finds_pairs_at_the_mean_distance_and_cuts_full_cells(spark):
+    """100 pairs that differ in 15 % of 256 bits among 3,000 others; with room for 400 nodes in a cell, cells are cut and the same pairs are found."""
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 1 << 64, (3200, 4), dtype=np.uint64)
+    f[100:200] = f[:100] ^ np.packbits(rng.random((100, 256)) < 0.15, axis=1).view(np.uint64)
+    near = np.bitwise_count(f[:100] ^ f[100:200]).sum(1) <= 60
+    rows = [(i, *map(int, x)) for i, x in enumerate(f.view(np.int64))]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+    for room in (1 << 20, 400):
+        groups = {}
+        for r in simhash.buckets(nodes, 4, 60, simhash.agreement(0.15), room=room).collect():
+            groups.setdefault(r.key, set()).add(r.node)
+        together = {tuple(sorted(g)) for g in groups.values()}
+        assert together == {(i, i + 100) for i in range(100) if near[i]}
+
+
+def test_the_pipelines_candidates_come_from_the_grid(spark, monkeypatch):
+    """Without the grid's buckets only equal sets are linked, so no other path proposes pairs."""
+    words = [f"w{i}" for i in range(204)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words[1:]])), (3, " ".join(words))], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.near_duplicates(df).collect()} == {1}
+    monkeypatch.setattr(jaccard, "buckets", lambda nodes, *_: nodes.selectExpr("node as key", "node", "1L as members").limit(0))
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
