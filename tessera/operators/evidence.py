@@ -57,11 +57,14 @@ def row_membership(rows: DataFrame) -> DataFrame:
 
 def reported_support(rows: DataFrame) -> DataFrame:
     """Largest fraction, first category that isn't null by pos, sorted different files, any mismatch of declared and inferred state."""
-    return rows.groupBy("sequence", "endpoint").agg(
+    keys, told = ["sequence", "endpoint"], F.col("category").isNotNull()
+    slim = rows.select(*keys, "fraction", "category", F.when(told, F.col("pos")).alias("pos"), "input_file", (F.col("row_status") != F.col("declared_status")).alias("differs"))
+    # few rows share a key, so combining before the shuffle would sort every row a second time and save little: rows are dealt out first
+    return slim.repartition(*keys).groupBy(*keys).agg(
         F.max("fraction").alias("positive_fraction_reported"),
-        F.min_by("category", F.when(F.col("category").isNotNull(), F.col("pos"))).alias("support_category"),
+        F.min_by("category", "pos").alias("support_category"),
         F.array_join(F.sort_array(F.collect_set("input_file")), "|").alias("input_files"),
-        F.coalesce(F.max(F.col("row_status") != F.col("declared_status")), F.lit(False)).alias("status_file_mismatch"),
+        F.coalesce(F.max("differs"), F.lit(False)).alias("status_file_mismatch"),
     )
 
 
