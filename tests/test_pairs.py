@@ -38,3 +38,15 @@ def test_copies_of_a_row_follow_the_large_block(spark):
     """20,000 rows are two blocks of 16,384 or as many as the cores need, not twenty of 1,024."""
     df = spark.range(20000).selectExpr("id AS k", "array(1.0D) AS v", "1 AS l")
     assert similarity._blocks(df, "k", "v", "l", similarity.BLOCK).agg({"k": "count"}).agg({"lo": "max"}).first()[0] < 8
+
+
+def test_wide_vectors_make_small_blocks(spark):
+    """A task's memory follows the numbers in its two blocks: 20,000 vectors of 8,192 numbers are 40 blocks and not a few."""
+    df = spark.range(20000).selectExpr("id AS k", "array_repeat(1.0D, 8192) AS v", "1 AS l")
+    assert similarity._blocks(df, "k", "v", "l", similarity.BLOCK).agg({"k": "count"}).agg({"lo": "max"}).first()[0] >= 38
+
+
+def test_rounded_in_the_tiles(vectors):
+    df, cosines, _ = vectors
+    got = [r.cosine for r in similarity.cosine_pairs(df, "k", "v", "l", block=50, digits=3).collect()]
+    assert sorted(got) == pytest.approx(sorted(round(float(x), 3) for x in cosines), abs=1e-12) and all(x == round(x, 3) for x in got)
