@@ -50,3 +50,40 @@ def test_rounded_in_the_tiles(vectors):
     df, cosines, _ = vectors
     got = [r.cosine for r in similarity.cosine_pairs(df, "k", "v", "l", block=50, digits=3).collect()]
     assert sorted(got) == pytest.approx(sorted(round(float(x), 3) for x in cosines), abs=1e-12) and all(x == round(x, 3) for x in got)
+
+
+def test_quantiles_leave_no_pairs_to_later_steps(vectors):
+    """What is returned has the rows told; collecting it multiplies no block again."""
+    df, _, _ = vectors
+    out = similarity.pair_quantiles(df, "k", "v", "l", block=50)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString() and out.count() == 2
+
+
+@pytest.mark.parametrize("low, width", [(0.9, 0.01), (-0.99, 0.01), (0.0, 1e-9)])
+def test_quantiles_outside_the_likely_range(vectors, monkeypatch, low, width):
+    df, cosines, same = vectors
+    monkeypatch.setattr(similarity, "_likely", lambda *of: {(k, q): (low, width) for k in (False, True) for q in of[-1]})
+    for r in similarity.pair_quantiles(df, "k", "v", "l", at=(0.5,), block=50, bins=64).collect():
+        assert r.q50 == pytest.approx(np.median(cosines[same == r.same_label]))
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_bins_are_divided_while_they_hold_much(vectors, monkeypatch, whole):
+    df, cosines, same = vectors
+    if whole:
+        monkeypatch.setattr(similarity, "_likely", lambda *of: {(k, q): (-1.0, 2.0) for k in (False, True) for q in of[-1]})
+    for r in similarity.pair_quantiles(df, "k", "v", "l", block=50, bins=8, most=10).collect():
+        x = cosines[same == r.same_label]
+        assert [r.n, r.q25, r.q50, r.q75] == pytest.approx([len(x), *np.percentile(x, [25, 50, 75])])
+
+
+def test_quantiles_of_few_pairs(spark):
+    """One pair has no deviation; pairs of equal rows are one value; no pair gives no row."""
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 1.0], 1), (3, [1.0, 1.0], 2)], "k long, v array<double>, l int")
+    got = {r.same_label: r for r in similarity.pair_quantiles(df, "k", "v", "l").collect()}
+    assert (got[True].n, got[True].std) == (1, None) and got[True].q50 == pytest.approx(0.5**0.5)
+    assert got[False].n == 2 and got[False].q50 == pytest.approx((1 + 0.5**0.5) / 2) and got[False].max == pytest.approx(1)
+    assert similarity.pair_quantiles(df.where("k = 1"), "k", "v", "l").count() == 0
+    copies = spark.range(700).selectExpr("id AS k", "array(1.0D, 2.0D, 2.0D) AS v", "CAST(id % 2 AS INT) AS l")
+    for r in similarity.pair_quantiles(copies, "k", "v", "l", block=200, most=5).collect():
+        assert r.n == (350 * 350 if not r.same_label else 350 * 349) and [r.q25, r.q50, r.q75] == pytest.approx([1.0] * 3)
